@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import urlfilter, util, warc
+from . import quality, simhash, urlfilter, util, warc
 
 
 def op1_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,13 +28,27 @@ FROM q
 """
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = util.table(spark, sf_dir, "documents"), util.table(spark, sf_dir, "labels")
+    judged = quality.judge(docs.select("doc_id", "text", "lang"), quality.calibrate(docs, labels))
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return judged.select("doc_id", *[F.col(f"q_{c}").alias(c) for c in names])
+
+
 def op7_url_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(util.table(spark, sf_dir, "pages"))
 
 
+def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.groups(util.table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op1_warc_chunks": op1_warc_chunks,
+    "op5_quality_rules": op5_quality_rules,
     "op7_url_language_model": op7_url_language_model,
+    "op9_simhash_groups": op9_simhash_groups,
 }
 ORACLE_SQL = {
     "op1_warc_chunks": OP1_SQL,
