@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, simhash, urlfilter, util, warc
+from . import decontam, linededup, quality, simhash, urlfilter, util, warc
 
 
 def op1_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,17 +39,58 @@ def op7_url_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(util.table(spark, sf_dir, "pages"))
 
 
+def op8_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.search(util.table(spark, sf_dir, "documents"), util.table(spark, sf_dir, "benchmark"))
+
+
+OP8_SQL = r"""
+WITH w AS (
+  SELECT 'd' AS kind, doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents
+  UNION ALL SELECT 'i', item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') FROM benchmark),
+s AS (
+  SELECT DISTINCT kind, id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] END) AS shingle FROM w),
+n AS (SELECT id AS item_id, count(*) AS n_item_shingles FROM s WHERE kind = 'i' GROUP BY id),
+m AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared FROM s d JOIN s i ON d.kind = 'd' AND i.kind = 'i' AND d.shingle = i.shingle GROUP BY 1, 2)
+SELECT doc_id, item_id, n_item_shingles, n_shared, n_shared / n_item_shingles AS containment FROM m JOIN n USING (item_id)
+WHERE n_shared / n_item_shingles >= 0.8
+"""
+
+
 def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.groups(util.table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_line_site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup(util.table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed_lines", "text")
+
+
+OP10_SQL = r"""
+WITH l AS (
+  SELECT doc_id, text, coalesce(source, chr(0)) AS site, generate_subscripts(string_split(text, chr(10)), 1) AS pos, unnest(string_split(text, chr(10))) AS line
+  FROM documents),
+m AS (SELECT *, trim(line, E' \t\n\x0b\x0c\r') AS t,
+  regexp_matches(line, '(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){3}[^\x20\x09-\x0D]') AS may FROM l),
+b AS (SELECT t FROM m WHERE may GROUP BY t HAVING count(DISTINCT site) >= 10),
+k AS (SELECT m.*, may AND b.t IS NOT NULL AS gone FROM m LEFT JOIN b ON m.t = b.t)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed_lines,
+  coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text
+FROM k GROUP BY doc_id, k.text
+UNION ALL SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL
+"""
+
+
 QUERIES = {
     "op1_warc_chunks": op1_warc_chunks,
     "op5_quality_rules": op5_quality_rules,
     "op7_url_language_model": op7_url_language_model,
+    "op8_minhash_containment": op8_minhash_containment,
     "op9_simhash_groups": op9_simhash_groups,
+    "op10_line_site_spread": op10_line_site_spread,
 }
 ORACLE_SQL = {
     "op1_warc_chunks": OP1_SQL,
+    "op8_minhash_containment": OP8_SQL,
+    "op10_line_site_spread": OP10_SQL,
 }
