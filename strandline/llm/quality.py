@@ -7,7 +7,7 @@ taken (fixed-sequence testing needs no further correction within a rule). The er
 strata (Bonferroni), and the allowed rate over the rules, so with probability 1 - ``error`` no stratum loses more than
 ``most_rejected`` of its good documents, whatever rules fire together. A stratum with too few labels gets no cut-off.
 
-All is DataFrame expressions; texts are never shuffled. Windows of five words are compared by a 64-bit hash.
+All is DataFrame expressions; texts are never shuffled, labels meet the statistics alone. Windows of five words are compared by a 64-bit hash.
 
 Edge cases: a null text has no words and fails the base rule; a null language is a stratum of its own; labels that
 repeat count once, documents without label are only judged; an empty table gives an empty result; extra columns stay
@@ -110,11 +110,16 @@ def _log_add(a: Column, b: Column) -> Column:
     return F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b)))
 
 
-def calibrate(docs: DataFrame, labels: DataFrame, most_rejected: float = 0.05, error: float = 0.05, rules=RULES, stratum: str = "lang") -> DataFrame:
-    """(stratum, cuts map<rule, cut-off>) from the documents that ``labels`` call good (quality 1)."""
+def narrow(docs: DataFrame, stratum: str = "lang") -> DataFrame:
+    """The statistics without the texts, written once: doc_id, the stratum and the ``q_`` columns."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(stratum).alias(stratum))
+    return util.save(statistics(rows).drop("text"), "quality-statistics")
+
+
+def calibrate(seen: DataFrame, labels: DataFrame, most_rejected: float = 0.05, error: float = 0.05, rules=RULES, stratum: str = "lang") -> DataFrame:
+    """(stratum, cuts map<rule, cut-off>) from the documents of ``seen`` (:func:`narrow`) that ``labels`` call good."""
     good = labels.where("quality = 1").select("doc_id").distinct()
-    seen = statistics(docs.select("doc_id", "text", F.coalesce(F.col(stratum), F.lit("")).alias("stratum")).join(good, "doc_id", "left_semi"))
-    seen = seen.where(~F.col("q_base_failed"))
+    seen = seen.withColumn("stratum", F.coalesce(F.col(stratum), F.lit(""))).join(good, "doc_id", "left_semi").where(~F.col("q_base_failed"))
     tests = [(r, j, c, violates(s, side, F.lit(c))) for r, (s, side, cuts) in rules.items() for j, c in enumerate(cuts)]
     counted = seen.groupBy("stratum").agg(
         F.count(F.lit(1)).alias("n"),
@@ -131,10 +136,10 @@ def calibrate(docs: DataFrame, labels: DataFrame, most_rejected: float = 0.05, e
     return util.save(last.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cut"))).alias("cuts")), "quality-cuts")
 
 
-def judge(docs: DataFrame, cuts: DataFrame, rules=RULES, stratum: str = "lang") -> DataFrame:
-    """``docs`` with the ``q_`` columns and ``q_kept``. The table of cut-offs has a row for each stratum: it is
+def judge(seen: DataFrame, cuts: DataFrame, rules=RULES, stratum: str = "lang") -> DataFrame:
+    """Rows that have the statistics, with ``q_kept``. The table of cut-offs has a row for each stratum: it is
     broadcast up to 10,000 strata and joined by a shuffle beyond."""
-    seen = statistics(docs).withColumn("q_stratum", F.coalesce(F.col(stratum), F.lit("")))
+    seen = seen.withColumn("q_stratum", F.coalesce(F.col(stratum), F.lit("")))
     cuts = util.hinted(cuts.select(F.col("stratum").alias("q_stratum"), F.col("cuts").alias("q_cuts")), 10_000)
     seen = seen.join(cuts, "q_stratum", "left")
     bad = F.lit(False)
