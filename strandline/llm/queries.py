@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, linededup, quality, simhash, urlfilter, util, warc
+from . import decontam, langid, linededup, pii, quality, simhash, urlfilter, util, warc
 
 
 def op1_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,9 +28,27 @@ FROM q
 """
 
 
+def op2_pii_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(util.table(spark, sf_dir, "documents"))
+
+    def count(j: int):
+        return F.size(F.filter("base", lambda x: x["kind"] == j)).cast("long")
+
+    counts = [count(j).alias(f"n_{k}") for j, k in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.digest("base"), 256).alias("base_sha256"), pii.digest("spans").alias("spans"))
+
+
+def op3_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    docs = util.table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(held, F.lit(False)))
+    train = docs.where(~F.col("held_out") & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    return langid.predict(docs, langid.profiles(train))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = util.table(spark, sf_dir, "documents"), util.table(spark, sf_dir, "labels")
-    judged = quality.judge(docs.select("doc_id", "text", "lang"), quality.calibrate(docs, labels))
+    seen = quality.narrow(docs)
+    judged = quality.judge(seen, quality.calibrate(seen, labels))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return judged.select("doc_id", *[F.col(f"q_{c}").alias(c) for c in names])
 
@@ -83,6 +101,8 @@ UNION ALL SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL
 
 QUERIES = {
     "op1_warc_chunks": op1_warc_chunks,
+    "op2_pii_skip_chain": op2_pii_skip_chain,
+    "op3_rank_order_language": op3_rank_order_language,
     "op5_quality_rules": op5_quality_rules,
     "op7_url_language_model": op7_url_language_model,
     "op8_minhash_containment": op8_minhash_containment,
