@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, linededup, pii, quality, simhash, urlfilter, util, warc
+from . import decontam, langid, linededup, pii, quality, simhash, suffix, urlfilter, util, warc
 
 
 def op1_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +45,12 @@ def op3_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.profiles(train))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.remove(util.table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["s"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = util.table(spark, sf_dir, "documents"), util.table(spark, sf_dir, "labels")
     seen = quality.narrow(docs)
@@ -103,6 +109,7 @@ QUERIES = {
     "op1_warc_chunks": op1_warc_chunks,
     "op2_pii_skip_chain": op2_pii_skip_chain,
     "op3_rank_order_language": op3_rank_order_language,
+    "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op7_url_language_model": op7_url_language_model,
     "op8_minhash_containment": op8_minhash_containment,
