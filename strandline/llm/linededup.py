@@ -56,8 +56,9 @@ def remove(docs: DataFrame, found: DataFrame, min_words: int = 4) -> DataFrame:
     parts = F.split("text", "\n")
     kept = F.filter(parts, lambda x, i: ~F.array_contains("_gone", i))
     rows = keyed.join(util.hinted(gone, 100_000), "_key", "left")
+    made = ("n_lines", "n_removed_lines")
     return rows.select(
-        *[F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else F.col(c) for c in docs.columns],
+        *[F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in made],
         F.coalesce(F.when(F.col("text").isNotNull(), F.size(parts)), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.when(F.col("_gone").isNotNull(), F.size("_gone")), F.lit(0)).cast("long").alias("n_removed_lines"),
     )

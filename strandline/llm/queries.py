@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, linededup, pii, quality, simhash, suffix, urlfilter, util, warc
+from . import decontam, langid, linededup, mixing, pii, quality, simhash, suffix, urlfilter, util, warc
 
 
 def op1_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +59,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[F.col(f"q_{c}").alias(c) for c in names])
 
 
+def op6_soft_membership_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.rates(util.table(spark, sf_dir, "documents"), util.table(spark, sf_dir, "labels"))
+    p = [F.col("m_p")[k].alias(f"p_{d}") for k, d in enumerate(mixing.DOMAINS)]
+    return found.select("doc_id", F.col("m_n").alias("n_tokens"), *p, F.col("m_rate").alias("rate"))
+
+
 def op7_url_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(util.table(spark, sf_dir, "pages"))
 
@@ -111,6 +117,7 @@ QUERIES = {
     "op3_rank_order_language": op3_rank_order_language,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_quality_rules": op5_quality_rules,
+    "op6_soft_membership_mixing": op6_soft_membership_mixing,
     "op7_url_language_model": op7_url_language_model,
     "op8_minhash_containment": op8_minhash_containment,
     "op9_simhash_groups": op9_simhash_groups,
