@@ -29,7 +29,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the row of the group's least doc_id (of rows that repeat it, one)."""
     found = simhash.groups(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_semi").select(docs.columns)
+    kept = docs.join(found.hint("merge"), "doc_id", "left_semi").select(docs.columns)
     twice = util.save(kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "repeated-ids")
     if not twice.limit(1).count():
         return kept
