@@ -15,7 +15,7 @@ from strandline.llm import decontam, linededup, mixing, quality, simhash, util
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
     cuts = quality.calibrate(quality.narrow(docs), util.table(spark, sf_dir, "labels"))
-    return quality.judge(quality.statistics(docs), cuts).where("q_kept").select(docs.columns)
+    return quality.keep(docs, cuts)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document gets its rate; those whose rate is zero are no part of the mix."""
     done = mixing.rated(docs, util.table(spark, sf_dir, "labels"))
     made = {"n_tokens": F.col("m_n"), **{f"p_{d}": F.col("m_p")[k] for k, d in enumerate(mixing.DOMAINS)}, "rate": F.col("m_rate")}
-    return done.where("m_rate > 0").select(*[c for c in docs.columns if c not in made], *[c.alias(name) for name, c in made.items()])
+    return done.where("m_rate > 0").select(*[F.col("m_row").getField(c).alias(c) for c in docs.columns if c not in made], *[c.alias(name) for name, c in made.items()])
 
 
 STAGES = [

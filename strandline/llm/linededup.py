@@ -50,17 +50,20 @@ def boilerplate(docs: DataFrame, min_sites: int = 10, min_words: int = 4, lg_k:
 
 def remove(docs: DataFrame, found: DataFrame, min_words: int = 4) -> DataFrame:
     """``docs`` without the lines in ``found``, with n_lines and n_removed_lines (null text: zero)."""
-    keyed = docs.withColumn("_key", util.row_key("doc_id", "text", "source"))
+    keyed = docs.select(F.struct("*").alias("_row"), "text", "source", util.row_key("doc_id", "text", "source").alias("_key"))
     hits = lines(keyed, min_words, "_key").join(util.hinted(found.select("line"), 200_000), "line", "left_semi")
     gone = util.save(hits.groupBy("_key").agg(F.collect_set("pos").alias("_gone")), "removed-lines")
     parts = F.split("text", "\n")
     kept = F.filter(parts, lambda x, i: ~F.array_contains("_gone", i))
-    rows = keyed.join(util.hinted(gone, 100_000), "_key", "left")
-    made = ("n_lines", "n_removed_lines")
+    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    rows = keyed.join(gone.hint("merge"), "_key", "left")  # the same plan at every size
+    made = {
+        "n_lines": F.coalesce(F.when(F.col("text").isNotNull(), F.size(parts)), F.lit(0)).cast("long"),
+        "n_removed_lines": F.coalesce(F.when(F.col("_gone").isNotNull(), F.size("_gone")), F.lit(0)).cast("long"),
+    }
     return rows.select(
-        *[F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in made],
-        F.coalesce(F.when(F.col("text").isNotNull(), F.size(parts)), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.when(F.col("_gone").isNotNull(), F.size("_gone")), F.lit(0)).cast("long").alias("n_removed_lines"),
+        *[text.alias("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns if c not in made],
+        *[x.alias(c) for c, x in made.items()],
     )
 
 

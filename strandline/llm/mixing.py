@@ -15,7 +15,7 @@ that domain; without labels all are ``high``.
 
 Edge cases: null or empty texts have no tokens and keep the rate that their probabilities give; labels that repeat
 count once, the least quality and the greatest toxicity win; an empty table gives an empty result; extra columns stay in
-:func:`rated`.
+:func:`rated`, whatever their names.
 """
 
 from __future__ import annotations
@@ -129,10 +129,11 @@ def fit(scored: DataFrame, targets: dict[str, float] = TARGETS, most_steps: int
 
 
 def rated(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """``docs`` with m_n, m_p and m_rate. Texts are read twice, to fit and to apply, and never shuffled."""
+    """m_row (a row of ``docs``), m_n, m_p and m_rate. Texts are read twice, to fit and to apply, and never shuffled."""
     model = Classifier(docs, labels)
     steps = fit(model.probabilities(docs.select("text")).select("m_n", "m_p"), targets)
-    return model.probabilities(docs).withColumn("m_rate", F.round(rate(steps, F.col("m_p")), 6))
+    rows = docs.select(F.struct("*").alias("m_row"), "text")
+    return model.probabilities(rows).withColumn("m_rate", F.round(rate(steps, F.col("m_p")), 6))
 
 
 def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:

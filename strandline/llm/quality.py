@@ -11,7 +11,7 @@ All is DataFrame expressions; texts are never shuffled, labels meet the statisti
 
 Edge cases: a null text has no words and fails the base rule; a null language is a stratum of its own; labels that
 repeat count once, documents without label are only judged; an empty table gives an empty result; extra columns stay
-in :func:`judge` and are ignored by the query.
+in :func:`keep`, whatever their names, and are ignored by the query.
 """
 
 from __future__ import annotations
@@ -146,3 +146,9 @@ def judge(seen: DataFrame, cuts: DataFrame, rules=RULES, stratum: str = "lang")
     for r, (s, side, _) in rules.items():
         bad = bad | F.coalesce(violates(s, side, F.col("q_cuts")[r]), F.lit(False))
     return seen.withColumn("q_kept", ~F.col("q_base_failed") & ~bad)
+
+
+def keep(docs: DataFrame, cuts: DataFrame, rules=RULES, stratum: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that pass, with all their columns, whatever these are called."""
+    rows = docs.select(F.struct("*").alias("q_row"), "text", F.col(stratum).alias(stratum))
+    return judge(statistics(rows), cuts, rules, stratum).where("q_kept").select("q_row.*")

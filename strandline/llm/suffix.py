@@ -67,7 +67,7 @@ def cut(texts: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
 def fetch(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """name, d1, d2, n, bytes of the segments in ``wanted`` (key, first, n, name, d1, d2), each a slice of its text."""
     lists = wanted.groupBy("key").agg(F.collect_list(F.struct("name", "d1", "d2", "n", "first")).alias("own"))
-    rows = texts.join(lists.hint("merge"), "key")  # the same plan at every size.select("body", F.explode("own").alias("s"))
+    rows = texts.join(lists.hint("merge"), "key").select("body", F.explode("own").alias("s"))
     piece = F.substring(F.col("body"), (F.col("s.first") + 1).cast("int"), F.col("s.n") + width - 1)
     return rows.select("s.name", "s.d1", "s.d2", "s.n", piece.alias("bytes")).dropDuplicates(["name", "d1", "d2"])
 
