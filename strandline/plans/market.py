@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -12,53 +9,7 @@ from ..functions import windows as fw
 from ..functions import xsection as fx
 from ..operators import backtest, bars, joins
 from ..sources.tables import HOUR, table, ticks
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-#: CTEs that the SQL twins share.
-TICKS = """ticks AS (SELECT event_type AS symbol, epoch_us(ts) AS us, value AS price, coalesce(CAST(props->>'$.k' AS BIGINT), 0) AS latency_ms,
-  epoch_us(ts) + 1000 * coalesce(CAST(props->>'$.k' AS BIGINT), 0) AS arrival_us, event_id, user_id FROM events)"""
-BARS = TICKS + """,
-b0 AS (SELECT symbol, us // 3600000000 AS bar, arg_min(price, (us, event_id)) AS open, max(price) AS high, min(price) AS low,
-  arg_max(price, (us, event_id)) AS close, count(*) AS n FROM ticks GROUP BY ALL),
-b AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar) - 1 AS idx FROM b0)"""
-MONTHS = """m0 AS (SELECT l_suppkey AS symbol, year(l_shipdate) * 12 + month(l_shipdate) AS bar, sum(l_extendedprice) / sum(l_quantity) AS close,
-  sum(l_quantity) AS volume FROM lineitem GROUP BY ALL),
-m AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar) - 1 AS idx, close / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY bar), 0) - 1 AS ret,
-  lead(close) OVER (PARTITION BY symbol ORDER BY bar) / nullif(close, 0) - 1 AS fwd FROM m0)"""
-
-
-def query(name: str, sql: str | None = None):
-    def keep(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return keep
-
-
-def r(x: Column | str, digits: int = 6) -> Column:
-    """Rounded, without negative zero."""
-    return F.round(F.col(x) if isinstance(x, str) else x, digits) + F.lit(0.0)
-
-
-def hourly(spark: SparkSession, d: str) -> DataFrame:
-    return bars.indexed(bars.time_bars(ticks(spark, d), HOUR))
-
-
-def monthly(spark: SparkSession, d: str) -> DataFrame:
-    """Suppliers as symbols: monthly mean price, volume, return and next return."""
-    li = table(spark, d, "lineitem")
-    rows = li.groupBy(F.col("l_suppkey").alias("symbol"), (F.year("l_shipdate") * 12 + F.month("l_shipdate")).cast("long").alias("bar")).agg(
-        (F.sum("l_extendedprice") / F.sum("l_quantity")).alias("close"), F.sum("l_quantity").alias("volume")
-    )
-    w = W.partitionBy("symbol").orderBy("bar")
-    rows = bars.indexed(rows).withColumn("ret", fw.change(F.col("close"), w))
-    return rows.withColumn("fwd", F.lead("ret").over(w))
-
+from .base import BARS, MONTHS, TICKS, WS, full, hourly, monthly, query, r, rank_sql
 
 OHLC = ("open", "high", "low", "close")
 
@@ -142,22 +93,13 @@ def benchmark_outer_join(spark, d):
     return bench.join(b.where("symbol = 'view'").select("bar", "close"), "bar", "full").select("bar", r("close").alias("close"), r("bench").alias("bench"))
 
 
-WS = "PARTITION BY symbol ORDER BY idx"
-
-
-def _full(fn: str, x: str, n: int, shift: int = 0) -> str:
-    """SQL of a rolling value that is null until its frame is full."""
-    frame = f"OVER ({WS} ROWS BETWEEN {n - 1 + shift} PRECEDING AND {'CURRENT ROW' if not shift else f'{shift} PRECEDING'})"
-    return f"CASE WHEN count({x}) {frame} >= {n} THEN {fn}({x}) {frame} END"
-
-
-@query("sma_cross_signal", f"WITH {BARS} SELECT symbol, bar, CASE WHEN {_full('avg', 'close', 5)} > {_full('avg', 'close', 20)} THEN 1 ELSE 0 END AS signal FROM b")
+@query("sma_cross_signal", f"WITH {BARS} SELECT symbol, bar, CASE WHEN {full('avg', 'close', 5)} > {full('avg', 'close', 20)} THEN 1 ELSE 0 END AS signal FROM b")
 def sma_cross_signal(spark, d):
     w, c = fw.by(), F.col("close")
     return hourly(spark, d).select("symbol", "bar", F.when(fw.sma(c, 5, w) > fw.sma(c, 20, w), 1).otherwise(0).alias("signal"))
 
 
-@query("bollinger", f"""WITH {BARS}, x AS (SELECT symbol, bar, {_full('avg', 'close', 20)} AS mid, {_full('stddev_samp', 'close', 20)} AS sd FROM b)
+@query("bollinger", f"""WITH {BARS}, x AS (SELECT symbol, bar, {full('avg', 'close', 20)} AS mid, {full('stddev_samp', 'close', 20)} AS sd FROM b)
 SELECT symbol, bar, round(mid - 2 * sd, 6) AS lower, round(mid, 6) AS middle, round(mid + 2 * sd, 6) AS upper FROM x""")
 def bollinger(spark, d):
     low, mid, up = fw.bollinger(F.col("close"), 20, 2.0, fw.by())
@@ -165,14 +107,14 @@ def bollinger(spark, d):
 
 
 @query("atr", f"""WITH {BARS}, t AS (SELECT *, greatest(high - low, abs(high - lag(close) OVER ({WS})), abs(low - lag(close) OVER ({WS}))) AS tr FROM b)
-SELECT symbol, bar, round({_full('avg', 'tr', 14)}, 6) AS atr FROM t""")
+SELECT symbol, bar, round({full('avg', 'tr', 14)}, 6) AS atr FROM t""")
 def atr(spark, d):
     w = fw.by()
     return hourly(spark, d).withColumn("tr", fw.true_range(w)).select("symbol", "bar", r(fw.sma(F.col("tr"), 14, w)).alias("atr"))
 
 
-@query("stochastic", f"""WITH {BARS}, k AS (SELECT *, 100 * (close - {_full('min', 'low', 14)}) / nullif({_full('max', 'high', 14)} - {_full('min', 'low', 14)}, 0) AS k FROM b)
-SELECT symbol, bar, round(k, 6) AS k, round({_full('avg', 'k', 3)}, 6) AS d FROM k""")
+@query("stochastic", f"""WITH {BARS}, k AS (SELECT *, 100 * (close - {full('min', 'low', 14)}) / nullif({full('max', 'high', 14)} - {full('min', 'low', 14)}, 0) AS k FROM b)
+SELECT symbol, bar, round(k, 6) AS k, round({full('avg', 'k', 3)}, 6) AS d FROM k""")
 def stochastic(spark, d):
     w = fw.by()
     rows = hourly(spark, d).withColumn("k", fw.stochastic_k(14, w))
@@ -180,7 +122,7 @@ def stochastic(spark, d):
 
 
 @query("rsi_simple", f"""WITH {BARS}, c AS (SELECT *, close - lag(close) OVER ({WS}) AS d FROM b), g AS (SELECT *, CASE WHEN d IS NOT NULL THEN greatest(d, 0) END AS up, CASE WHEN d IS NOT NULL THEN greatest(-d, 0) END AS dn FROM c)
-SELECT symbol, bar, round(100 - 100 / (1 + {_full('avg', 'up', 14)} / nullif({_full('avg', 'dn', 14)}, 0)), 6) AS rsi FROM g""")
+SELECT symbol, bar, round(100 - 100 / (1 + {full('avg', 'up', 14)} / nullif({full('avg', 'dn', 14)}, 0)), 6) AS rsi FROM g""")
 def rsi_simple(spark, d):
     w = fw.by()
     rows = hourly(spark, d).withColumn("d", F.col("close") - F.lag("close").over(w))
@@ -190,13 +132,13 @@ def rsi_simple(spark, d):
 
 
 @query("roc_zscore", f"""WITH {BARS} SELECT symbol, bar, round(close / nullif(lag(close, 5) OVER ({WS}), 0) - 1, 6) AS roc,
-  round((close - {_full('avg', 'close', 30)}) / nullif({_full('stddev_samp', 'close', 30)}, 0), 6) AS z FROM b""")
+  round((close - {full('avg', 'close', 30)}) / nullif({full('stddev_samp', 'close', 30)}, 0), 6) AS z FROM b""")
 def roc_zscore(spark, d):
     w, c = fw.by(), F.col("close")
     return hourly(spark, d).select("symbol", "bar", r(fw.change(c, w, 5)).alias("roc"), r(fw.zscore(c, 30, w)).alias("z"))
 
 
-@query("crosses_above", f"""WITH {BARS}, x AS (SELECT *, {_full('avg', 'close', 5)} AS f, {_full('avg', 'close', 20)} AS s FROM b),
+@query("crosses_above", f"""WITH {BARS}, x AS (SELECT *, {full('avg', 'close', 5)} AS f, {full('avg', 'close', 20)} AS s FROM b),
 y AS (SELECT symbol, bar, f > s AND lag(f) OVER ({WS}) <= lag(s) OVER ({WS}) AS up FROM x) SELECT symbol, bar FROM y WHERE up""")
 def crosses_above(spark, d):
     w, c = fw.by(), F.col("close")
@@ -204,7 +146,7 @@ def crosses_above(spark, d):
     return rows.withColumn("up", fw.crosses_above(F.col("f"), F.col("s"), w)).where("up").select("symbol", "bar")
 
 
-@query("donchian", f"WITH {BARS} SELECT symbol, bar, round({_full('max', 'high', 20, 1)}, 6) AS upper, round({_full('min', 'low', 20, 1)}, 6) AS lower FROM b")
+@query("donchian", f"WITH {BARS} SELECT symbol, bar, round({full('max', 'high', 20, 1)}, 6) AS upper, round({full('min', 'low', 20, 1)}, 6) AS lower FROM b")
 def donchian(spark, d):
     up, low = fw.donchian(20, fw.by())
     return hourly(spark, d).select("symbol", "bar", r(up).alias("upper"), r(low).alias("lower"))
@@ -272,11 +214,7 @@ def corwin_schultz(spark, d):
 # Cross-sections on monthly supplier prices
 
 
-def _rank_sql(x: str, part: str = "bar") -> str:
-    return f"(rank() OVER (PARTITION BY {part} ORDER BY {x}) + (count(*) OVER (PARTITION BY {part}, {x}) - 1) / 2.0)"
-
-
-@query("xs_rank_ic", f"""WITH {MONTHS}, v AS (SELECT bar, round(ret, 9) AS s, round(fwd, 9) AS f FROM m WHERE ret IS NOT NULL AND fwd IS NOT NULL), k AS (SELECT bar, {_rank_sql('s')} AS x, {_rank_sql('f')} AS y FROM v),
+@query("xs_rank_ic", f"""WITH {MONTHS}, v AS (SELECT bar, round(ret, 9) AS s, round(fwd, 9) AS f FROM m WHERE ret IS NOT NULL AND fwd IS NOT NULL), k AS (SELECT bar, {rank_sql('s')} AS x, {rank_sql('f')} AS y FROM v),
 g AS (SELECT bar, count(*) AS n, sum(x * y) - sum(x) * sum(y) / count(*) AS c, sum(x * x) - sum(x) * sum(x) / count(*) AS vx, sum(y * y) - sum(y) * sum(y) / count(*) AS vy FROM k GROUP BY bar)
 SELECT bar, n, round(CASE WHEN vx > 1e-12 AND vy > 1e-12 THEN c / sqrt(vx * vy) END, 6) AS ic FROM g WHERE n >= 3""")
 def xs_rank_ic(spark, d):
@@ -284,7 +222,7 @@ def xs_rank_ic(spark, d):
     return fx.rank_ic(panel, "s", "f").select("bar", "n", r("ic").alias("ic"))
 
 
-_LEGS = f"""v AS (SELECT * REPLACE (round(ret, 9) AS ret) FROM m WHERE ret IS NOT NULL), k AS (SELECT *, {_rank_sql('ret')} AS rk, count(*) OVER (PARTITION BY bar) AS c FROM v),
+_LEGS = f"""v AS (SELECT * REPLACE (round(ret, 9) AS ret) FROM m WHERE ret IS NOT NULL), k AS (SELECT *, {rank_sql('ret')} AS rk, count(*) OVER (PARTITION BY bar) AS c FROM v),
 q AS (SELECT *, least(4, CAST(floor((rk - 1) / c * 5) AS INTEGER)) AS bucket FROM k)"""
 
 
@@ -343,7 +281,7 @@ def xs_momentum_factor(spark, d):
 
 # Backtests
 
-_SIGNAL = f"s AS (SELECT *, CASE WHEN {_full('avg', 'close', 5)} > {_full('avg', 'close', 20)} THEN 1 ELSE 0 END AS t FROM b)"
+_SIGNAL = f"s AS (SELECT *, CASE WHEN {full('avg', 'close', 5)} > {full('avg', 'close', 20)} THEN 1 ELSE 0 END AS t FROM b)"
 
 
 def trades_sql(source: str, keys: str, fee: str = "0.0005", slip: str = "0.0005", delay: str = "1", prefix: str = "") -> str:
@@ -401,7 +339,7 @@ def cost_ladder(spark, d):
 
 
 _GRID = [(f, s) for f in (3, 5, 8) for s in (10, 20, 30)]
-_SWEEP = ("x AS (SELECT *, " + ", ".join(f"{_full('avg', 'close', n)} AS a{n}" for n in sorted({n for p in _GRID for n in p})) + " FROM b), s AS ("
+_SWEEP = ("x AS (SELECT *, " + ", ".join(f"{full('avg', 'close', n)} AS a{n}" for n in sorted({n for p in _GRID for n in p})) + " FROM b), s AS ("
           + " UNION ALL ".join(f"SELECT symbol, {f} AS fast, {s} AS slow, idx, bar, open, close, CASE WHEN a{f} > a{s} THEN 1 ELSE 0 END AS t FROM x" for f, s in _GRID) + ")")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import market
+from . import base, market, stats  # noqa: F401
 
-QUERIES = {**market.QUERIES}
-SQL = {**market.SQL}
+QUERIES = base.QUERIES
+SQL = base.SQL
