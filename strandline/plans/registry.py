@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import base, market, stats  # noqa: F401
+from . import base, features, market, stats  # noqa: F401
 
 QUERIES = base.QUERIES
 SQL = base.SQL

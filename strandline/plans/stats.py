@@ -167,9 +167,9 @@ def _trade_list(spark, d):
 
 @query("trade_statistics", f"""WITH {_TRADES}, w AS (SELECT *, CASE WHEN lag(pnl > 0) OVER (PARTITION BY symbol ORDER BY entry_idx) IS NOT DISTINCT FROM (pnl > 0) AND row_number() OVER (PARTITION BY symbol ORDER BY entry_idx) > 1 THEN 0 ELSE 1 END AS nw FROM tr),
 x AS (SELECT *, sum(nw) OVER (PARTITION BY symbol ORDER BY entry_idx) AS run FROM w), kk AS (SELECT symbol, run, pnl > 0 AS won, count(*) AS k FROM x GROUP BY ALL), st AS (SELECT symbol, coalesce(max(k) FILTER (won), 0) AS most_wins, coalesce(max(k) FILTER (NOT won), 0) AS most_losses FROM kk GROUP BY symbol),
-g AS (SELECT symbol, count(*) AS n, avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0 END) AS win_rate, avg(pnl) FILTER (pnl > 0) AS avg_win, -avg(pnl) FILTER (pnl < 0) AS avg_loss, avg(pnl) AS expectancy, sum(greatest(pnl, 0)) / nullif(-sum(least(pnl, 0)), 0) AS profit_factor,
+tg AS (SELECT symbol, count(*) AS n, avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0 END) AS win_rate, avg(pnl) FILTER (pnl > 0) AS avg_win, -avg(pnl) FILTER (pnl < 0) AS avg_loss, avg(pnl) AS expectancy, sum(greatest(pnl, 0)) / nullif(-sum(least(pnl, 0)), 0) AS profit_factor,
   max(pnl) AS best, min(pnl) AS worst, median(pnl) AS median, stddev_pop(pnl) AS sd, (avg(pnl ** 3) - 3 * avg(pnl) * avg(pnl ** 2) + 2 * avg(pnl) ** 3) / nullif(var_pop(pnl), 0) ** 1.5 AS skew, avg(exit_idx - entry_idx) AS holding FROM tr GROUP BY symbol),
-h AS (SELECT *, avg_win / nullif(avg_loss, 0) AS win_loss FROM g), o AS (SELECT *, win_rate - 1 / (1 + win_loss) AS edge, win_rate - (1 - win_rate) / nullif(win_loss, 0) AS kelly FROM h JOIN st USING (symbol))
+th AS (SELECT *, avg_win / nullif(avg_loss, 0) AS win_loss FROM tg), o AS (SELECT *, win_rate - 1 / (1 + win_loss) AS edge, win_rate - (1 - win_rate) / nullif(win_loss, 0) AS kelly FROM th JOIN st USING (symbol))
 SELECT symbol, n, most_wins, most_losses, {_rounded('win_rate', 'avg_win', 'avg_loss', 'expectancy', 'profit_factor', 'best', 'worst', 'median', 'sd', 'skew', 'holding', 'win_loss', 'edge', 'kelly')} FROM o""")
 def trade_statistics(spark, d):
     found = stats.trade_statistics(_trade_list(spark, d), ["symbol"])
