@@ -190,10 +190,9 @@ def correlations(rets: DataFrame, key: str, time: str, x: str = "ret", least: in
 
 def effective_number(pairs: DataFrame) -> DataFrame:
     """m, effective: the participation ratio of the correlation matrix, m^2 over the sum of its squared entries."""
-    names = pairs.select("a").union(pairs.select("b")).distinct().agg(F.count(F.lit(1)).alias("m"))
-    squares = pairs.agg(F.sum(F.col("corr") * F.col("corr")).alias("s"))
-    # one row each
-    return names.join(squares).select("m", (F.col("m") * F.col("m") / (F.col("m") + 2 * F.coalesce("s", F.lit(0.0)))).alias("effective"))
+    rows = pairs.select(F.explode(F.array("a", "b")).alias("name"), "corr")
+    one = rows.agg(F.countDistinct("name").alias("m"), F.sum(F.col("corr") * F.col("corr")).alias("s"))  # each pair twice
+    return one.select("m", (F.col("m") * F.col("m") / (F.col("m") + F.coalesce("s", F.lit(0.0)))).alias("effective"))
 
 
 def tail_dependence(rets: DataFrame, key: str, time: str, x: str = "ret", q: float = 0.1) -> DataFrame:

@@ -19,19 +19,28 @@ _MAD = """md AS (SELECT *, median({m}) OVER (PARTITION BY symbol) AS mid, count(
 ml AS (SELECT *, greatest(0.05, CASE WHEN cnt >= 10 THEN 20 * 1.4826 * median(abs({m} - mid)) OVER (PARTITION BY symbol) ELSE 0 END) AS lim FROM md)"""
 
 
-@query("price_spikes", f"""WITH {BARS}, mv AS (SELECT *, ln(close / nullif(lag(close) OVER ({WS}), 0)) AS move FROM b), {_MAD.format(m='move', t='mv')}, bk AS (SELECT *, lead(move) OVER ({WS}) AS back FROM ml)
+#: Monthly prices drawn together, with a jump every 17 bars that the next bar takes back, and one split.
+_JUMPY = "jm AS (SELECT symbol, bar, idx, exp(ln(close) / 1000) * CASE WHEN idx % 17 = 9 THEN 1.5 ELSE 1 END * CASE WHEN idx >= 30 THEN 2 ELSE 1 END AS close FROM m)"
+
+
+def _jumpy(spark, d):
+    up = F.when(F.col("idx") % 17 == 9, 1.5).otherwise(1.0) * F.when(F.col("idx") >= 30, 2.0).otherwise(1.0)
+    return monthly(spark, d).select("symbol", "bar", "idx", (F.exp(F.log("close") / 1000) * up).alias("close")).withColumn("open", F.col("close"))
+
+
+@query("price_spikes", f"""WITH {MONTHS}, {_JUMPY}, mv AS (SELECT *, ln(close / nullif(lag(close) OVER ({WS}), 0)) AS move FROM jm), {_MAD.format(m='move', t='mv')}, bk AS (SELECT *, lead(move) OVER ({WS}) AS back FROM ml)
 SELECT symbol, bar, round(move, 6) AS move, round(back, 6) AS back FROM bk WHERE abs(move) > lim AND sign(back) = -sign(move) AND abs(move + back) <= 0.25 * abs(move)""")
 def price_spikes(spark, d):
-    return _pick(quality.spikes(hourly(spark, d)), ["symbol", "bar"], "move", "back")
+    return _pick(quality.spikes(_jumpy(spark, d)), ["symbol", "bar"], "move", "back")
 
 
 _SPLIT = "({x} IS NOT NULL AND abs(ln({x})) > lim AND (" + " OR ".join(f"abs({{x}} * {k} - 1) <= 0.03 OR abs({{x}} / {k} - 1) <= 0.03" for k in (2, 3, 4, 5, 10, 20)) + "))"
 
 
-@query("split_jumps", f"""WITH {MONTHS}, mv AS (SELECT *, close AS open, ln(close / nullif(lag(close) OVER ({WS}), 0)) AS mm, close / nullif(lag(close) OVER ({WS}), 0) AS x FROM m), {_MAD.format(m='mm', t='mv')}
+@query("split_jumps", f"""WITH {MONTHS}, {_JUMPY}, mv AS (SELECT *, ln(close / nullif(lag(close) OVER ({WS}), 0)) AS mm, close / nullif(lag(close) OVER ({WS}), 0) AS x FROM jm), {_MAD.format(m='mm', t='mv')}
 SELECT symbol, bar, round(x, 6) AS ratio FROM ml WHERE {_SPLIT.format(x='x')}""")
 def split_jumps(spark, d):
-    return _pick(quality.split_jumps(monthly(spark, d).withColumn("open", F.col("close"))), ["symbol", "bar"], "ratio")
+    return _pick(quality.split_jumps(_jumpy(spark, d)), ["symbol", "bar"], "ratio")
 
 
 #: Whole prices, so that bars repeat.
@@ -110,7 +119,7 @@ def half_spread_bps(spark, d):
 
 
 @query("trading_capacity", f"""WITH {MONTHS}, {_WEIGHTS}, c AS (SELECT symbol, bar, close * volume AS v, weight - coalesce(lag(weight) OVER (PARTITION BY symbol ORDER BY bar), 0) AS dw FROM w),
-q AS (SELECT symbol, quantile_cont(v / abs(dw), 0.1) AS room FROM c WHERE abs(dw) > 0 AND v > 0 GROUP BY symbol) SELECT symbol, s AS share, round(s * room, 2) AS capital FROM q, (SELECT unnest([0.01, 0.05, 0.1])::DOUBLE AS s)""")
+qq AS (SELECT symbol, quantile_cont(v / abs(dw), 0.1) AS room FROM c WHERE abs(dw) > 0 AND v > 0 GROUP BY symbol) SELECT symbol, s AS share, round(s * room, 2) AS capital FROM qq, (SELECT unnest([0.01, 0.05, 0.1])::DOUBLE AS s)""")
 def trading_capacity(spark, d):
     from ..functions import xsection as fx
 
