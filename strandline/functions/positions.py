@@ -53,12 +53,14 @@ def tranches(weight: Column, every: int, sleeves: int, w: WindowSpec) -> Column:
     return sum((rebalanced(weight, every, j * every // sleeves, w) for j in range(sleeves)), F.lit(0.0)) / sleeves
 
 
-def hysteresis(z: Column, enter: float, leave: float, w: WindowSpec) -> Column:
-    """-1, 0 or 1: short once z exceeds ``enter``, long once below -``enter``, flat once within ``leave``; else what it was.
-
-    The states are the last marks: an entry while in the other side is a turn, as its size exceeds both limits."""
-    mark = F.when(z > enter, -1).when(z < -enter, 1).when(F.abs(z) < leave, 0)
-    return F.coalesce(F.last(mark, True).over(w.rowsBetween(W.unboundedPreceding, 0)), F.lit(0))
+def hysteresis(rows: DataFrame, z: str, enter: float, leave: float, key: str = "symbol") -> DataFrame:
+    """With position: -1 from the first bar that z exceeds ``enter``, 1 from the first below -``enter``, until z is within
+    ``leave`` or null. A state that is held is not turned round. Exits number the spells; a spell's first entry counts."""
+    w = W.partitionBy(key).orderBy("idx").rowsBetween(W.unboundedPreceding, 0)
+    c = F.col(z)
+    rows = rows.withColumns({"_out": F.sum((c.isNull() | (F.abs(c) < leave)).cast("int")).over(w), "_in": F.when(c > enter, -1).when(c < -enter, 1)})
+    spell = W.partitionBy(key, "_out").orderBy("idx").rowsBetween(W.unboundedPreceding, 0)
+    return rows.withColumn("position", F.coalesce(F.first("_in", True).over(spell), F.lit(0))).drop("_out", "_in")
 
 
 def cadence(rows: DataFrame, key: str, weight: str) -> DataFrame:

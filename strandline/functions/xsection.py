@@ -25,11 +25,11 @@ def correlation(x: str, y: str) -> Column:
     return F.when((vx > 1e-12) & (vy > 1e-12), cov / F.sqrt(vx * vy))
 
 
-def rank_ic(panel: DataFrame, score: str, forward: str, least: int = 3) -> DataFrame:
-    """bar, n, ic: Spearman of score and forward return on each date with ``least`` pairs."""
+def rank_ic(panel: DataFrame, score: str, forward: str, least: int = 3, part: tuple[str, ...] = ("bar",)) -> DataFrame:
+    """part (the date), n, ic: Spearman of score and forward return on each date with ``least`` pairs."""
     rows = panel.where(F.col(score).isNotNull() & F.col(forward).isNotNull())
-    rows = rows.select("bar", rank_average(score, ["bar"]).alias("rs"), rank_average(forward, ["bar"]).alias("rf"))
-    return rows.groupBy("bar").agg(F.count(F.lit(1)).alias("n"), correlation("rs", "rf").alias("ic")).where(F.col("n") >= least)
+    rows = rows.select(*part, rank_average(score, list(part)).alias("rs"), rank_average(forward, list(part)).alias("rf"))
+    return rows.groupBy(*part).agg(F.count(F.lit(1)).alias("n"), correlation("rs", "rf").alias("ic")).where(F.col("n") >= least)
 
 
 def legs(panel: DataFrame, score: str, q: int) -> DataFrame:

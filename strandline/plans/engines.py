@@ -150,7 +150,7 @@ def funding_and_fees(spark, d):
     return _signals(spark, d).select("symbol", "bar", r(costs.funding_drag(w, F.lit(1.5), F.lit(2.0)), 8).alias("drag"), r(costs.side_fee_bps(1.0, 5.0, (F.col("idx") % 11) / 10.0)).alias("fee_bps"))
 
 
-@query("latency_scan", f"""WITH {BARS}, dl AS (SELECT *, unnest([0, 60000, 600000, 3600000]) AS extra FROM ticks), ib0 AS (SELECT symbol, extra, (arrival_us + 1000 * extra) // 3600000000 AS bar, arg_max(price, (arrival_us, event_id)) AS close FROM dl GROUP BY ALL),
+@query("latency_scan", f"""WITH {BARS}, dl AS (SELECT *, unnest([0, 60000, 600000, 3600000]) AS extra FROM ticks), ib0 AS (SELECT symbol, extra, (arrival_us + 1000::BIGINT * extra) // 3600000000 AS bar, arg_max(price, (arrival_us, event_id)) AS close FROM dl GROUP BY ALL),
 ib AS (SELECT *, row_number() OVER (PARTITION BY symbol, extra ORDER BY bar) - 1 AS idx FROM ib0), sg AS (SELECT symbol, extra, bar, CASE WHEN count(*) OVER f5 >= 5 AND count(*) OVER f20 >= 20 AND avg(close) OVER f5 > avg(close) OVER f20 THEN 1 ELSE 0 END AS t FROM ib
   WINDOW f5 AS (PARTITION BY symbol, extra ORDER BY idx ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), f20 AS (PARTITION BY symbol, extra ORDER BY idx ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
 mb AS (SELECT b.*, extra FROM b, (SELECT unnest([0, 60000, 600000, 3600000]) AS extra)), s AS (SELECT mb.symbol, mb.extra, mb.idx, mb.open, mb.close, coalesce(sg.t, 0) AS t FROM mb LEFT JOIN sg ON sg.symbol = mb.symbol AND sg.extra = mb.extra AND sg.bar = mb.bar), {trades_sql('s', 'symbol, extra')}

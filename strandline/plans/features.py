@@ -175,12 +175,11 @@ def position_transforms(spark, d):
 _Z = f"(close - {full('avg', 'close', 30)}) / nullif({full('stddev_samp', 'close', 30)}, 0)"
 
 
-@query("hysteresis_positions", f"""WITH {BARS}, z AS (SELECT symbol, bar, idx, {_Z} AS z FROM b), mk AS (SELECT *, CASE WHEN z > 1 THEN -1 WHEN z < -1 THEN 1 WHEN abs(z) < 0.5 THEN 0 END AS mark FROM z)
-SELECT symbol, bar, coalesce(last_value(mark IGNORE NULLS) OVER ({WS}), 0) AS position FROM mk""")
+@query("hysteresis_positions", f"""WITH {BARS}, z AS (SELECT symbol, bar, idx, {_Z} AS z FROM b), mk AS (SELECT *, sum(CASE WHEN z IS NULL OR abs(z) < 0.5 THEN 1 ELSE 0 END) OVER ({WS}) AS spell, CASE WHEN z > 1 THEN -1 WHEN z < -1 THEN 1 END AS mark FROM z)
+SELECT symbol, bar, coalesce(first_value(mark IGNORE NULLS) OVER (PARTITION BY symbol, spell ORDER BY idx), 0) AS position FROM mk""")
 def hysteresis_positions(spark, d):
-    w = fw.by()
-    rows = hourly(spark, d).withColumn("z", fw.zscore(F.col("close"), 30, w))
-    return rows.select("symbol", "bar", fp.hysteresis(F.col("z"), 1.0, 0.5, w).alias("position"))
+    rows = hourly(spark, d).withColumn("z", fw.zscore(F.col("close"), 30, fw.by()))
+    return fp.hysteresis(rows, "z", 1.0, 0.5).select("symbol", "bar", "position")
 
 
 @query("rebalance_cadence", f"""WITH {_POS}, w AS (SELECT symbol, idx, {_reb(4, 0)} AS w FROM ps), mv AS (SELECT symbol, idx FROM (SELECT *, lag(w) OVER ({WS}) AS old FROM w) WHERE old IS NOT NULL AND old <> w),
