@@ -1,0 +1,105 @@
+"""A small causal expression language over price columns, compiled to columns: no operation looks ahead.
+
+A tree is a column name or ``(operation, tree, ...)``; windowed operations take their length last: ``("sma", "close", 20)``.
+Windows cannot nest inside one projection, so each distinct subtree is one column, made once however many trees share it.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
+
+from . import recursive
+from .windows import by, change, div, rolling, sma, zscore
+
+Tree = str | tuple
+LEAVES = ("open", "high", "low", "close", "volume", "ret", "range")
+WINDOWED = {
+    "sma": sma,
+    "std": lambda x, n, w: rolling(F.stddev_samp, x, n, w),
+    "rmax": lambda x, n, w: rolling(F.max, x, n, w),
+    "rmin": lambda x, n, w: rolling(F.min, x, n, w),
+    "lag": lambda x, n, w: F.lag(x, n).over(w),
+    "diff": lambda x, n, w: x - F.lag(x, n).over(w),
+    "roc": lambda x, n, w: change(x, w, n),
+    "zscore": zscore,
+}
+UNARY = {"neg": lambda x: -x, "abs": F.abs, "sign": F.signum}
+BINARY = {"add": lambda a, b: a + b, "sub": lambda a, b: a - b, "mul": lambda a, b: a * b, "div": lambda a, b: a / F.when(F.abs(b) > 1e-12, b)}
+
+
+def parts(tree: Tree) -> tuple[str, list[Tree], int | None]:
+    """Operation, operands and length; errors name what is wrong."""
+    op, *rest = tree
+    if op in WINDOWED or op == "ema":
+        if len(rest) != 2 or not isinstance(rest[1], int) or rest[1] < 1:
+            raise ValueError(f"{op} takes a tree and a length of 1 or more")
+        return op, rest[:1], rest[1]
+    if len(rest) != (1 if op in UNARY else 2 if op in BINARY else -1):
+        raise ValueError(f"unknown operation or wrong number of operands: {op!r}")
+    return op, rest, None
+
+
+def key(tree: Tree) -> str:
+    """Canonical text: operands of add and mul in order, so a + b and b + a are one."""
+    if isinstance(tree, str):
+        if tree not in LEAVES:
+            raise ValueError(f"unknown column {tree!r}")
+        return tree
+    op, operands, n = parts(tree)
+    names = [key(t) for t in operands]
+    names = sorted(names) if op in ("add", "mul") else names
+    return f"{op}({', '.join(names + ([str(n)] if n else []))})"
+
+
+def lookback(tree: Tree) -> int:
+    """Rows before the first value, at most."""
+    if isinstance(tree, str):
+        return int(tree == "ret")
+    _, operands, n = parts(tree)
+    return (n or 0) + max(lookback(t) for t in operands)
+
+
+def evaluate(rows: DataFrame, trees: dict[str, Tree], symbol: str = "symbol") -> DataFrame:
+    """``rows`` (symbol, idx and prices) with a column for each named tree. Infinite values are null."""
+    w = by(symbol)
+    cols = rows.columns
+    made: dict[str, str] = {}
+
+    def leaf(name: str, w: WindowSpec) -> Column:
+        if name == "ret":
+            return change(F.col("close"), w)
+        if name == "range":
+            return div(F.col("high") - F.col("low"), F.col("close"))
+        return F.col(name).cast("double") if name in cols else F.lit(1.0)
+
+    def build(df: DataFrame, tree: Tree) -> tuple[DataFrame, str]:
+        text = key(tree)
+        if text in made:
+            return df, made[text]
+        made[text] = name = f"_d{len(made)}"
+        if isinstance(tree, str):
+            return df.withColumn(name, leaf(tree, w)), name
+        op, operands, n = parts(tree)
+        args = []
+        for t in operands:
+            df, a = build(df, t)
+            args.append(a)
+        if op == "ema":
+            return recursive.per_group(df, [symbol], "idx", lambda c: {name: recursive.ema(c[args[0]], n)}, {name: "double"}), name
+        x = [F.col(a) for a in args]
+        value = WINDOWED[op](x[0], n, w) if op in WINDOWED else UNARY[op](x[0]) if op in UNARY else BINARY[op](*x)
+        return df.withColumn(name, F.when(F.abs(value) < float("inf"), value)), name
+
+    out = rows
+    chosen = {}
+    for name, tree in trees.items():
+        out, chosen[name] = build(out, tree)
+    return out.select(*cols, *[F.col(c).alias(n) for n, c in chosen.items()])
+
+
+def rule(rows: DataFrame, tree: Tree, n: int, symbol: str = "symbol") -> DataFrame:
+    """With signal: 1 where the tree exceeds its own mean of ``n`` rows, else 0."""
+    made = evaluate(rows, {"_f": tree, "_g": ("sma", tree, n)}, symbol)
+    return made.withColumn("signal", F.when(F.col("_f") > F.col("_g"), 1).otherwise(0)).drop("_f", "_g")
