@@ -69,10 +69,12 @@ class Classifier:
         made = featured(docs)
         if self.only is not None:
             p = F.array(*[F.lit(float(k == self.only)) for k in range(len(DOMAINS))])
-            return made.withColumn("m_p", p).drop("m_x")
-        made = self.model.transform(made).withColumn("m_p", vector_to_array("m_p")).drop("m_x", "m_raw", "m_y")
-        p = [F.round(F.coalesce(F.get("m_p", k), F.lit(0.0)), digits) for k in range(len(DOMAINS))]
-        return made.withColumn("m_p", F.array(F.round(1 - sum(p[1:]), digits), *p[1:]))
+        else:
+            made = self.model.transform(made).withColumn("m_p", vector_to_array("m_p"))
+            p = [F.round(F.coalesce(F.get("m_p", k), F.lit(0.0)), digits) for k in range(len(DOMAINS))]
+            p = F.array(F.round(1 - sum(p[1:]), digits), *p[1:])
+        # a generator: what is built on its output (rates, filters) does not repeat the text work and the model for each use
+        return made.select(*docs.columns, F.inline(F.array(F.struct("m_n", p.alias("m_p")))))
 
 
 def rate(steps: list[list[float]], p: Column) -> Column:
