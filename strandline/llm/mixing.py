@@ -42,8 +42,10 @@ def featured(docs: DataFrame, buckets: int = 1 << 14) -> DataFrame:
     """``docs`` with m_n (tokens) and m_x (hashed words and marks of form)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     share = lambda kept: F.length(F.regexp_replace(text, f"[^{kept}]+", "")) * 20 / F.greatest(F.lit(1), F.length(text))
-    marks = [F.concat(F.lit(f"\x01{k}"), F.floor(share(c)).cast("string")) for k, c in (("s", "#*$%&|<>"), ("u", r"\p{Lu}"), ("b", "!?"))]
-    made = docs.withColumn("m_w", util.words(F.regexp_replace(F.lower(text), r"[.,;:!?#*$%&|<>]+", " "))).withColumn("m_marks", F.array(*marks))
+    # one mark for each twentieth that a share reaches, so that greater shares have the marks of lesser ones
+    reached = lambda k, c: F.transform(F.sequence(F.lit(0), F.floor(share(c)).cast("int")), lambda i: F.concat(F.lit(f"\x01{k}"), i.cast("string")))
+    marks = F.concat(*[reached(k, c) for k, c in (("s", "#*$%&|<>"), ("u", r"\p{Lu}"), ("b", "!?"))])
+    made = docs.withColumn("m_w", util.words(F.regexp_replace(F.lower(text), r"[.,;:!?#*$%&|<>]+", " "))).withColumn("m_marks", marks)
     made = made.withColumn("m_n", F.size("m_w").cast("long")).withColumn("m_t", F.concat("m_w", "m_marks"))
     return HashingTF(numFeatures=buckets, binary=True, inputCol="m_t", outputCol="m_x").transform(made).drop("m_w", "m_t", "m_marks")
 
