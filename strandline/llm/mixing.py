@@ -63,7 +63,7 @@ class Classifier:
         self.only = int(found[0]) if len(found) == 1 else 0 if not found else None
         if self.only is None:
             self.model = LogisticRegression(
-                featuresCol="m_x", labelCol="label", probabilityCol="m_p", rawPredictionCol="m_raw", predictionCol="m_y", family="multinomial", regParam=0.003, maxIter=40
+                featuresCol="m_x", labelCol="label", probabilityCol="m_p", rawPredictionCol="m_raw", predictionCol="m_y", family="multinomial", regParam=0.0005, maxIter=40, standardization=False
             ).fit(rows)
 
     def probabilities(self, docs: DataFrame, digits: int = 3) -> DataFrame:

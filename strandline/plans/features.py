@@ -119,14 +119,14 @@ def half_spread_bps(spark, d):
 
 
 @query("trading_capacity", f"""WITH {MONTHS}, {_WEIGHTS}, c AS (SELECT symbol, bar, close * volume AS v, weight - coalesce(lag(weight) OVER (PARTITION BY symbol ORDER BY bar), 0) AS dw FROM w),
-qq AS (SELECT symbol, quantile_cont(v / abs(dw), 0.1) AS room FROM c WHERE abs(dw) > 0 AND v > 0 GROUP BY symbol) SELECT symbol, s AS share, round(s * room, 2) AS capital FROM qq, (SELECT unnest([0.01, 0.05, 0.1])::DOUBLE AS s)""")
+qq AS (SELECT symbol, quantile_cont(v / abs(dw), 0.1) AS room FROM c WHERE abs(dw) > 0 AND v > 0 GROUP BY symbol) SELECT symbol, s AS share, round(s * room, 6) AS capital FROM qq, (SELECT unnest([0.01, 0.05, 0.1])::DOUBLE AS s)""")
 def trading_capacity(spark, d):
     from ..functions import xsection as fx
 
     w = W.partitionBy("symbol").orderBy("bar")
     rows = fx.legs(monthly(spark, d).withColumn("ret", F.round("ret", 9)), "ret", 5)
     rows = rows.withColumns({"v": F.col("close") * F.col("volume"), "dw": F.col("weight") - F.coalesce(F.lag("weight").over(w), F.lit(0.0))})
-    return quality.capacity(rows, "symbol", "v", "dw").select("symbol", "share", r("capital", 2).alias("capital"))
+    return quality.capacity(rows, "symbol", "v", "dw").select("symbol", "share", r("capital").alias("capital"))
 
 
 # Positions

@@ -219,13 +219,13 @@ def pair_phantom_pnl(spark, d):
     return rows.select("bar", q.alias("qy"), r(booked).alias("booked"), r(tradable).alias("tradable"))
 
 
-@query("carry_index", f"""WITH {BARS}, {_PAIR}, c AS (SELECT *, exp(y) / exp(lag(y) OVER ({WS})) - exp(x) / exp(lag(x) OVER ({WS})) AS basis, ((idx * 7) % 11 - 5) / 10000.0::DOUBLE AS funding FROM p), i AS (SELECT *, CASE WHEN idx = 0 THEN 0 ELSE (basis / 1000 + funding) END AS ret FROM c)
+@query("carry_index", f"""WITH {BARS}, {_PAIR}, c AS (SELECT *, exp(y) / exp(lag(y) OVER ({WS})) - exp(x) / exp(lag(x) OVER ({WS})) AS basis, ((idx * 7) % 11 - 5) / 10000.0::DOUBLE AS funding FROM p), i AS (SELECT *, CASE WHEN idx = 0 THEN 0 ELSE (basis / 1000000 + funding) END AS ret FROM c)
 SELECT bar, round(ret, 8) + 0 AS ret, round(100 * exp(sum(ln(1 + ret)) OVER ({WS})), 6) AS close FROM i""")
 def carry_index(spark, d):
     """A hedged book of one leg against the other that collects funding, as a compounded index."""
     w = fw.by()
     grow = lambda c: F.exp(c) / F.exp(F.lag(c).over(w))
-    rows = _pair(spark, d).withColumn("ret", F.when(F.col("idx") == 0, 0.0).otherwise((grow("y") - grow("x")) / 1000 + ((F.col("idx") * 7) % 11 - 5) / 10000.0))
+    rows = _pair(spark, d).withColumn("ret", F.when(F.col("idx") == 0, 0.0).otherwise((grow("y") - grow("x")) / 1_000_000 + ((F.col("idx") * 7) % 11 - 5) / 10000.0))
     return rows.select("bar", r("ret", 8).alias("ret"), r(100 * F.exp(F.sum(F.log1p("ret")).over(w.rowsBetween(W.unboundedPreceding, 0)))).alias("close"))
 
 

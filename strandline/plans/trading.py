@@ -74,9 +74,9 @@ _SNAP = f"{_OPT}, dy AS (SELECT DISTINCT date AS now FROM opt), sn AS (SELECT op
 
 
 @query("option_margin", f"""WITH {_OPT}, sh AS (SELECT *, arg_max(underlying_price, (date, trade_id)) OVER (PARTITION BY now, symbol) AS s0 FROM (SELECT * FROM opt WHERE qty < 0) o2 JOIN (SELECT DISTINCT date AS now FROM opt WHERE qty < 0) d2 ON o2.date <= now AND now < expiry)
-SELECT CAST(now AS VARCHAR) AS now, round(sum((greatest(0.2 * s0 - greatest(0, CASE WHEN "right" = 'C' THEN strike - s0 ELSE s0 - strike END), 0.1 * CASE WHEN "right" = 'C' THEN s0 ELSE strike END) + fill_price) * -qty * multiplier), 0) AS margin FROM sh GROUP BY now""")
+SELECT CAST(now AS VARCHAR) AS now, round(sum((greatest(0.2 * s0 - greatest(0, CASE WHEN "right" = 'C' THEN strike - s0 ELSE s0 - strike END), 0.1 * CASE WHEN "right" = 'C' THEN s0 ELSE strike END) + fill_price) * -qty * multiplier), 4) AS margin FROM sh GROUP BY now""")
 def option_margin(spark, d):
-    return _pick(options.margin(option_trades(spark, d)).withColumn("now", F.col("now").cast("string")), ["now"], "margin", digits=0)
+    return _pick(options.margin(option_trades(spark, d)).withColumn("now", F.col("now").cast("string")), ["now"], "margin", digits=4)
 
 
 @query("option_stress", f"""WITH {_SNAP}, kn AS (SELECT now, symbol, arg_max(underlying_price, (date, trade_id)) AS s0 FROM sn GROUP BY ALL), x AS (SELECT sn.*, s0, date_diff('day', now, expiry) / 365.0::DOUBLE AS t FROM sn JOIN kn USING (now, symbol)),
