@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import decontam, linededup, mixing, quality, simhash, util
+from strandline.llm import decontam, linededup, mixing, neardup, quality, util
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,14 +27,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the row of the group's least doc_id (of rows that repeat it, one)."""
-    found = simhash.groups(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(found.hint("merge"), "doc_id", "left_semi").select(docs.columns)
-    twice = util.save(kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "repeated-ids")
-    if not twice.limit(1).count():
-        return kept
-    hint = util.hinted(twice, 100_000)
-    return kept.join(hint, "doc_id", "left_anti").unionByName(kept.join(hint, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(docs.columns)
+    """One document of each group of near copies stays (five-word similarity of 0.8 at least): the row of the group's least
+    doc_id. Rows are told apart by all their columns, so null and repeated ids are decided by their text."""
+    return neardup.dedup(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,3 +28,27 @@ def test_stages(spark, tmp_path):
     assert left[0] == ids | {500, 503} and left[2] == ids | {500} and left[3] == ids
     assert {"doc_id", "rate", "n_tokens"} <= set(now.columns) and now.count() <= len(ids)
     assert now.where("rate <= 0").count() == 0
+
+
+def test_near_copies_go_and_no_others(spark):
+    """Held against the similarity of all pairs: copies with a few words changed go, texts that share less stay."""
+
+    def changed(i, n):
+        words = prose(300, 7000 + i).split(" ")
+        for k in range(n):
+            words[20 + 14 * k] = f"x{i}y{k}"
+        return " ".join(words)
+
+    own = [(i, prose(300, 7000 + i)) for i in range(30)]
+    rows = own + [(100 + i, changed(i, 1 + i % 8)) for i in range(30)] + [(200 + k, " ".join(["same", "five", "words", "of", "old"] * 10 + [f"n{k}"])) for k in range(3)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOC)
+    sets = {i: {tuple(t.lower().split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for i, t in rows}
+    group = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and group[a] != group[b]:
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = {i: new if g == old else g for i, g in group.items()}
+    left = sorted(r[0] for r in corpus_pipeline.near_dedup(spark, docs, "").select("doc_id").collect())
+    assert left == sorted(set(group.values()))
+    assert 30 < len(left) < 60
