@@ -33,9 +33,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    found = util.save(decontam.search(docs, util.table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
-    return docs.join(util.hinted(found, 1_000_000), "doc_id", "left_anti").select(docs.columns)
+    """Documents that hold a benchmark item go. The search knows rows by all their columns: null ids go as others do, and
+    rows that share an id are judged one by one."""
+    keyed = docs.select(neardup.row_key(docs).alias("doc_id"), "text")
+    found = util.save(decontam.search(keyed, util.table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_key")).distinct(), "leaks")
+    return docs.withColumn("_key", neardup.row_key(docs)).join(util.hinted(found, 1_000_000), "_key", "left_anti").select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,3 +52,14 @@ def test_near_copies_go_and_no_others(spark):
     left = sorted(r[0] for r in corpus_pipeline.near_dedup(spark, docs, "").select("doc_id").collect())
     assert left == sorted(set(group.values()))
     assert 30 < len(left) < 60
+
+
+def test_null_and_repeated_ids_are_decided_by_their_text(spark, tmp_path):
+    item, a, b, c, d = (prose(60, 9000 + k) for k in range(5))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, a, "en", "s", 1), (None, b, "en", "s", 1), (None, b, "en", "s", 1), (7, c, "en", "s", 1), (7, d, "en", "s", 1), (8, d, "en", "s", 1)]
+    left = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, DOC), "")
+    assert sorted(left.select("doc_id", "text").collect(), key=str) == sorted([(None, a), (None, b), (7, c), (7, d)], key=str)
+    rows = [(None, a, "en", "s", 1), (None, b + " " + item, "en", "s", 1), (7, c, "en", "s", 1), (7, d + " " + item, "en", "s", 1)]
+    left = corpus_pipeline.decontaminate(spark, spark.createDataFrame(rows, DOC), str(tmp_path))
+    assert sorted(left.select("doc_id", "text").collect(), key=str) == sorted([(None, a), (7, c)], key=str)
