@@ -3,13 +3,14 @@
 Two variable-order Markov models of characters, one of accepted and one of rejected URLs, are smoothed by
 Witten-Bell interpolation. A context is extended to a longer one only where the longer one was seen
 ``min_context`` times. The URLs that a rule decides are the training data; a fifth of them, chosen by a checksum,
-is held out to calibrate the cut-off of the length-normalised log-likelihood difference.
+is held out to calibrate the cut-off of the length-normalised log-likelihood difference. Rules look at host and path;
+the models see the whole URL, its host in lower case, with scheme, query and fragment.
 
 Everything is DataFrame expressions. Counts and probabilities are kept by distinct n-gram, so the one large
 shuffle has a row for each character position of the URLs that no rule decides.
 
 Edge cases: a null URL, or one without ``://``, has an empty host and path, fits no rule and is allowed unless the
-models say otherwise; with no accepted or no rejected training URL every such URL is allowed; an empty table gives
+models say otherwise (of a null one they see an empty text, of the other its text as it is); with no accepted or no rejected training URL every such URL is allowed; an empty table gives
 an empty result; repeated rows each get the same verdict; extra columns of the input are ignored.
 """
 
@@ -40,6 +41,13 @@ def host_path(url: Column) -> tuple[Column, Column]:
     return util.ascii_lower(part(1)), part(2)
 
 
+def whole(url: Column) -> Column:
+    """The URL as the models see it: as it is, but for the host's case."""
+    url = F.coalesce(url, F.lit(""))
+    head = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*", 0)
+    return F.concat(util.ascii_lower(head), F.substr(url, F.length(head) + 1))
+
+
 def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     """The longest fitting rule as ``host/path`` text and its verdict; null where none fits."""
     ranked = sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[1], r[2]))
@@ -134,26 +142,26 @@ def cutoff(scored: DataFrame, most_false_blocks: float) -> float | None:
 def judge(pages: DataFrame, rules=RULES, order: int = 4, min_context: int = 2, most_false_blocks: float = 0.01) -> DataFrame:
     """page_id, host, path, rule, verdict, ratio (of the URLs that no rule decides), cutoff."""
     host, path = host_path(F.col("url"))
-    rows = pages.select("page_id", host.alias("host"), path.alias("path"))
+    rows = pages.select("page_id", host.alias("host"), path.alias("path"), whole(F.col("url")).alias("s"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.select("*", rule.alias("rule"), verdict.alias("by_rule"))
-    distinct = rows.groupBy(F.concat("host", "path").alias("s"), "host", "path", "by_rule").agg(F.count(F.lit(1)).alias("n"))
+    distinct = rows.groupBy("s", "by_rule").agg(F.count(F.lit(1)).alias("n"))
     distinct = util.save(distinct.withColumn("held", F.crc32(F.encode("s", "UTF-8")) % 5 == 0), "urls")
     train = distinct.where(F.col("by_rule").isNotNull() & ~F.col("held")).select("s", "n", (F.col("by_rule") == "allow").alias("accepted"))
     asked = distinct.where(F.col("by_rule").isNull() | F.col("held"))
-    at = exploded(asked.select("s", util.row_key("host", "path").alias("key")), order)
+    at = exploded(asked.select("s", util.row_key("s").alias("key")), order)
     per = at.groupBy("key", "gram").agg(F.count(F.lit(1)).alias("m"))
     ratios = log_ratios(train, at.select("gram").distinct(), order, min_context)
     sums = per.join(ratios, "gram").groupBy("key").agg((F.sum(F.round(F.col("ratio") * F.col("m"), 9).cast("decimal(24,9)")) / F.sum("m")).cast("double").alias("ratio"))
     scored = util.save(
-        asked.withColumn("key", util.row_key("host", "path")).join(sums, "key").select("host", "path", "by_rule", "n", "ratio"), "url-scores"
+        asked.withColumn("key", util.row_key("s")).join(sums, "key").select("s", "by_rule", "n", "ratio"), "url-scores"
     )
     held = scored.where(F.col("by_rule").isNotNull()).select("ratio", "n", (F.col("by_rule") == "allow").alias("accepted"))
     both = train.agg(F.max("accepted").alias("a"), F.min("accepted").alias("r")).first()
     cut = cutoff(held, most_false_blocks) if both["a"] and both["r"] is False else None
     method = F.when(F.col("ratio") <= (F.lit(None) if cut is None else F.lit(cut)), "block").otherwise("allow")
-    open_ = scored.where(F.col("by_rule").isNull()).select("host", "path", "ratio")
-    return rows.join(open_, ["host", "path"], "left").select(
+    open_ = scored.where(F.col("by_rule").isNull()).select("s", "ratio")
+    return rows.join(open_, "s", "left").select(
         "page_id", "host", "path", "rule", F.coalesce("by_rule", method).alias("verdict"), F.when(F.col("by_rule").isNull(), F.col("ratio")).alias("ratio"),
         F.lit(cut).cast("double").alias("cutoff"),
     )

@@ -351,6 +351,21 @@ def test_url_rules_and_models(spark):
     assert urlfilter.judge(empty).count() == 0
 
 
+def test_url_models_see_the_whole_url(spark):
+    """Rejected URLs that differ from accepted ones in their query alone."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("aeioulmn") for _ in range(6))
+    good = [f"http://a.example.com/en/7{word()}?page={word()}" for _ in range(300)]
+    bad = [f"http://a.example.com/en/8{word()}?sid=zzxqkj{k % 10}zzxqkj" for k in range(300)]
+    asked = ["http://q.edu/x/mano?page=lumina", "http://q.edu/x/mano?sid=zzxqkj4zzxqkj", "http://q.edu/x/mano#sid=zzxqkj4zzxqkj", "HTTP://Q.edu/x/mano?page=lumina", "//sid=zzxqkj4zzxqkjzzxqkj"]
+    rows = list(enumerate(good + bad + asked))
+    got = {r.page_id: r for r in urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert len(got) == len(rows)
+    plain, query, fragment, upper, bare = (got[600 + k] for k in range(5))
+    assert plain.verdict == "allow" and upper.verdict == "allow" and query.verdict == fragment.verdict == bare.verdict == "block"
+    assert query.ratio < plain.ratio and query.path == plain.path and (bare.host, bare.path, bare.rule) == ("", "", None)
+
+
 def test_url_probabilities_by_force(spark):
     rows = [("abab", True, 2), ("abc", True, 1), ("xbab", False, 1), ("bb", False, 3)]
     train = spark.createDataFrame(rows, "s string, accepted boolean, n long")
