@@ -183,10 +183,10 @@ def l2_book_walk(spark, d):
 
 
 def _order_rows(spark, d):
-    """A limit order on every seventh bar, some with a bracket, some immediate or cancel."""
+    """A limit order on every bar, some with a bracket, some immediate or cancel."""
     i, c = F.col("idx"), F.col("close")
     side = F.when(i % 2 == 0, 1).otherwise(-1)
-    rows = hourly(spark, d).where("idx % 7 = 0").select("symbol", i.cast("long").alias("placed"), side.alias("side"), F.lit(10.0).alias("qty"), c.alias("c"), F.xxhash64("symbol", "idx").alias("order_id"))
+    rows = hourly(spark, d).select("symbol", i.cast("long").alias("placed"), side.alias("side"), F.lit(10.0).alias("qty"), c.alias("c"), F.xxhash64("symbol", "idx").alias("order_id"))
     s = F.col("side")
     return rows.withColumns({
         "limit_px": F.when(F.col("placed") % 3 != 0, F.col("c") * (1 - s * 0.2)), "stop_px": F.when(F.col("placed") % 5 == 0, F.col("c") * (1 - s * 0.6)), "take_px": F.when(F.col("placed") % 5 == 0, F.col("c") * (1 + s * 0.6)),

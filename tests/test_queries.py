@@ -65,3 +65,12 @@ def test_row_order_and_partitions_do_not_matter(spark):
         got = sorted((r[0], r[1], round(r[3], 9)) for r in backtest.totals(backtest.trades(b, "t", ["symbol"]), ["symbol"]).collect())
         base = base or got
         assert got == base
+
+
+def test_order_matching_has_an_order_on_every_bar(spark):
+    import __spark_entry__
+    from strandline.plans import trading
+
+    bars = trading.hourly(spark, __spark_entry__.SMOKE_DIR).select("symbol", "idx")
+    placed = trading._order_rows(spark, __spark_entry__.SMOKE_DIR).select("symbol", "placed")
+    assert bars.count() > 0 and bars.exceptAll(placed).count() == 0 and placed.exceptAll(bars).count() == 0
