@@ -4,15 +4,19 @@ A byte goes if a window of ``width`` bytes that covers it also starts anywhere e
 
 1. Texts are cut into segments of windows by their least gram (:mod:`anchors`), so equal windows are at equal places of
    segments of one name. A name that occurs once has no repeated window.
-2. Segments of one name with equal bytes are counted by a digest, before any shuffle of bytes: all windows of a
-   segment that occurs twice are repeated. A group of copies, however large, is one row here.
-3. The different segments of a name are fetched once each, packed into shards of bounded size by whole names, and the
-   shard's suffix array is induced (classify, sort the leftmost-smaller substrings recursively, induce) and its permuted
-   longest common prefixes computed. A window is repeated if its suffix agrees with a neighbour's on ``width`` bytes.
-4. A name whose different segments exceed a shard is not sorted in one task: its windows are counted by digest, each
+2. Segments of one name with equal bytes are counted by a digest, before any shuffle of bytes. A group of copies,
+   however large, is one row from here on.
+3. The different segments of a name are fetched once each, packed into shards of bounded size by whole names, those with
+   copies twice. The shard's suffix array is induced (classify, sort the leftmost-smaller substrings recursively, induce)
+   and its permuted longest common prefixes computed. A window is repeated if its suffix agrees with a neighbour's on
+   ``width`` bytes.
+4. A name whose different segments exceed two shards is not sorted in one task: its windows are counted by digest, each
    on its own, which gives the same windows.
 5. Repeated windows are joined back to where their segments stand, and each text drops their union.
 
+Skew: names and contents are counted before they meet rows again; the fewer than a thousand that have more than a
+thousandth of the rows are broadcast (:func:`util.attach`), so no task gets the segments of a common passage.
+
 Edge cases: a null text is an empty one; texts shorter than ``width`` bytes keep everything; rows that repeat are two
 texts that repeat each other; texts are compared as the bytes stored; an empty table gives an empty result; extra
 columns are ignored. Segments are told apart by a 128-bit digest.
@@ -65,19 +69,23 @@ def cut(texts: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
 
 
 def fetch(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """name, d1, d2, n, bytes of the segments in ``wanted`` (key, first, n, name, d1, d2), each a slice of its text."""
-    lists = wanted.groupBy("key").agg(F.collect_list(F.struct("name", "d1", "d2", "n", "first")).alias("own"))
+    """name, d1, d2, n, k, large, bytes of the segments in ``wanted`` (key, first and these), each a slice of its text."""
+    made = ["name", "d1", "d2", "n", "k", "large"]
+    lists = wanted.groupBy("key").agg(F.collect_list(F.struct(*made, "first")).alias("own"))
     rows = texts.join(lists.hint("merge"), "key").select("body", F.explode("own").alias("s"))
     piece = F.substring(F.col("body"), (F.col("s.first") + 1).cast("int"), F.col("s.n") + width - 1)
-    return rows.select("s.name", "s.d1", "s.d2", "s.n", piece.alias("bytes")).dropDuplicates(["name", "d1", "d2"])
+    return rows.select(*[f"s.{c}" for c in made], piece.alias("bytes")).dropDuplicates(["name", "d1", "d2"])
 
 
-_FOUND = "name bigint, d1 bigint, d2 bigint, n int, runs array<struct<s:int,e:int>>"
+_FOUND = "name bigint, d1 bigint, d2 bigint, k bigint, runs array<struct<s:int,e:int>>"
 _RUNS = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
 
 
-def _repeated(contents: list[bytes], width: int) -> list[list[dict]]:
-    """Runs of windows of each content that stand somewhere else among them too."""
+def _repeated(contents: list[bytes], times: list[int], width: int) -> list[list[dict]]:
+    """Runs of windows of each content that stand somewhere else among them too. A content that occurs several times is
+    put in twice, so that the suffix array sees its copy; runs are those of its first place."""
+    given = len(contents)
+    contents = [*contents, *[c for c, k in zip(contents, times) if k > 1]]
     size = np.array([len(c) for c in contents])
     starts = np.concatenate(([0], np.cumsum(size + 1)))
     t = np.ones(starts[-1] + 1, np.uint16)
@@ -91,83 +99,78 @@ def _repeated(contents: list[bytes], width: int) -> list[list[dict]]:
     hit[long] = True
     hit[phi[long]] = True
     out = []
-    for a, n in zip(starts.tolist(), size.tolist()):
+    for a, n in zip(starts[:given].tolist(), size[:given].tolist()):
         edges = np.flatnonzero(np.diff(np.concatenate(([0], hit[a : a + n - width + 1].astype(np.int8), [0]))))
         out.append([{"s": int(s), "e": int(e)} for s, e in edges.reshape(-1, 2)])
     return out
 
 
 def sort_shards(contents: DataFrame, width: int, shard_bytes: int) -> DataFrame:
-    """Repeated windows of ``contents`` (name, d1, d2, n, bytes), found in shards of whole names."""
+    """Repeated windows of ``contents`` (name, d1, d2, k, bytes), found in shards of whole names."""
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
-        runs = _repeated([r[4] for r in rows], width)
+        runs = _repeated([r[4] for r in rows], [r[3] for r in rows], width)
         some = [(r, x) for r, x in zip(rows, runs) if x]
         return pa.RecordBatch.from_arrays(
-            [*[pa.array([r[k] for r, _ in some], pa.int32() if k == 3 else pa.int64()) for k in range(4)], pa.array([x for _, x in some], _RUNS)],
-            ["name", "d1", "d2", "n", "runs"],
+            [*[pa.array([r[k] for r, _ in some], pa.int64()) for k in range(4)], pa.array([x for _, x in some], _RUNS)],
+            ["name", "d1", "d2", "k", "runs"],
         )
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
         for b in batches:
-            for row in zip(*[b.column(c).to_pylist() for c in ("name", "d1", "d2", "n", "bytes")]):
+            for row in zip(*[b.column(c).to_pylist() for c in ("name", "d1", "d2", "k", "bytes")]):
                 if size >= shard_bytes and row[0] != held[-1][0]:
                     yield batch(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[4])
+                size += len(row[4]) * min(row[3], 2)
         if held:
             yield batch(held)
 
-    total = contents.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
+    total = contents.agg(F.sum(F.octet_length("bytes") * F.least("k", F.lit(2)))).first()[0] or 0
     parts = int(total // shard_bytes) + 1
-    rows = contents.repartition(parts, "name").sortWithinPartitions("name", "d1", "d2")
+    rows = contents.drop("n", "large").repartition(parts, "name").sortWithinPartitions("name", "d1", "d2")
     return rows.mapInArrow(task, _FOUND)
 
 
 def count_windows(contents: DataFrame, width: int) -> DataFrame:
-    """The same for names that are too large to sort in one task: each window is counted by its digest."""
+    """The same for names that are too large to sort in one task: each window is counted by its digest, in how many places it stands."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name, d1, d2, n, data in zip(*[b.column(c).to_pylist() for c in ("name", "d1", "d2", "n", "bytes")]):
+            for name, d1, d2, n, k, data in zip(*[b.column(c).to_pylist() for c in ("name", "d1", "d2", "n", "k", "bytes")]):
                 w = [hashlib.blake2b(data[i : i + width], digest_size=16).digest() for i in range(n)]
                 yield pa.RecordBatch.from_arrays(
-                    [*[pa.array([x] * n, pa.int64()) for x in (name, d1, d2)], pa.array([n] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(w, pa.binary())],
-                    ["name", "d1", "d2", "n", "i", "w"],
+                    [*[pa.array([x] * n, pa.int64()) for x in (name, d1, d2, k)], pa.array(range(n), pa.int32()), pa.array(w, pa.binary())],
+                    ["name", "d1", "d2", "k", "i", "w"],
                 )
 
-    windows = contents.mapInArrow(task, "name bigint, d1 bigint, d2 bigint, n int, i int, w binary")
-    twice = windows.groupBy("name", "w").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    found = windows.join(twice, ["name", "w"], "left_semi").groupBy("name", "d1", "d2", "n")
+    windows = contents.mapInArrow(task, "name bigint, d1 bigint, d2 bigint, k bigint, i int, w binary")
+    windows = util.save(windows, "windows")
+    twice = util.save(windows.groupBy("name", "w").agg(F.count(F.lit(1)).alias("m"), F.sum("k").alias("places")).where("places > 1"), "windows-twice")
+    found = util.attach(windows, twice, ["name", "w"], "m", ["d1", "i"]).where("places > 1").groupBy("name", "d1", "d2", "k")
     return found.agg(F.collect_list(F.struct(F.col("i").alias("s"), (F.col("i") + 1).alias("e"))).alias("runs"))
 
 
 def repeats(texts: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_bytes: int = 1 << 21) -> DataFrame:
     """key, runs: for each text (key, body) with repeated windows, the runs of their starts."""
     seg = util.save(cut(texts, width, gram), "segments")
-    often = seg.groupBy("name").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("name")
-    seg = util.save(seg.join(often, "name", "left_semi"), "segments-often")
-    place = F.struct("key", "first")
-    same = seg.groupBy("name", "d1", "d2").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"), F.min(place).alias("at"))
-    same = util.save(same, "segments-different")
-    several = same.groupBy("name").agg(F.count(F.lit(1)).alias("different"), F.sum(F.col("n") + width - 1).alias("size")).where("different > 1")
-    several = util.save(several, "names-several")
-    copies = same.where("k > 1").select("name", "d1", "d2", "n", F.array(F.struct(F.lit(0).alias("s"), F.col("n").alias("e"))).alias("runs"))
-    # a segment with copies is fetched too, once: windows of others may repeat its windows
-    wanted = same.join(several.select("name"), "name", "left_semi").select("at.key", "at.first", "n", "name", "d1", "d2")
-    contents = util.save(fetch(texts, wanted, width), "segment-bytes")
-    large = util.save(several.where(F.col("size") > 2 * shard_bytes).select("name"), "names-large")
-    hint = util.hinted(large, 100_000)
-    found = sort_shards(contents.join(hint, "name", "left_anti"), width, shard_bytes)
-    if large.limit(1).count():
-        found = found.unionByName(count_windows(contents.join(hint, "name", "left_semi"), width))
-    runs = util.save(found.unionByName(copies), "repeated-runs")  # a segment may be listed twice
-    at = seg.join(runs.select("name", "d1", "d2", "runs"), ["name", "d1", "d2"])
+    at = F.min(F.struct("key", "first")).alias("at")
+    same = util.save(seg.groupBy("name", "d1", "d2").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"), at), "segments-different")
+    size = F.sum((F.col("n") + width - 1) * F.least("k", F.lit(2)))
+    names = same.groupBy("name").agg(F.sum("k").alias("places"), F.count(F.lit(1)).alias("different"), (size > 2 * shard_bytes).alias("large"))
+    names = util.save(names.where("places > 1"), "names-often")
+    wanted = util.attach(same, names, ["name"], "different", ["d1"]).where("places > 1")
+    contents = util.save(fetch(texts, wanted.select("at.key", "at.first", "n", "name", "d1", "d2", "k", "large"), width), "segment-bytes")
+    found = sort_shards(contents.where("NOT large"), width, shard_bytes)
+    if names.where("large").limit(1).count():
+        found = found.unionByName(count_windows(contents.where("large"), width))
+    found = util.save(found, "repeated-runs")
+    placed = util.attach(seg.drop("n"), found, ["name", "d1", "d2"], "k", ["key", "first"]).where("runs IS NOT NULL")
     run = F.transform("runs", lambda r: F.struct((F.col("first") + r["s"]).alias("s"), (F.col("first") + r["e"]).alias("e")))
-    return at.groupBy("key").agg(F.flatten(F.collect_list(run)).alias("runs"))
+    return placed.groupBy("key").agg(F.flatten(F.collect_list(run)).alias("runs"))
 
 
 def remove(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_bytes: int = 1 << 21) -> DataFrame:
