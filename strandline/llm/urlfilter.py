@@ -7,7 +7,8 @@ is held out to calibrate the cut-off of the length-normalised log-likelihood dif
 the models see the whole URL, its host in lower case, with scheme, query and fragment.
 
 Everything is DataFrame expressions. Counts and probabilities are kept by distinct n-gram, so the one large
-shuffle has a row for each character position of the URLs that no rule decides.
+shuffle has a row for each character position of the URLs that no rule decides. N-grams and URLs that are more common
+than one row in a thousand are broadcast, as there are fewer than a thousand (:func:`util.attach`).
 
 Edge cases: a null URL, or one without ``://``, has an empty host and path, fits no rule and is allowed unless the
 models say otherwise (of a null one they see an empty text, of the other its text as it is); with no accepted or no rejected training URL every such URL is allowed; an empty table gives
@@ -104,20 +105,25 @@ def log_ratios(train: DataFrame, wanted: DataFrame, order: int, min_context: int
         F.sum(F.when(F.col("nr") > 0, 1).otherwise(0)).alias("dr"),
     )
     context = context.where(((F.col("ta") + F.col("tr")) >= min_context) | (F.col("h") == ""))
-    asked = wanted.select("gram", levels.alias("k")).select(
-        "gram", "k", tail("k + 1").alias("g"), F.expr("left(right(gram, k + 1), k)").alias("h")
-    )
-    seen = asked.join(lower, "g", "left").join(context, "h", "left")
-    steps = seen.groupBy("gram").agg(F.array_sort(F.collect_list(F.struct("k", "na", "nr", "ta", "tr", "da", "dr"))).alias("steps"))
+    return _interpolated(lower, context, wanted, order)
+
 
-    def model(n: str, t: str, d: str) -> Column:
-        def step(p, x):
-            mass = x[t] + x[d]
-            return F.when(mass > 0, (F.coalesce(x[n], F.lit(0)) + x[d] * p) / mass).otherwise(p)
+def _interpolated(lower: DataFrame, context: DataFrame, wanted: DataFrame, order: int) -> DataFrame:
+    """From the shortest context to the longest. What a level joins on is shared by the grams that differ in one
+    character, so a key has no more rows than there are characters, however common it is."""
+    below = None
+    for k in range(order + 1):
+        asked = wanted.select(F.expr(f"right(gram, {k + 1})").alias("g")).distinct()
+        asked = asked.select("g", F.expr(f"left(g, {k})").alias("h"), F.expr(f"right(g, {k})").alias("s"))
+        seen = asked.join(lower, "g", "left").join(context, "h", "left")
+        seen = seen.withColumns({"_pa": F.lit(1.0 / ALPHABET), "_pr": F.lit(1.0 / ALPHABET)}) if below is None else seen.join(below, "s")
 
-        return F.log(F.aggregate("steps", F.lit(1.0 / ALPHABET), step))
+        def model(n: str, t: str, d: str, p: str) -> Column:
+            mass = F.col(t) + F.col(d)
+            return F.when(mass > 0, (F.coalesce(F.col(n), F.lit(0)) + F.col(d) * F.col(p)) / mass).otherwise(F.col(p))
 
-    return steps.select("gram", (model("na", "ta", "da") - model("nr", "tr", "dr")).alias("ratio"))
+        below = seen.select(F.col("g").alias("s"), model("na", "ta", "da", "_pa").alias("_pa"), model("nr", "tr", "dr", "_pr").alias("_pr"))
+    return below.select(F.col("s").alias("gram"), (F.log("_pa") - F.log("_pr")).alias("ratio"))
 
 
 def cutoff(scored: DataFrame, most_false_blocks: float) -> float | None:
@@ -151,8 +157,9 @@ def judge(pages: DataFrame, rules=RULES, order: int = 4, min_context: int = 2, m
     asked = distinct.where(F.col("by_rule").isNull() | F.col("held"))
     at = exploded(asked.select("s", util.row_key("s").alias("key")), order)
     per = at.groupBy("key", "gram").agg(F.count(F.lit(1)).alias("m"))
-    ratios = log_ratios(train, at.select("gram").distinct(), order, min_context)
-    sums = per.join(ratios, "gram").groupBy("key").agg((F.sum(F.round(F.col("ratio") * F.col("m"), 9).cast("decimal(24,9)")) / F.sum("m")).cast("double").alias("ratio"))
+    wanted = util.save(at.groupBy("gram").agg(F.count(F.lit(1)).alias("places")), "url-wanted")
+    ratios = util.save(log_ratios(train, wanted, order, min_context).join(wanted, "gram"), "url-ratios")
+    sums = util.attach(per, ratios, ["gram"], "places", ["key"]).groupBy("key").agg((F.sum(F.round(F.col("ratio") * F.col("m"), 9).cast("decimal(24,9)")) / F.sum("m")).cast("double").alias("ratio"))
     scored = util.save(
         asked.withColumn("key", util.row_key("s")).join(sums, "key").select("s", "by_rule", "n", "ratio"), "url-scores"
     )
@@ -160,8 +167,10 @@ def judge(pages: DataFrame, rules=RULES, order: int = 4, min_context: int = 2, m
     both = train.agg(F.max("accepted").alias("a"), F.min("accepted").alias("r")).first()
     cut = cutoff(held, most_false_blocks) if both["a"] and both["r"] is False else None
     method = F.when(F.col("ratio") <= (F.lit(None) if cut is None else F.lit(cut)), "block").otherwise("allow")
-    open_ = scored.where(F.col("by_rule").isNull()).select("s", "ratio")
-    return rows.join(open_, "s", "left").select(
+    open_ = util.save(scored.where(F.col("by_rule").isNull()).select(util.row_key("s").alias("key"), "ratio", "n"), "url-open")
+    # a row that a rule decides has no ratio to look up: its key is its own, so a common URL among them is no common key
+    keyed = rows.withColumn("key", F.when(F.col("by_rule").isNull(), util.row_key("s")).otherwise(util.row_key("page_id", "s", "rule")))
+    return util.attach(keyed, open_, ["key"], "n", ["page_id"]).select(
         "page_id", "host", "path", "rule", F.coalesce("by_rule", method).alias("verdict"), F.when(F.col("by_rule").isNull(), F.col("ratio")).alias("ratio"),
         F.lit(cut).cast("double").alias("cutoff"),
     )
