@@ -53,15 +53,13 @@ def plan(rows: DataFrame, id_col: str, payload: Column, uri: Column, revisit_byt
     body = F.encode(F.coalesce(payload, F.lit("")), "UTF-8")
     rows = rows.select(F.col(id_col).cast("long").alias("record_id"), F.coalesce(uri, F.lit("")).alias("uri"), body.alias("payload"))
     rows = rows.withColumns({"sha1": F.sha1("payload"), "sha256": F.unhex(F.sha2("payload", 256)), "n_bytes": F.octet_length("payload").cast("long")})
-    first = (
-        rows.where(F.col("n_bytes") >= revisit_bytes)
-        .groupBy("sha256")
-        .agg(F.max("record_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
-        .drop("n")
-    )
+    long = F.col("n_bytes") >= revisit_bytes
+    first = rows.where(long).groupBy("sha256").agg(F.max("record_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = util.save(first, "warc-repeated")
+    # payloads that are too short to be revisited have a key of their own, so a common short one is no common key
+    rows = rows.withColumn("sha256", F.when(long, F.col("sha256")).otherwise(F.unhex(F.sha2(F.concat_ws(":", "record_id", "uri"), 256))))
     refers = F.when(F.coalesce(F.col("record_id"), F.lit(-(2**63))) < F.col("first_id"), F.col("first_id"))
-    return rows.join(first, "sha256", "left").select("record_id", "uri", "payload", "sha1", "n_bytes", refers.alias("refers_to"))
+    return util.attach(rows, first, ["sha256"], "n", ["record_id", "uri"]).select("record_id", "uri", "payload", "sha1", "n_bytes", refers.alias("refers_to"))
 
 
 def chunked(records: DataFrame, chunk_bytes: int) -> DataFrame:
