@@ -1,19 +1,23 @@
 """Benchmark passages inside documents: a containment search by size-partitioned MinHash sketches.
 
 Shingles are five lower-cased words (runs of letters and digits). An item is found in a document that holds at least
-``least`` (0.8) of the item's distinct shingles, however long the document. Items are dealt into partitions by size.
-The MinHash sketch of an item is the ``k`` shingles of least hash, and its partition's size bound ``u`` sets k to
-``floor((1 - least) * u) + 1``: whoever holds that share of the item holds one of these shingles at least, so unlike
-banded signatures the search loses nothing. Documents are probed by the hashes of all their shingles; candidates are
-verified by counting the shared shingles themselves, as text.
+``least`` (0.8) of the item's distinct shingles, however long the document. Items are dealt into partitions by size, each
+bound ``GROWTH`` times the one before. The MinHash sketch of an item is the ``k`` shingles of least hash, and its
+partition's bound ``u`` sets k to ``floor((1 - least) * u) + 1``: whoever holds that share of the item holds one of these
+shingles at least, so unlike banded signatures the search loses nothing.
 
-All is DataFrame expressions. Documents are exploded to hashes inside the probing join and never grouped as a whole;
+A document's sketch is the set of its shingles whose hash is no greater than the greatest in any item's sketch, a MinHash sketch by
+threshold: it keeps its share of a short passage however long the document is, which a sketch of fixed size would not.
+Sketches meet on equal hashes; candidates are verified by counting the shared shingles themselves, as text.
+
+All is DataFrame expressions. Words are hashed once and shingles by their words' hashes. Documents are exploded to their sketches inside the probing join and never grouped as a whole;
 the sketch table is broadcast only below a counted size. A shingle that a third of the documents share gives one
 candidate for each document and item, which verification then decides.
 
 Edge cases: null texts have no shingles and match nothing; an item of fewer than five words has one shingle, its whole
 word sequence, and matches a document that has the same sequence as a whole; repeated item ids are searched as the
-union of their shingles; rows that repeat give one row each doc_id and item; empty tables give an empty result.
+union of their shingles; rows that repeat, and rows without a doc_id, are one document each doc_id, found as the union of their
+shingles; items without an item_id are left out; extra columns are ignored; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -24,6 +28,8 @@ from pyspark.sql import functions as F
 from . import util
 
 WIDTH = 5
+#: Ratio of the size bounds of neighbouring partitions.
+GROWTH = 1.25
 
 
 def _words(text: Column) -> Column:
@@ -42,29 +48,38 @@ def shingles(rows: DataFrame, key: list[str], text: str) -> DataFrame:
     return rows.select(*key, _words(F.col(text)).alias("_w")).select(*key, F.explode(_windows(lambda w: F.concat_ws(" ", *w))).alias("shingle"))
 
 
-def hashes(rows: DataFrame, key: list[str], text: str) -> DataFrame:
-    """key, h: a row for each window of the words, hashed word by word."""
-    return rows.select(*key, _words(F.col(text)).alias("_w")).select(*key, F.explode(_windows(lambda w: F.xxhash64(F.concat_ws(" ", *w)))).alias("h"))
+def hashes(text: Column) -> Column:
+    """The hashes of a text's shingles, repeats included, made of the hashes of its words."""
+    w = F.transform(_words(text), lambda x: F.xxhash64(x))
+    windows = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - WIDTH), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WIDTH)]))
+    whole = lambda w: F.array(F.aggregate(w, F.lit(0).cast("long"), lambda s, x: F.xxhash64(s, x)))
+    made = lambda w: F.when(F.size(w) >= WIDTH, windows(w)).when(F.size(w) > 0, whole(w))
+    return F.flatten(F.transform(F.array(w), made))  # the words are hashed once, though named often
 
 
-def sketches(items: DataFrame, least: float) -> DataFrame:
-    """item_id, h: the least hashes of each item, as many as its size partition asks for. Partitions double in size."""
-    sized = items.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_item_shingles"), F.array_sort(F.collect_set(F.xxhash64("shingle"))).alias("hs"))
-    bound = F.pow(2.0, F.ceil(F.log2(F.col("n_item_shingles"))))
-    depth = (F.floor(F.round((1 - least) * bound, 6)) + 1).cast("int")
+def sketches(benchmark: DataFrame, least: float) -> DataFrame:
+    """item_id, h: the least hashes of each item, as many as its size partition asks for."""
+    rows = benchmark.select("item_id", F.explode(hashes(F.col("text"))).alias("h"))
+    sized = rows.groupBy("item_id").agg(F.array_sort(F.collect_set("h")).alias("hs"))  # an item's own shingles
+    bound = F.pow(F.lit(GROWTH), F.ceil(F.round(F.log(F.size("hs")) / F.log(F.lit(GROWTH)), 9)))
+    depth = (F.floor(F.round((1 - least) * F.floor(bound), 6)) + 1).cast("int")
     return sized.select("item_id", F.explode(F.slice("hs", F.lit(1), depth)).alias("h"))
 
 
 def search(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame:
     """doc_id, item_id, n_item_shingles, n_shared, containment, for each item that a document holds."""
     items = util.save(shingles(benchmark, ["item_id"], "text").distinct(), "item-shingles")
-    sketch = util.save(sketches(items, least), "item-sketches")
-    probe = hashes(docs, ["doc_id"], "text")
+    sketch = util.save(sketches(benchmark, least), "item-sketches")
+    limit = sketch.agg(F.max("h")).first()[0]
+    own = F.filter(hashes(F.col("text")), lambda h: h <= F.lit(limit).cast("long"))
+    probe = docs.select("doc_id", F.explode(own).alias("h"))
     candidates = util.save(probe.join(util.hinted(sketch, 500_000), "h").select("doc_id", "item_id").distinct(), "leak-candidates")
     suspects = candidates.select("doc_id").distinct()
-    held = shingles(docs.join(util.hinted(suspects, 100_000), "doc_id", "left_semi"), ["doc_id"], "text")
+    suspects = util.hinted(suspects.select(F.col("doc_id").alias("_id")), 100_000)
+    held = shingles(docs.join(suspects, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi"), ["doc_id"], "text")
     sizes = items.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_item_shingles"))
     shared = held.join(util.hinted(items, 500_000), "shingle").groupBy("doc_id", "item_id").agg(F.countDistinct("shingle").alias("n_shared"))
-    verified = shared.join(candidates, ["doc_id", "item_id"], "left_semi").join(sizes, "item_id")
+    known = candidates.select(F.col("doc_id").alias("_id"), F.col("item_id").alias("_item"))
+    verified = shared.join(known, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("item_id") == F.col("_item")), "left_semi").join(sizes, "item_id")
     verified = verified.withColumn("containment", F.col("n_shared") / F.col("n_item_shingles"))
     return verified.where(F.col("containment") >= least).select("doc_id", "item_id", "n_item_shingles", "n_shared", "containment")
