@@ -5,22 +5,30 @@ characters than white space) that could be personal data at all: those with a di
 that equal, without their punctuation, the local part of an address in the same text. Every other token is a known
 ``none``. Labels are the four kinds and none.
 
-* node potentials: how often tokens of this shape are part of a base span of each kind, over all documents;
-* chain potentials: how often labels follow each other in neighbouring tokens, over all documents;
-* skip potentials: how often similar tokens of one document (the same letters and digits, or the same address) have the
-  same label, over all documents. Similar tokens are linked with the one before, so a text has no more links than tokens.
-
-Tokens under a base span are fixed to its kind; loopy belief propagation passes messages along chains and skip links and
-a token is added as a span where a kind's belief reaches ``least``. Weights are counts over the whole corpus
-(two passes over it); the tables of weights are of fixed size.
-
-Edge cases: a null text is an empty one and has no spans; ties of belief keep none; rows that repeat are treated alike;
-an empty table gives an empty result; extra columns are ignored.
+* Nodes have weights by label for marks of a token's form: how many digits and dots, an ``@``, a ``+``, letters, and
+  whether it looks like a card, address or phone but fails that kind's check.
+* Chain edges join neighbouring tokens, skip edges tokens that name the same thing: equal letters and digits, an equal
+  local part, or equal last ten digits, however they are written. A token is linked with the one before it and with the
+  first of its thing that a base span covers, so a text has no more than two skip edges for each token.
+
+All weights are fitted together by conditional pseudo-likelihood: each labelled token's probability given its form and its
+neighbours' labels, over all documents. Tokens under base spans have their kind, tokens that share nothing with one are
+none; a token that names the same thing as a base span without being covered is what the field is asked for, so its label is
+unknown in training. Tokens are counted by form and neighbours first; there are at most 448 forms and 900 neighbourhoods,
+so the table that the driver fits is bounded whatever the corpus.
+
+Tokens under a base span are fixed to its kind; loopy belief propagation passes messages along chains and skip links until
+they no longer change, and a token is added as a span where a kind's belief reaches ``least``. The field carries labels on from base
+spans: only tokens that name the same thing as a base span are added, and a text without base spans gets none.
+
+Edge cases: a null text is an empty one and has no spans; a null doc_id stays null, ids do not matter to what is found;
+ties of belief keep none; rows that repeat are treated alike; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -84,58 +92,111 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def shape(token: str) -> str:
-    """A token's shape: runs of digits by their length class, letters as a, marks kept; cut at 12 signs."""
-    s = re.sub(r"[0-9]+", lambda m: "d" if len(m[0]) < 3 else "D" if len(m[0]) < 9 else "N", token)
-    s = re.sub(r"[^\W\d_dDN]+|[dDN]?[^\W\d_]{2,}", "a", s)
-    return re.sub(r"[^adDN@+.()-]", "_", s)[:12]
+#: Least digits of each class of a token's number of digits, and of dots.
+DIGITS, DOTS = (1, 3, 4, 9, 13, 20), (1, 3, 4)
+MARKS = len(DIGITS) + len(DOTS) + 7
+UNKNOWN = NONE + 1
+#: Characters that a name has at least.
+LEAST_NAME = 4
+
+
+def _fails(token: str, digits: str) -> bool:
+    """Whether a token looks like a card, an address or a phone, but fails the check."""
+    if token.startswith("+"):
+        return not 9 <= len(digits) <= 15
+    parts = token.split(".")
+    if len(parts) == 4 and all(p.isascii() and p.isdigit() for p in parts):
+        return any(len(p.lstrip("0")) > 3 or int(p.lstrip("0") or 0) > 255 for p in parts)
+    return 13 <= len(digits) <= 19 and not _luhn(digits)
+
+
+def form(token: str) -> int:
+    """The marks of a token's form, packed."""
+    bare = token.strip(_EDGE)
+    digits = "".join(_DIGIT.findall(token))
+    letters = any(c.isalpha() for c in token)
+    flags = [("@" in token), ("+" in token), letters, not letters and _fails(bare, digits)]
+    code = bisect_right(DIGITS, len(digits)) * (len(DOTS) + 1) + bisect_right(DOTS, bare.count("."))
+    for f in flags:
+        code = 2 * code + int(f)
+    return code
+
+
+def marks(code: int) -> np.ndarray:
+    out = np.zeros(MARKS)
+    out[0] = 1
+    for k in range(4):
+        out[4 - k] = code >> k & 1
+    digits, dots = divmod(code >> 4, len(DOTS) + 1)
+    out[5 + digits] = 1
+    if dots:
+        out[5 + len(DIGITS) + dots] = 1
+    return out
 
 
-def variables(text: str, spans: list[Span]) -> list[tuple[int, int, int, str, str]]:
-    """Tokens that may be personal data: (index of the token, start, end, shape, what similar tokens share)."""
+def variables(text: str, spans: list[Span]) -> tuple[list[tuple[int, int, int, int, str]], list[int | None]]:
+    """Tokens that may be personal data: (index of the token, start, end, form, what it names), and the kind of the base span
+    that each lies under (most specific kind first), if any."""
     locals_ = {text[s:e].partition("@")[0].lower() for k, s, e in spans if k == 0}
-    out = []
+    by_kind = [sorted((s, e) for k, s, e in spans if k == kind) for kind in range(NONE)]
+    own: list[tuple[int, int, int, int, str]] = []
+    known: list[int | None] = []
     for i, m in enumerate(_TOKEN.finditer(text)):
         t = m[0]
-        core = _CORE.sub("", t).lower()
         bare = t.strip(_EDGE).lower()
-        if bare in locals_ or "@" in t or "+" in t or _DIGIT.search(t):
-            out.append((i, m.start(), m.end(), shape(t), bare.partition("@")[0] if bare.partition("@")[0] in locals_ else core))
-    return out
-
-
-def _known(own: list[tuple], spans: list[Span]) -> list[int | None]:
-    """The kind of the base span that a token lies under (most specific kind first), if any."""
-    out: list[int | None] = [None] * len(own)
-    spans, k = sorted(spans, key=lambda s: s[1]), 0
-    for j, (_, s, e, _, _) in enumerate(own):
-        hit = [kind for kind, a, b in spans if a < e and s < b] if len(spans) <= 64 else []
-        if len(spans) > 64:  # many spans: walk both lists
-            while k < len(spans) and spans[k][2] <= s and (k + 1 >= len(spans) or spans[k + 1][1] <= s):
-                k += 1
-            hit = [x[0] for x in spans[max(0, k - 4) : k + 5] if x[1] < e and s < x[2]]
-        if hit:
-            out[j] = min(hit)
-    return out
+        local = bare.partition("@")[0]
+        if not (bare in locals_ or "@" in t or "+" in t or _DIGIT.search(t)):
+            continue
+        kind, covered = None, t
+        for k, found in enumerate(by_kind):  # spans of a kind do not overlap
+            j = bisect_left(found, (m.end(),)) - 1
+            if j >= 0 and found[j][1] > m.start():
+                kind, covered = k, text[slice(*found[j])]
+                break
+        digits = "".join(_DIGIT.findall(covered if kind else t))
+        if kind == 0 or local in locals_:
+            name = local if kind is None or local in locals_ else covered.partition("@")[0].lower()
+        elif kind or len(digits) >= 7 and not any(c.isalpha() for c in t):
+            name = "#" + digits[-10:]
+        else:
+            name = _CORE.sub("", t).lower()
+        if len(name) < LEAST_NAME:  # too short to tell one thing from another
+            name = ""
+        own.append((i, m.start(), m.end(), form(t), name))
+        known.append(kind)
+    return own, known
 
 
 def _skips(own: list[tuple]) -> list[tuple[int, int]]:
+    """Links of each token with the one before it that names the same."""
     last: dict[str, int] = {}
     out = []
-    for j, (_, _, _, _, core) in enumerate(own):
-        if core:
-            if core in last:
-                out.append((last[core], j))
-            last[core] = j
+    for j, (*_, name) in enumerate(own):
+        if name:
+            if name in last:
+                out.append((last[name], j))
+            last[name] = j
     return out
 
 
+def _links(own: list[tuple], known: list[int | None]) -> list[tuple[int, int]]:
+    """These, and of each token with the first that a base span covers."""
+    out = _skips(own)
+    first: dict[str, int] = {}
+    for j, (v, y) in enumerate(zip(own, known)):
+        if y is not None and v[4]:
+            first.setdefault(v[4], j)
+    had = set(out)
+    more = [(min(first[v[4]], j), max(first[v[4]], j)) for j, v in enumerate(own) if v[4] in first and first[v[4]] != j]
+    return out + [x for x in more if x not in had]
+
+
 def _candidate(text: str) -> bool:
     return "@" in text or "+" in text or _DIGIT.search(text) is not None
 
 
 def train(docs: DataFrame) -> DataFrame:
-    """feature, label, n: how often each shape, pair of neighbours and pair of similar tokens has each label."""
+    """form, around, label, n: how often tokens of each form have each label beside these labels (left, right, similar before and after, packed)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -144,102 +205,141 @@ def train(docs: DataFrame) -> DataFrame:
                 text = x.as_py() or ""
                 if not _candidate(text):
                     continue
-                spans = base_spans(text)
-                own = variables(text, spans)
-                label = [NONE if k is None else k for k in _known(own, spans)]
-                seen.update(("s " + v[3], y) for v, y in zip(own, label))
+                own, known = variables(text, base_spans(text))
+                named = {v[4] for v, y in zip(own, known) if y is not None}
+                label = [y if y is not None else UNKNOWN if v[4] in named else NONE for v, y in zip(own, known)]
                 at = {v[0]: y for v, y in zip(own, label)}
-                for i, y in at.items():
-                    seen[(f"c {y}", at.get(i + 1, NONE))] += 1
-                    if i - 1 not in at:
-                        seen[(f"c {NONE}", y)] += 1
-                seen.update(("k", int(label[a] == label[c])) for a, c in _skips(own) if min(label[a], label[c]) < NONE)
-        rows = list(seen.items())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0][0] for r in rows], pa.string()), pa.array([r[0][1] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64())], ["feature", "label", "n"]
-        )
-
-    return docs.select("text").mapInArrow(task, "feature string, label int, n long").groupBy("feature", "label").agg(F.sum("n").alias("n"))
-
-
-def weights(counted: DataFrame, shapes: int = 5000) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
-    """Log potentials of nodes, chains and skips. Beyond the ``shapes`` most frequent, a shape is taken as unseen."""
-    per = counted.groupBy("feature").agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("by"), F.sum("n").alias("all"))
-    rows = per.orderBy(F.desc("all"), "feature").limit(shapes + 16).collect()
-    node, chain, agree = {}, np.zeros((NONE + 1, NONE + 1)), np.ones(2)
-    for feature, by, _ in rows:
-        what, _, rest = feature.partition(" ")
-        v = np.array([by.get(y, 0) for y in range(NONE + 1)], float)
-        if what == "s":
-            node[rest] = np.log((v + np.array([0.1] * NONE + [1.0])) / (v.sum() + 1 + 0.1 * NONE))
-        elif what == "c":
-            chain[int(rest)] = v
-        else:
-            agree += v[:2]
-    p = (chain + 0.5) / (chain + 0.5).sum(1, keepdims=True)
-    chain = np.log(p) - np.log(p[NONE])[None, :]  # as a ratio to what follows a known none, which all tokens have in common
-    same = agree[1] / agree.sum()
-    skip = np.where(np.eye(NONE + 1, dtype=bool), np.log(max(same, 0.5)), np.log(min(1 - same, 0.5) / NONE))
-    skip[NONE, NONE] = 0.5 * (skip[NONE, NONE] + skip[0, 1])  # that two are both none says little
-    return node, chain, skip
+                before, after = [UNKNOWN] * len(own), [UNKNOWN] * len(own)
+                for a, c in _skips(own):
+                    before[c], after[a] = label[a], label[c]
+                for v, y, s, t in zip(own, label, before, after):
+                    if y != UNKNOWN:
+                        seen[v[3], ((at.get(v[0] - 1, NONE) * 6 + at.get(v[0] + 1, NONE)) * 6 + s) * 6 + t, y] += 1
+        rows = [(*k, n) for k, n in seen.items()]
+        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["form", "around", "label", "n"])
+
+    return docs.select("text").mapInArrow(task, "form int, around int, label int, n long").groupBy("form", "around", "label").agg(F.sum("n").alias("n"))
+
+
+class Model:
+    """Weights of marks by label (node), of neighbouring labels (chain) and of similar tokens that agree (skip, one weight for all kinds and one for none)."""
+
+    def __init__(self, node: np.ndarray, chain: np.ndarray, skip: np.ndarray):
+        self.node, self.chain, self.skip = node, chain, skip
+
+
+def _design(form_: int, around: int) -> np.ndarray:
+    """For each label, how often each weight counts in its score."""
+    k = NONE + 1
+    around, t = divmod(around, 6)
+    around, s = divmod(around, 6)
+    left, right = divmod(around, 6)
+    out = np.zeros((k, MARKS * k + k * k + 2))
+    x = marks(form_)
+    for y in range(k):
+        out[y, y * MARKS : (y + 1) * MARKS] = x
+        if left < k:
+            out[y, MARKS * k + left * k + y] += 1
+        if right < k:
+            out[y, MARKS * k + y * k + right] += 1
+        for o in (s, t):
+            if o == y:  # agreement on a kind, whichever, or on none
+                out[y, MARKS * k + k * k + int(y == NONE)] += 1
+    return out
 
 
-def beliefs(own: list[tuple], known: list[int | None], node: dict, chain: np.ndarray, skip: np.ndarray, rounds: int = 20) -> np.ndarray:
-    """Loopy belief propagation: a row of label probabilities for each variable."""
+def fit(counted: DataFrame, ridge: float = 0.1, rounds: int = 50) -> Model:
+    """The weights of greatest conditional pseudo-likelihood, less ``ridge`` / 2 times their squares, by Newton's method."""
+    k = NONE + 1
+    rows = counted.orderBy("form", "around", "label").collect()  # 448 x 900 x 5 at most, whatever the corpus
+    width = MARKS * k + k * k + 2
+    w = np.zeros(width)
+    design: dict[tuple[int, int], np.ndarray] = {}
+    last = -np.inf
+    step = np.zeros(width)
+    for _ in range(rounds):
+        value, slope, curve = -ridge / 2 * w @ w, -ridge * w, ridge * np.eye(width)
+        for code, around, label, n in rows:
+            d = design.setdefault((code, around), _design(code, around)) if len(design) < 4096 else design.get((code, around), _design(code, around))
+            score = d @ w
+            top = score.max()
+            p = np.exp(score - top)
+            p /= p.sum()
+            value += n * (score[label] - top - np.log(np.exp(score - top).sum()))
+            mean = p @ d
+            slope += n * (d[label] - mean)
+            curve += n * ((d * p[:, None]).T @ d - np.outer(mean, mean))
+        if value < last:  # too far: half of it back
+            step = step / 2
+            w = w - step
+            continue
+        if value - last < 1e-6 * max(1.0, abs(value)):
+            break
+        last = value
+        step = np.linalg.solve(curve, slope)
+        w = w + step
+    return Model(w[: MARKS * k].reshape(k, MARKS), w[MARKS * k : -2].reshape(k, k), np.diag([*[w[-2]] * NONE, w[-1]]))
+
+
+def beliefs(own: list[tuple], known: list[int | None], model: Model) -> np.ndarray:
+    """Loopy belief propagation until messages no longer change: a row of label probabilities for each variable."""
     n, labels = len(own), NONE + 1
-    unseen = np.log(np.array([0.01] * NONE + [1 - 0.01 * NONE]))
-    unary = np.stack([node.get(v[3], unseen) for v in own])
+    nodes: dict[int, np.ndarray] = {}
+    unary = np.stack([nodes.setdefault(v[3], model.node @ marks(v[3])) for v in own])
+    place = np.array([v[0] for v in own])
+    unary[np.append(True, np.diff(place) > 1)] += model.chain[NONE]  # beside a token that is none for sure
+    unary[np.append(np.diff(place) > 1, True)] += model.chain[:, NONE]
     for j, y in enumerate(known):
         if y is not None:
             unary[j] = -1e3
             unary[j, y] = 0
-    edges = [(j - 1, j) for j in range(1, n) if own[j][0] == own[j - 1][0] + 1]
-    pots = [chain] * len(edges)
-    links = _skips(own)
-    edges, pots = edges + links, pots + [skip] * len(links)
-    if not edges:
+    chain = [(j - 1, j) for j in np.flatnonzero(np.diff(place) == 1) + 1]
+    links = _links(own, known)
+    if not chain and not links:
         p = np.exp(unary - unary.max(1, keepdims=True))
         return p / p.sum(1, keepdims=True)
-    a, b = np.array(edges).T
+    a, b = np.array([*chain, *links]).T
     src, dst = np.concatenate((a, b)), np.concatenate((b, a))
-    pot = np.stack(pots + [x.T for x in pots])
+    pots = np.stack([model.chain, model.chain.T, model.skip])
+    which = np.concatenate((np.repeat([0, 2], [len(chain), len(links)]), np.repeat([1, 2], [len(chain), len(links)])))
     back = np.concatenate((np.arange(len(a)) + len(a), np.arange(len(a))))
     msg = np.zeros((len(src), labels))
-    for _ in range(rounds):
+    for _ in range(max(50, len(a))):  # news travels a link a round
         total = unary.copy()
         np.add.at(total, dst, msg)
-        out = (total[src] - msg[back])[:, :, None] + pot
+        out = (total[src] - msg[back])[:, :, None] + pots[which]
         top = out.max(1)
         new = top + np.log(np.exp(out - top[:, None, :]).sum(1))
-        new -= new.max(1, keepdims=True)
-        new = 0.5 * msg + 0.5 * new
-        if np.abs(new - msg).max() < 1e-4:
-            msg = new
+        new = 0.5 * msg + 0.5 * (new - new.max(1, keepdims=True))
+        moved, msg = np.abs(new - msg).max(), new
+        if moved < 1e-4:
             break
-        msg = new
     total = unary.copy()
     np.add.at(total, dst, msg)
     p = np.exp(total - total.max(1, keepdims=True))
     return p / p.sum(1, keepdims=True)
 
 
-def added_spans(text: str, base: list[Span], model, least: float) -> list[Span]:
-    own = variables(text, base)
-    known = _known(own, base)
-    if all(k is not None for k in known):
+def added_spans(text: str, base: list[Span], model: Model, least: float) -> list[Span]:
+    own, known = variables(text, base)
+    named = {v[4] for v, y in zip(own, known) if y is not None and v[4]}
+    asked = [j for j, v in enumerate(own) if known[j] is None and v[4] in named]
+    if not asked:
         return []
-    p = beliefs(own, known, *model)
+    p = beliefs(own, known, model)
     out: list[Span] = []
     last = -2
-    for j, v in enumerate(own):
+    for j in asked:
+        v = own[j]
         y = int(p[j].argmax())
-        if known[j] is None and y < NONE and p[j, y] >= least:
+        if y < NONE and p[j, y] >= least:
             t = text[v[1] : v[2]]
             s, e = v[1] + len(t) - len(t.lstrip(_EDGE)), v[2] - (len(t) - len(t.rstrip(_EDGE)))
             if s >= e:
                 continue
-            if out and out[-1][0] == y and v[0] == last + 1:
-                out[-1] = (y, out[-1][1], e)  # neighbours of one kind are one span
+            if out and out[-1][0] == y and v[0] == last + 1 and own[j - 1][4] == v[4]:
+                out[-1] = (y, out[-1][1], e)  # neighbours that name the same are one span
             else:
                 out.append((y, s, e))
             last = v[0]
@@ -258,7 +358,7 @@ def find(docs: DataFrame, model, least: float = 0.9) -> DataFrame:
             for x in b.column("text"):
                 text = x.as_py() or ""
                 own = base_spans(text) if _candidate(text) else []
-                more = added_spans(text, own, shared.value, least) if _candidate(text) else []
+                more = added_spans(text, own, shared.value, least) if own else []
                 base.append([dict(zip(names, s)) for s in own])
                 spans.append([dict(zip(names, s)) for s in sorted([*own, *more])])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(base, span), pa.array(spans, span)], ["doc_id", "base", "spans"])
@@ -268,7 +368,7 @@ def find(docs: DataFrame, model, least: float = 0.9) -> DataFrame:
 
 
 def detect(docs: DataFrame, least: float = 0.9) -> DataFrame:
-    return find(docs, weights(train(docs)), least)
+    return find(docs, fit(train(docs)), least)
 
 
 def digest(spans: str) -> Column:
