@@ -7,7 +7,10 @@ its target. The gradient of a document depends on its probabilities alone, so do
 probabilities (rounded to ``digits`` decimals, so their number is bounded whatever the corpus) and each step is one
 small distributed aggregation; a document's rate is a function of its probabilities and the few residuals of the steps.
 
-The error of a domain is weighed by 1 / its tokens, which makes 1 a safe step of the plain gradient.
+The error of a domain is weighed by 1 / its tokens, which makes 1 a safe step of the plain gradient. Each aggregation
+tries that step, longer ones, and steps whose gradient is scaled by the domains' Gram matrix; the one of least error is
+taken, so no step does worse than the plain gradient. Targets that rates can meet are met in a few steps; where they
+cannot, ``most_steps`` bounds the work and the error stays a few per cent above the least. A rate of zero means that a document is not drawn; its row stays.
 
 The classifier is fitted on at most ``most_fitted`` labelled documents, those of least hash of their id; everything else
 covers all rows. Domains without tokens are left out of the fit. With labels of one domain only, all documents are of
@@ -88,47 +91,47 @@ def rate(steps: list[list[float]], p: Column) -> Column:
     return F.aggregate(given, F.lit(1.0), moved)
 
 
-def fit(scored: DataFrame, targets: dict[str, float] = TARGETS, most_steps: int = 24, close: float = 1e-5) -> list[list[float]]:
-    """The steps. scored: m_n, m_p. The targets are shares of all tokens of ``scored``.
-
-    A step moves rates against the gradient, scaled by the inverse of the domains' Gram matrix over the documents whose
-    rate is not zero (which ends in one step where no rate meets zero). A step that does not lessen the squared error
-    is halved; after three halvings the plain gradient is taken, for which 1 is a safe step.
-    """
+def fit(scored: DataFrame, targets: dict[str, float] = TARGETS, most_steps: int = 40, close: float = 1e-5) -> list[list[float]]:
+    """The steps. scored: m_n, m_p. The targets are shares of all tokens of ``scored``."""
     alike = util.save(scored.groupBy("m_p").agg(F.sum("m_n").alias("m_n")).where("m_n > 0"), "mixing-alike")
-    r, n, p, k = F.col("r"), F.col("m_n"), F.col("m_p"), len(DOMAINS)
+    n, p, k = F.col("m_n"), F.col("m_p"), len(DOMAINS)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def sums(r: Column) -> list[Column]:
+        """Expected tokens by domain, and the Gram matrix of the documents whose rate is not zero."""
+        free = F.when(r > 0, n).otherwise(0)
+        return [*[F.sum(r * n * p[i]) for i in range(k)], *[F.sum(free * p[i] * p[j]) for i, j in pairs]]
+
+    def tried(steps: list[list[float]], moves: list[np.ndarray]) -> list[np.ndarray]:
+        given = F.array(*[F.array(*[F.lit(float(x)) for x in m]) for m in moves])
+        moved = F.transform(given, lambda m: F.greatest(F.lit(0.0), rate(steps, p) - sum(m[i] * p[i] for i in range(k))))
+        rows = alike.select("m_n", "m_p", F.posexplode(moved).alias("move", "r")).groupBy("move").agg(F.array(*sums(F.col("r"))).alias("s"))
+        return [np.array(x["s"]) for x in rows.orderBy("move").collect()]  # a row a move
+
+    mass = np.array(alike.agg(*[F.sum(n * p[i]) for i in range(k)]).first()[:])
+    if mass[0] is None:
+        return []
+    mass = mass.astype(float)
+    goal = np.where(mass > 0, [targets[d] for d in DOMAINS], 0) * mass.sum()
+    off = lambda s: np.where(mass > 0, s[:k] - goal, 0.0)
+    error = lambda s: float((off(s) ** 2 / np.maximum(mass, 1)).sum())
     steps: list[list[float]] = []
-    goal = mass = None
-    last = (float("inf"), np.zeros(k), 0)
+    now = tried(steps, [np.zeros(k)])[0]
     for _ in range(most_steps):
-        now = alike.withColumn("r", rate(steps, p))
-        free = F.when(r > 0, n).otherwise(0)
-        got = now.agg(*[F.sum(r * n * p[i]) for i in range(k)], *[F.sum(n * p[i]) for i in range(k)], *[F.sum(free * p[i] * p[j]) for i, j in pairs]).first()
-        if got[0] is None:
-            return []
-        have = np.array(got[:k])
-        if goal is None:
-            mass = np.array(got[k : 2 * k])
-            goal = np.where(mass > 0, [targets[d] for d in DOMAINS], 0) * mass.sum()
-        off = np.where(mass > 0, have - goal, 0.0)
-        error = float((off**2 / np.maximum(mass, 1)).sum())
-        if np.abs(off).max() <= close * goal.sum():
+        if np.abs(off(now)).max() <= close * goal.sum():
             break
-        if error >= last[0] and last[2] < 3 and steps:
-            steps[-1] = (np.array(steps[-1]) / 2).tolist()
-            last = (last[0], last[1], last[2] + 1)
-            continue
-        if error >= last[0] and steps:
-            steps[-1] = last[1].tolist()  # the plain gradient at the point before
-            last = (float("inf"), last[1], 0)
-            continue
         gram = np.zeros((k, k))
-        for (i, j), x in zip(pairs, got[2 * k :]):
+        for (i, j), x in zip(pairs, now[k:]):
             gram[i, j] = gram[j, i] = x
-        step = np.linalg.solve(gram + np.diag(np.where(mass > 0, 1e-6 * mass, 1.0)), off)
-        steps.append(step.tolist())
-        last = (error, off / np.maximum(mass, 1), 0)
+        plain = off(now) / np.maximum(mass, 1)
+        scaled = np.linalg.solve(gram + np.diag(np.where(mass > 0, 1e-6 * mass, 1.0)), off(now))
+        moves = [*[plain * s for s in (1, 4, 16, 64, 256)], *[scaled * s for s in (1, 0.5, 0.125)]]
+        found = tried(steps, moves)
+        best = min(range(len(moves)), key=lambda i: error(found[i]))
+        if error(found[best]) >= error(now):
+            break
+        steps.append(moves[best].tolist())
+        now = found[best]
     return steps
 
 
