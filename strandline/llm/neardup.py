@@ -1,6 +1,9 @@
-"""Near copies by the Jaccard similarity of their word shingles, found through banded MinHash and verified exactly.
+"""Near copies by the Jaccard similarity of their word shingles, found through SimHash and banded MinHash, verified exactly.
 
 Texts are sets of ``WIDTH``-word shingles (lower-cased words, 64-bit hashes). Texts of one set are one class from the start.
+Classes whose SimHash fingerprints (of the set of shingles) lie within ``RADIUS`` bits are found by the generalised pigeonhole
+search of :mod:`simhash`. At a similarity of 0.8 fingerprints differ in 10 bits on the average; a pigeonhole of 64 bits that
+reaches so far compares a fixed share of all pairs (a radius of 6 is thousands of probes a text in a large corpus), so MinHash looks for the rest.
 Classes whose minima agree in one of ``BANDS`` bands of ``ROWS`` rows share a bucket: at a similarity of 0.8 all bands of a
 pair differ with probability (1 - 0.8 ** 5) ** 26, about 3 in 100,000, above it less. A link is a pair of a bucket whose
 sets, compared as a whole, are at least ``LEAST`` alike; a group is what links connect, so its ends may be less alike.
@@ -27,6 +30,8 @@ from pyspark.sql import functions as F
 from . import simhash, util
 
 WIDTH, LEAST, BANDS, ROWS = 5, 0.8, 26, 5
+#: Bits that fingerprints of candidates differ in at most.
+RADIUS = 3
 _RNG = np.random.Generator(np.random.PCG64(42))
 _MULTIPLIERS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Least share of equal minima that is looked at further.
@@ -53,21 +58,30 @@ def minima(hashes: np.ndarray, block: int = 8192) -> np.ndarray:
     return out
 
 
+def fingerprint(hashes: np.ndarray, block: int = 8192) -> np.int64:
+    """SimHash of a set: a bit is 1 if it is set in over half of the hashes."""
+    ones = np.zeros(simhash.BITS, np.int64)
+    for k in range(0, len(hashes), block):
+        ones += np.unpackbits(hashes[k : k + block].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0]
+
+
 def _class(hashes: np.ndarray) -> int:
     return np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes())).view(np.int64)
 
 
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        cls, n, bands = [], [], []
+        cls, n, bands, fp = [], [], [], []
         for x in b.column("text"):
             s = shingle_set(x.as_py())
             m = minima(s).reshape(BANDS, ROWS)
             cls.append(_class(s))
             n.append(len(s))
+            fp.append(fingerprint(s))
             bands.append([np.uint64(xxhash.xxh3_64_intdigest(row.tobytes(), k)).view(np.int64) for k, row in enumerate(m)] if len(s) else [])
-        made = [pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays([b.column("least"), *made], ["least", "cls", "n", "bands"])
+        made = [pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(fp, pa.int64())]
+        yield pa.RecordBatch.from_arrays([b.column("least"), *made], ["least", "cls", "n", "bands", "fp"])
 
 
 def _details(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,23 +134,38 @@ def verified(pairs: DataFrame, details: DataFrame) -> DataFrame:
     return both.where(shared >= F.ceil(F.round(LEAST * union, 6))).select("a", "b")
 
 
+def fingerprint_pairs(classes: DataFrame) -> DataFrame:
+    """(a, b) of classes (cls, n, fp) of like size whose fingerprints are within ``RADIUS`` bits: the least class of each fingerprint with the
+    others of it, and the least classes of linked fingerprints."""
+    first = util.save(classes.groupBy("fp").agg(F.min(F.struct("cls", "n")).alias("first")), "copy-fingerprints")
+    links = simhash.links(first.select("fp"), RADIUS)
+    side = lambda c: first.select(F.col("fp").alias(c), F.col("first").alias(f"first_{c}"))
+    apart = links.join(side("a"), "a").join(side("b"), "b").select(F.col("first_a").alias("x"), F.col("first_b").alias("y"))
+    same = classes.join(first, "fp").select(F.col("first").alias("x"), F.struct("cls", "n").alias("y")).where("x.cls <> y.cls")
+    alike = F.least("x.n", "y.n") >= LEAST * F.greatest("x.n", "y.n")
+    return apart.union(same).where(alike).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
+
+
 def survivors(docs: DataFrame) -> DataFrame:
     """key (of :func:`row_key`): of each group the row of the least doc_id; null ids come last, equal ones go by key."""
     key = row_key(docs)
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), key.alias("key"))
     ranked = docs.select(rank.alias("least"), "text")
-    marks = ranked.mapInArrow(_marks, "least struct<none:boolean,id:bigint,key:struct<a:bigint,b:int>>, cls long, n long, bands array<bigint>")
-    # n and bands are functions of the class
-    classes = util.save(marks.groupBy("cls").agg(F.min("least").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")), "text-classes")
+    marks = ranked.mapInArrow(_marks, "least struct<none:boolean,id:bigint,key:struct<a:bigint,b:int>>, cls long, n long, bands array<bigint>, fp long")
+    # n, bands and fp are functions of the class
+    classes = util.save(marks.groupBy("cls").agg(F.min("least").alias("least"), *[F.first(c).alias(c) for c in ("n", "bands", "fp")]), "text-classes")
+    near = util.save(fingerprint_pairs(classes.where("n > 0").select("cls", "n", "fp")), "copy-pairs")
     entries = classes.select("cls", "n", F.explode("bands").alias("h"))
     buckets = entries.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("cls", "n")).alias("first")).where("size > 1")
     buckets = util.save(buckets, "copy-buckets")
     members = util.save(entries.join(util.hinted(buckets, 200_000), "h"), "copy-members")
-    wanted = util.save(members.select("cls").distinct().join(classes.select("cls", "least.key"), "cls").select("key"), "copy-candidates")
+    asked = members.select("cls").union(near.select("a")).union(near.select("b")).distinct()
+    wanted = util.save(asked.join(classes.select("cls", "least.key"), "cls").select("key"), "copy-candidates")
     texts = docs.select(key.alias("key"), "text").join(util.hinted(wanted, 200_000), "key", "left_semi").select("text")
     details = util.save(texts.mapInArrow(_details, "cls long, hashes array<bigint>, sign binary").dropDuplicates(["cls"]), "copy-details")
     sized = (F.col("first.cls") != F.col("cls")) & (F.least("first.n", "n") >= LEAST * F.greatest("first.n", "n"))
-    found = util.save(verified(members.where(sized).select(F.col("first.cls").alias("a"), F.col("cls").alias("b")), details), "copy-links")
+    pairs = members.where(sized).select(F.col("first.cls").alias("a"), F.col("cls").alias("b")).union(near.select("a", "b"))
+    found = util.save(verified(pairs, details), "copy-links")
     roots = util.save(simhash.components(found), "copy-roots")
     now = members.where("size > 2").join(roots, F.col("cls") == F.col("node"), "left").select("h", "cls", "n", F.coalesce("root", "cls").alias("root"))
     now = util.save(now, "copy-members")
