@@ -1,6 +1,8 @@
 """The corpus pipeline: quality rules, line dedup, near-dedup, decontamination, mixing. Part of the llm subpackage.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the next one's docs.
+Near dedup is operator 9's fingerprints and pigeonhole search over five-word shingles with exact verification at a similarity
+of 0.8; what lies beyond its radius is found by MinHash (see :mod:`strandline.llm.neardup`).
 All but the last return the columns of ``documents``; the last adds n_tokens, the domain probabilities and the rate.
 """
 
@@ -41,10 +43,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document gets its rate; those whose rate is zero are no part of the mix."""
+    """Every document stays and gets its rate; a rate of zero says that the mix draws nothing from it."""
     done = mixing.rated(docs, util.table(spark, sf_dir, "labels"))
     made = {"n_tokens": F.col("m_n"), **{f"p_{d}": F.col("m_p")[k] for k, d in enumerate(mixing.DOMAINS)}, "rate": F.col("m_rate")}
-    return done.where("m_rate > 0").select(*[F.col("m_row").getField(c).alias(c) for c in docs.columns if c not in made], *[c.alias(name) for name, c in made.items()])
+    return done.select(*[F.col("m_row").getField(c).alias(c) for c in docs.columns if c not in made], *[c.alias(name) for name, c in made.items()])
 
 
 STAGES = [
