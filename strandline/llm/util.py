@@ -48,7 +48,8 @@ def attach(rows: DataFrame, found: DataFrame, on: list[str], n: str, salt: list[
     all others are joined by a shuffle, in which no key has more than a thousandth of the rows. If there are at most ``small`` keys, all are broadcast.
     """
     if small and found.limit(small + 1).count() <= small:
-        return rows.join(F.broadcast(found), on, "left").select(*rows.columns, *[c for c in found.columns if c not in rows.columns])
+        own = found.drop(*[c for c in found.columns if c in rows.columns and c not in on])
+        return rows.join(F.broadcast(own), on, "left").select(*rows.columns, *[c for c in own.columns if c not in on])
     total = found.agg(F.sum(n)).first()[0] or 0
     values = [c for c in found.columns if c not in on]
     hot = F.col(n) * 1000 > F.lit(total)
