@@ -66,12 +66,12 @@ def asof_events_delay(spark, d):
     return joins.asof(buys, views, ["user_id"], "us", "v_us", ["v_us", "v_price"], strict=False, delay=HOUR).select("event_id", "v_us", r("v_price").alias("v_price"))
 
 
-_SPANS = "s AS (SELECT o_custkey AS k, min(o_orderdate) AS a, max(o_orderdate) AS z FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1)"
+_SPANS = "s AS (SELECT o_custkey AS k, min(o_orderdate) AS a, max(o_orderdate) AS z FROM orders WHERE o_orderstatus <> 'O' GROUP BY 1)"
 
 
 def _membership(spark, d):
     o = table(spark, d, "orders")
-    spans = o.where("o_orderkey % 2 = 0").groupBy("o_custkey").agg(F.min("o_orderdate").alias("a"), F.max("o_orderdate").alias("z"))
+    spans = o.where("o_orderstatus <> 'O'").groupBy("o_custkey").agg(F.min("o_orderdate").alias("a"), F.max("o_orderdate").alias("z"))
     return o.select("o_orderkey", "o_custkey", "o_orderdate"), spans
 
 

@@ -27,7 +27,7 @@ def h(*parts: str) -> str:
 def _boot_sql(method: str, seed: int, block: int, starts: str) -> str:
     at = f"({h(repr(str(seed)), 'rep', 'symbol', f'idx // {block}')} % {starts} + idx % {block}) % n"
     return f"""SELECT '{method}' AS method, x.symbol, rep, count(*) AS n, round(sum(rc.mkt), 6) + 0 AS total, round(sum(x.idx * rc.mkt), 4) + 0 AS moment FROM (SELECT symbol, n, rep, idx, {at} AS at FROM
-  (SELECT symbol, n, unnest(range(n)) AS idx FROM nn), (SELECT unnest(range(3)) AS rep)) x JOIN rc ON rc.symbol = x.symbol AND rc.idx = x.at GROUP BY ALL"""
+  (SELECT symbol, n, unnest(range(n)) AS idx FROM nn), (SELECT unnest(range(1000)) AS rep)) x JOIN rc ON rc.symbol = x.symbol AND rc.idx = x.at GROUP BY ALL"""
 
 
 def _marks(rows, method):
@@ -38,8 +38,8 @@ def _marks(rows, method):
 @query("resample_bootstrap", f"WITH {RC} {_boot_sql('iid', 1, 1, 'n')} UNION ALL {_boot_sql('circular', 2, 8, 'n')} UNION ALL {_boot_sql('block', 3, 8, 'greatest(1, n - 7)')}")
 def resample_bootstrap(spark, d):
     rows = plain(spark, d)
-    out = _marks(resample.bootstrap(rows, ["symbol"], 3, 1), "iid").unionByName(_marks(resample.bootstrap(rows, ["symbol"], 3, 2, 8), "circular"))
-    return out.unionByName(_marks(resample.bootstrap(rows, ["symbol"], 3, 3, 8, circular=False), "block"))
+    out = _marks(resample.bootstrap(rows, ["symbol"], 1000, 1), "iid").unionByName(_marks(resample.bootstrap(rows, ["symbol"], 1000, 2, 8), "circular"))
+    return out.unionByName(_marks(resample.bootstrap(rows, ["symbol"], 1000, 3, 8, circular=False), "block"))
 
 
 @query("resample_permuted", f"""WITH {RC}, rr AS (SELECT rc.*, rep, bar // 24 AS day FROM rc, (SELECT unnest(range(3)) AS rep)),
@@ -64,11 +64,11 @@ dr AS (SELECT {series}, n, len, rep, blk, {h("'1'", 'rep', *shared.split(', '),
 ex AS (SELECT *, (st + j) % n AS idx FROM (SELECT *, unnest(range(len)) AS j FROM dr)), sums AS (SELECT {series}, rep, any_value(n) AS n, count(*) AS total, {values} FROM ex JOIN {source} USING ({series}, idx) GROUP BY {series}, rep)"""
 
 
-@query("bootstrap_interval", f"""WITH {RC}, {_draws('symbol', 'rc', 'symbol', 50, 'sum(mkt) AS a, sum(mkt * mkt) AS q, sum(ln(1 + mkt)) AS l')},
+@query("bootstrap_interval", f"""WITH {RC}, {_draws('symbol', 'rc', 'symbol', 1000, 'sum(mkt) AS a, sum(mkt * mkt) AS q, sum(ln(1 + mkt)) AS l')},
 st AS (SELECT symbol, CASE WHEN greatest(0, q / total - (a / total) ** 2) * total / (total - 1) > 1e-30 THEN a / total / sqrt(greatest(0, q / total - (a / total) ** 2) * total / (total - 1)) ELSE 0 END * sqrt(8760::DOUBLE) AS s, exp(l * n / total) - 1 AS g FROM sums WHERE n >= 60)
 SELECT symbol, round(quantile_cont(s, 0.025), 4) AS sharpe_low, round(quantile_cont(s, 0.975), 4) AS sharpe_high, round(quantile_cont(g, 0.025), 6) AS total_low, round(quantile_cont(g, 0.975), 6) AS total_high, round(avg(CASE WHEN s > 0 THEN 1.0 ELSE 0 END), 6) AS positive FROM st GROUP BY symbol""")
 def bootstrap_interval(spark, d):
-    found = resample.bootstrap_interval(plain(spark, d), ["symbol"], 50, 8760.0, "mkt")
+    found = resample.bootstrap_interval(plain(spark, d), ["symbol"], 1000, 8760.0, "mkt")
     return found.select("symbol", *[r(c, 4).alias(c) for c in ("sharpe_low", "sharpe_high")], *[r(c).alias(c) for c in ("total_low", "total_high", "positive")])
 
 
@@ -80,22 +80,22 @@ def trials(spark, d):
     return rows.select("symbol", (F.col("fast") * 100 + F.col("slow")).alias("trial"), (F.col("idx") - 1).alias("idx"), "ret")
 
 
-@query("reality_check", f"""WITH {_TRIALS}, {_draws('symbol, trial', 'tr', 'symbol', 40, 'sum(ret) AS a')}, ow AS (SELECT symbol, trial, avg(ret) AS mean FROM tr GROUP BY ALL),
+@query("reality_check", f"""WITH {_TRIALS}, {_draws('symbol, trial', 'tr', 'symbol', 1000, 'sum(ret) AS a')}, ow AS (SELECT symbol, trial, avg(ret) AS mean FROM tr GROUP BY ALL),
 sp AS (SELECT *, sqrt(total) * (a / total - mean) AS spread, sqrt(total) * mean AS rc0 FROM sums JOIN ow USING (symbol, trial)), om AS (SELECT *, stddev_samp(spread) OVER (PARTITION BY symbol, trial) AS omega FROM sp),
 zt AS (SELECT *, rc0 / omega AS t, (spread + CASE WHEN rc0 / omega <= -sqrt(2 * ln(ln(greatest(total, 3)))) THEN rc0 ELSE 0 END) / omega AS zz FROM om WHERE omega > 1e-12),
 ea AS (SELECT symbol, rep, count(*) AS models, max(rc0) AS rc0, max(spread) AS nrc, greatest(0, max(t)) AS spa, greatest(0, max(zz)) AS nspa FROM zt GROUP BY ALL)
 SELECT symbol, any_value(models) AS models, round((1 + count(*) FILTER (round(nrc, 12) >= round(rc0, 12))) / (count(*) + 1), 6) AS p_rc, round((1 + count(*) FILTER (round(nspa, 12) >= round(spa, 12))) / (count(*) + 1), 6) AS p_spa FROM ea GROUP BY symbol""")
 def reality_check(spark, d):
-    return _pick(search.reality_check(trials(spark, d), ["symbol"], "trial", 40), ["symbol", "models"], "p_rc", "p_spa")
+    return _pick(search.reality_check(trials(spark, d), ["symbol"], "trial", 1000), ["symbol", "models"], "p_rc", "p_spa")
 
 
-@query("romano_wolf", f"""WITH {_TRIALS}, {_draws('symbol, trial', 'tr', 'symbol', 40, 'sum(ret) AS a')}, ow AS (SELECT symbol, trial, avg(ret) AS mean, stddev_samp(ret) / sqrt(count(*)) AS se FROM tr GROUP BY ALL),
+@query("romano_wolf", f"""WITH {_TRIALS}, {_draws('symbol, trial', 'tr', 'symbol', 500, 'sum(ret) AS a')}, ow AS (SELECT symbol, trial, avg(ret) AS mean, stddev_samp(ret) / sqrt(count(*)) AS se FROM tr GROUP BY ALL),
 pl AS (SELECT *, coalesce(mean / nullif(se, 0), 0) AS t, row_number() OVER (PARTITION BY symbol ORDER BY round(abs(coalesce(mean / nullif(se, 0), 0)), 9) DESC, trial) AS place FROM ow),
 bt AS (SELECT symbol, rep, place, coalesce(abs((a / total - mean) / nullif(se, 0)), 0) AS bb FROM sums JOIN pl USING (symbol, trial)), mx AS (SELECT *, max(bb) OVER (PARTITION BY symbol, rep ORDER BY place DESC) AS mm FROM bt),
 cr AS (SELECT symbol, place, quantile_cont(mm, 0.95) AS critical FROM mx GROUP BY ALL)
 SELECT symbol, trial, place, round(t, 6) + 0 AS t, round(critical, 6) AS critical, min(CASE WHEN abs(t) > critical THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY place) = 1 AS rejected FROM pl JOIN cr USING (symbol, place)""")
 def romano_wolf(spark, d):
-    found = search.romano_wolf(trials(spark, d), ["symbol"], "trial", 40)
+    found = search.romano_wolf(trials(spark, d), ["symbol"], "trial", 500)
     return found.select("symbol", "trial", "place", r("t").alias("t"), r("critical").alias("critical"), "rejected")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 
 from ..functions import normal, positions, xsection
 from ..functions import windows as fw
-from ..operators import alpha, series, stats
+from ..operators import alpha, bars, series, stats
 from ..sources.tables import table
 from .base import BARS, MONTHS, WS, full, hourly, monthly, query, r, rank_sql
 from .market import _LEGS, _PAIR, _pair
@@ -123,19 +123,19 @@ def signal_orthogonality(spark, d):
     return _pick(alpha.partial_ic(panel(spark, d), "ret", "vol", "fwd"), ["bar", "n"], "ic")
 
 
-@query("signal_placebo", f"""WITH {PANEL}, v AS (SELECT symbol, bar, ret AS s, fwd AS f FROM pn WHERE ret IS NOT NULL AND fwd IS NOT NULL), rp AS (SELECT v.*, rep FROM v, (SELECT unnest(range(10)) AS rep)),
+@query("signal_placebo", f"""WITH {PANEL}, v AS (SELECT symbol, bar, ret AS s, fwd AS f FROM pn WHERE ret IS NOT NULL AND fwd IS NOT NULL), rp AS (SELECT v.*, rep FROM v, (SELECT unnest(range(200)) AS rep)),
 o AS (SELECT *, row_number() OVER (PARTITION BY rep, bar ORDER BY symbol) AS a, row_number() OVER (PARTITION BY rep, bar ORDER BY {h("'1'", 'rep', 'bar', 'symbol')}, symbol) AS z FROM rp),
 dl AS (SELECT x.rep, x.bar, x.f, y.s FROM o x JOIN o y ON x.rep = y.rep AND x.bar = y.bar AND x.a = y.z), {_ic('s', 'f', 'dl', 'rep, bar', 'nu')}, {_ic('s', 'f', 'v', 'bar', 'ow')},
 nm AS (SELECT rep, avg(ic) AS ic FROM nu GROUP BY rep), om AS (SELECT avg(ic) AS ic FROM ow) SELECT round(om.ic, 6) AS mean_ic, count(*) AS draws, round((1 + count(*) FILTER (round(nm.ic, 9) >= round(om.ic, 9))) / (count(*) + 1), 6) AS p FROM nm, om GROUP BY om.ic""")
 def signal_placebo(spark, d):
-    return _pick(alpha.placebo(panel(spark, d), "ret", "fwd", 10), ["draws"], "mean_ic", "p")
+    return _pick(alpha.placebo(panel(spark, d), "ret", "fwd", 200), ["draws"], "mean_ic", "p")
 
 
-@query("class_lookahead", "WITH s AS (SELECT o_custkey AS symbol, o_orderpriority AS class, min(epoch(o_orderdate) // 86400) AS since FROM orders WHERE o_orderkey % 3 = 0 GROUP BY ALL), u AS (SELECT o_custkey AS symbol, o_orderpriority AS class, epoch(o_orderdate) // 86400 AS bar FROM orders) SELECT DISTINCT u.symbol, CAST(u.bar AS BIGINT) AS bar, u.class, CAST(since AS BIGINT) AS since FROM u LEFT JOIN s ON u.symbol = s.symbol AND u.class = s.class WHERE since IS NULL OR since > u.bar")
+@query("class_lookahead", "WITH s AS (SELECT o_custkey AS symbol, o_orderpriority AS class, min(epoch(o_orderdate) // 86400) AS since FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL), u AS (SELECT o_custkey AS symbol, o_orderpriority AS class, epoch(o_orderdate) // 86400 AS bar FROM orders) SELECT DISTINCT u.symbol, CAST(u.bar AS BIGINT) AS bar, u.class, CAST(since AS BIGINT) AS since FROM u LEFT JOIN s ON u.symbol = s.symbol AND u.class = s.class WHERE since IS NULL OR since > u.bar")
 def class_lookahead(spark, d):
     day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
-    o = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("symbol"), F.col("o_orderpriority").alias("class"), day.alias("bar"))
-    known = o.where("o_orderkey % 3 = 0").groupBy("symbol", "class").agg(F.min("bar").alias("since"))
+    o = table(spark, d, "orders").select("o_orderstatus", F.col("o_custkey").alias("symbol"), F.col("o_orderpriority").alias("class"), day.alias("bar"))
+    known = o.where("o_orderstatus = 'F'").groupBy("symbol", "class").agg(F.min("bar").alias("since"))
     return alpha.late_classes(known, o.select("symbol", "bar", "class"))
 
 
@@ -219,13 +219,20 @@ def pair_phantom_pnl(spark, d):
     return rows.select("bar", q.alias("qy"), r(booked).alias("booked"), r(tradable).alias("tradable"))
 
 
-@query("carry_index", f"""WITH {BARS}, {_PAIR}, c AS (SELECT *, exp(y) / exp(lag(y) OVER ({WS})) - exp(x) / exp(lag(x) OVER ({WS})) AS basis, ((idx * 7) % 11 - 5) / 10000.0::DOUBLE AS funding FROM p), i AS (SELECT *, CASE WHEN idx = 0 THEN 0 ELSE (basis / 1000000 + funding) END AS ret FROM c)
-SELECT bar, round(ret, 8) + 0 AS ret, round(100 * exp(sum(ln(1 + ret)) OVER ({WS})), 6) AS close FROM i""")
+_CARRY = """cm AS (SELECT year(l_shipdate) * 12 + month(l_shipdate) AS bar, sum(l_extendedprice) FILTER (l_returnflag = 'R') / sum(l_quantity) FILTER (l_returnflag = 'R') AS y, sum(l_extendedprice) FILTER (l_returnflag = 'A') / sum(l_quantity) FILTER (l_returnflag = 'A') AS x FROM lineitem GROUP BY 1),
+  p AS (SELECT *, row_number() OVER (ORDER BY bar) - 1 AS idx FROM cm WHERE y IS NOT NULL AND x IS NOT NULL)"""
+
+
+@query("carry_index", f"""WITH {_CARRY}, c AS (SELECT *, y / lag(y) OVER (ORDER BY idx) - x / lag(x) OVER (ORDER BY idx) AS basis, ((idx * 7) % 11 - 5) / 10000.0::DOUBLE AS funding FROM p), i AS (SELECT *, CASE WHEN idx = 0 THEN 0 ELSE basis + funding END AS ret FROM c)
+SELECT bar, round(ret, 8) + 0 AS ret, round(100 * exp(sum(ln(1 + ret)) OVER (ORDER BY idx)), 6) AS close FROM i""")
 def carry_index(spark, d):
-    """A hedged book of one leg against the other that collects funding, as a compounded index."""
+    """A hedged book of one leg against the other that collects funding, as a compounded index: monthly mean prices of two sorts of order lines, a row a month."""
+    mean = lambda flag: F.sum(F.when(F.col("l_returnflag") == flag, F.col("l_extendedprice"))) / F.sum(F.when(F.col("l_returnflag") == flag, F.col("l_quantity")))
+    months = table(spark, d, "lineitem").groupBy((F.year("l_shipdate") * 12 + F.month("l_shipdate")).cast("long").alias("bar")).agg(mean("R").alias("y"), mean("A").alias("x"))
+    rows = bars.indexed(months.where("y IS NOT NULL AND x IS NOT NULL").withColumn("symbol", F.lit("R-A")))
     w = fw.by()
-    grow = lambda c: F.exp(c) / F.exp(F.lag(c).over(w))
-    rows = _pair(spark, d).withColumn("ret", F.when(F.col("idx") == 0, 0.0).otherwise((grow("y") - grow("x")) / 1_000_000 + ((F.col("idx") * 7) % 11 - 5) / 10000.0))
+    grow = lambda c: F.col(c) / F.lag(c).over(w)
+    rows = rows.withColumn("ret", F.when(F.col("idx") == 0, 0.0).otherwise(grow("y") - grow("x") + ((F.col("idx") * 7) % 11 - 5) / 10000.0))
     return rows.select("bar", r("ret", 8).alias("ret"), r(100 * F.exp(F.sum(F.log1p("ret")).over(w.rowsBetween(W.unboundedPreceding, 0)))).alias("close"))
 
 

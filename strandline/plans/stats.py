@@ -211,11 +211,11 @@ def stress_replay(spark, d):
 
 
 @query("rolling_sharpe", f"""WITH {RETS} SELECT symbol, bar, round(CASE WHEN count(ret) OVER f >= 72 THEN avg(ret) OVER f / nullif(stddev_samp(ret) OVER f, 0) * sqrt(8760::DOUBLE) END, 4) AS sharpe FROM rets
-WINDOW f AS ({WS} ROWS BETWEEN 71 PRECEDING AND CURRENT ROW) QUALIFY idx % 24 = 0""")
+WINDOW f AS ({WS} ROWS BETWEEN 71 PRECEDING AND CURRENT ROW)""")
 def rolling_sharpe(spark, d):
     w, x = fw.by(), F.col("ret")
     s = fw.div(fw.rolling(F.avg, x, 72, w), fw.rolling(F.stddev_samp, x, 72, w)) * 8760**0.5
-    return returns(spark, d).select("symbol", "bar", "idx", r(s, 4).alias("sharpe")).where("idx % 24 = 0").drop("idx")
+    return returns(spark, d).select("symbol", "bar", r(s, 4).alias("sharpe"))
 
 
 @query("rolling_stability", f"""WITH {RETS}, k AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY symbol ORDER BY idx) - 1) * 8 / count(*) OVER (PARTITION BY symbol)) AS INTEGER) AS part FROM rets WHERE ret IS NOT NULL),

@@ -24,20 +24,20 @@ from .stats import RETS, _pick, returns
 # Options: each order line as an option trade on its part
 
 
-_OPT = """op AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS trade_id, l_partkey % 20 AS symbol, CAST(l_shipdate AS DATE) AS date, CAST(l_shipdate AS DATE) + CAST(5 + l_partkey % 60 AS INTEGER) AS expiry,
+_OPT = """op AS (SELECT l_orderkey * 100000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS trade_id, l_partkey % 20 AS symbol, CAST(l_shipdate AS DATE) AS date, CAST(l_shipdate AS DATE) + CAST(5 + l_partkey % 60 AS INTEGER) AS expiry,
   CASE WHEN l_linenumber % 2 = 1 THEN 'C' ELSE 'P' END AS "right", round(p_retailprice * (0.7 + (l_orderkey % 7) / 10.0::DOUBLE), 2) AS strike, CASE WHEN l_returnflag = 'A' THEN l_quantity ELSE -l_quantity END AS qty, 100 AS multiplier, round(p_retailprice * (2 + l_orderkey % 5) / 100, 2) AS mid,
-  (l_orderkey % 4) / 40.0::DOUBLE AS edge, l_orderkey % 3 AS kind, l_tax AS tax, l_discount AS disc, 0.15 + (l_partkey % 7) / 20.0::DOUBLE AS iv_used, CAST(l_shipdate AS DATE) + CAST(l_orderkey % 10 - 8 AS INTEGER) AS iv_asof, p_retailprice AS underlying_price FROM lineitem JOIN part ON p_partkey = l_partkey WHERE year(l_shipdate) = 1997),
+  (l_orderkey % 4) / 40.0::DOUBLE AS edge, l_orderkey % 3 AS kind, l_tax AS tax, l_discount AS disc, 0.15 + (l_partkey % 7) / 20.0::DOUBLE AS iv_used, CAST(l_shipdate AS DATE) + CAST(l_orderkey % 10 - 8 AS INTEGER) AS iv_asof, p_retailprice AS underlying_price FROM lineitem JOIN part ON p_partkey = l_partkey),
 opt AS (SELECT *, mid * 0.98 AS bid, mid * 1.02 AS ask, CASE WHEN kind = 0 THEN mid WHEN kind = 1 THEN mid * (1 + 0.02 * sign(qty)) ELSE mid * (1 - edge / 10 * sign(qty)) END AS fill_price, mid * (1 + tax - disc) AS exit_price FROM op)"""
 
 
 def option_trades(spark, d):
-    li = table(spark, d, "lineitem").where(F.year("l_shipdate") == 1997)
+    li = table(spark, d, "lineitem")
     rows = li.join(table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
-    total = W.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    own = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
     date, k = F.col("l_shipdate").cast("date"), F.col("l_orderkey")
     mid = F.round(F.col("p_retailprice") * (2 + k % 5) / 100, 2)
     rows = rows.select(
-        F.row_number().over(total).cast("long").alias("trade_id"), (F.col("l_partkey") % 20).alias("symbol"), date.alias("date"), F.date_add(date, (5 + F.col("l_partkey") % 60).cast("int")).alias("expiry"),
+        (F.col("l_orderkey") * 100_000 + F.row_number().over(own)).alias("trade_id"), (F.col("l_partkey") % 20).alias("symbol"), date.alias("date"), F.date_add(date, (5 + F.col("l_partkey") % 60).cast("int")).alias("expiry"),
         F.when(F.col("l_linenumber") % 2 == 1, "C").otherwise("P").alias("right"), F.round(F.col("p_retailprice") * (0.7 + (k % 7) / 10.0), 2).alias("strike"),
         F.when(F.col("l_returnflag") == "A", F.col("l_quantity")).otherwise(-F.col("l_quantity")).alias("qty"), F.lit(100).alias("multiplier"), mid.alias("mid"), ((k % 4) / 40.0).alias("edge"), (k % 3).alias("kind"),
         (0.15 + (F.col("l_partkey") % 7) / 20.0).alias("iv_used"), F.date_add(date, (k % 10 - 8).cast("int")).alias("iv_asof"), F.col("p_retailprice").alias("underlying_price"), F.col("l_tax").alias("tax"), F.col("l_discount").alias("disc"),
@@ -172,14 +172,15 @@ def implausible_accuracy(spark, d):
 
 @query("l2_book_walk", f"""WITH {TICKS}, o AS (SELECT event_id, price, CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END AS side, 1.0::DOUBLE + latency_ms / 7.0::DOUBLE AS qty FROM ticks), l AS (SELECT o.*, k, price * (1 + side * 0.0002::DOUBLE * (k + 0.5::DOUBLE)) AS px, 2.0::DOUBLE * (k + 1) AS size FROM o, (SELECT unnest(range(4)) AS k)),
 t AS (SELECT *, CASE WHEN side * px <= side * price * (1 + side * 0.0006::DOUBLE) THEN least(size, greatest(0, qty - coalesce(sum(size) OVER (PARTITION BY event_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) ELSE 0 END AS take FROM l)
-SELECT event_id, round(sum(take), 6) AS filled, round(sum(take * px) / nullif(sum(take), 0), 6) AS vwap, round(sum(take * px) * 0.0005, 6) AS fee, CAST(count(*) FILTER (take > 0) AS INTEGER) AS n_levels FROM t GROUP BY event_id""")
+SELECT event_id, round(filled, 10) AS filled, round(cost / nullif(filled, 0), 10) AS vwap, round(cost * 5 / 10000, 10) AS fee, n_levels FROM (SELECT event_id, CAST(count(*) FILTER (take > 0) AS INTEGER) AS n_levels,
+  {' + '.join(f'max(take) FILTER (k = {k})' for k in range(4))} AS filled, {' + '.join(f'max(take * px) FILTER (k = {k})' for k in range(4))} AS cost FROM t GROUP BY event_id)""")
 def l2_book_walk(spark, d):
     e = F.col("event_id")
     side = F.when(e % 2 == 0, 1).otherwise(-1)
     rows = ticks(spark, d).select("event_id", "price", side.alias("side"), (1.0 + F.col("latency_ms") / 7.0).alias("qty"))
     up, down = (orders.book_levels(F.col("price"), 2.0, 4, F.lit(2.0), s) for s in (1, -1))
     rows = rows.withColumns({"levels": F.when(F.col("side") > 0, up).otherwise(down), "limit": F.col("price") * (1 + F.col("side") * 0.0006)})
-    return _pick(orders.walk_book(rows, "levels", "limit"), ["event_id", "n_levels"], "filled", "vwap", "fee")
+    return _pick(orders.walk_book(rows, "levels", "limit"), ["event_id", "n_levels"], "filled", "vwap", "fee", digits=10)
 
 
 def _order_rows(spark, d):
@@ -331,25 +332,25 @@ def label_similarity(spark, d):
 # Adapters
 
 
-_TRADED = "tr AS (SELECT event_type AS symbol, epoch_us(ts) AS open_us, epoch_us(ts) + (1 + event_id % 5) * 3600000000 AS close_us, CASE WHEN event_id % 3 = 0 THEN -1 ELSE 1 END AS side FROM events WHERE event_id % 20 = 0)"
+_TRADED = "tr AS (SELECT event_type AS symbol, epoch_us(ts) AS open_us, epoch_us(ts) + (1 + event_id % 5) * 3600000000 AS close_us, CASE WHEN event_id % 3 = 0 THEN -1 ELSE 1 END AS side FROM events)"
 
 
 @query("positions_from_trades", f"""WITH {BARS}, {_TRADED}, bu AS (SELECT symbol, idx, bar * 3600000000 AS us, max(idx) OVER (PARTITION BY symbol) AS mx FROM b), fa AS (SELECT tr.*, row_number() OVER () AS id FROM tr),
 a AS (SELECT fa.id, fa.symbol, fa.side, min(bu.idx) AS a FROM fa JOIN bu ON bu.symbol = fa.symbol AND bu.us >= fa.open_us GROUP BY ALL), z AS (SELECT fa.id, min(bu.idx) AS z FROM fa JOIN bu ON bu.symbol = fa.symbol AND bu.us >= fa.close_us GROUP BY ALL),
 s AS (SELECT a.symbol, side, greatest(a.a - 1, 0) AS f, greatest(coalesce(z.z, (SELECT max(idx) + 1 FROM bu WHERE bu.symbol = a.symbol)) - 1, 0) AS t FROM a LEFT JOIN z USING (id)) SELECT bu.symbol, CAST(bu.idx AS BIGINT) AS idx, CAST(sign(coalesce(sum(side), 0)) AS INTEGER) AS position FROM bu LEFT JOIN s ON s.symbol = bu.symbol AND bu.idx >= f AND bu.idx < t GROUP BY ALL""")
 def positions_from_trades(spark, d):
-    e = ticks(spark, d).where("event_id % 20 = 0")
+    e = ticks(spark, d)
     i = F.col("event_id")
     trades = e.select("symbol", F.col("us").alias("open_us"), (F.col("us") + (1 + i % 5) * HOUR).alias("close_us"), F.when(i % 3 == 0, -1).otherwise(1).alias("side"))
     return adapters.positions_from_trades(hourly(spark, d).withColumn("us", F.col("bar") * HOUR), trades)
 
 
-@query("positions_from_fills", f"""WITH {BARS}, fl AS (SELECT event_type AS symbol, epoch_us(ts) AS us, CASE WHEN event_id % 3 = 0 THEN -1 ELSE 1 END * (1 + event_id % 4) / 10.0::DOUBLE AS qty FROM events WHERE event_id % 15 = 0), bu AS (SELECT symbol, idx, bar * 3600000000 AS us FROM b), mx AS (SELECT symbol, max(idx) AS n FROM bu GROUP BY symbol),
+@query("positions_from_fills", f"""WITH {BARS}, fl AS (SELECT event_type AS symbol, epoch_us(ts) AS us, CASE WHEN event_id % 3 = 0 THEN -1 ELSE 1 END * (1 + event_id % 4) / 10.0::DOUBLE AS qty FROM events), bu AS (SELECT symbol, idx, bar * 3600000000 AS us FROM b), mx AS (SELECT symbol, max(idx) AS n FROM bu GROUP BY symbol),
 a AS (SELECT fl.symbol, fl.us, qty, min(bu.idx) AS at FROM fl LEFT JOIN bu ON bu.symbol = fl.symbol AND bu.us >= fl.us GROUP BY ALL), st AS (SELECT a.symbol, least(n, greatest(coalesce("at", n + 1) - 1, 0)) AS idx, sum(qty) AS dq FROM a JOIN mx USING (symbol) GROUP BY ALL),
 q AS (SELECT bu.symbol, bu.idx, sum(coalesce(dq, 0)) OVER (PARTITION BY bu.symbol ORDER BY bu.idx) AS q FROM bu LEFT JOIN st ON st.symbol = bu.symbol AND st.idx = bu.idx), m2 AS (SELECT *, max(abs(q)) OVER (PARTITION BY symbol) AS m FROM q) SELECT symbol, CAST(idx AS BIGINT) AS idx, CASE WHEN abs(q) <= 1e-9 * m THEN 0 ELSE CAST(sign(q) AS INTEGER) END AS position FROM m2""")
 def positions_from_fills(spark, d):
     i = F.col("event_id")
-    fills = ticks(spark, d).where("event_id % 15 = 0").select("symbol", "us", (F.when(i % 3 == 0, -1).otherwise(1) * (1 + i % 4) / 10.0).alias("qty"))
+    fills = ticks(spark, d).select("symbol", "us", (F.when(i % 3 == 0, -1).otherwise(1) * (1 + i % 4) / 10.0).alias("qty"))
     return adapters.positions_from_fills(hourly(spark, d).withColumn("us", F.col("bar") * HOUR), fills)
 
 

@@ -195,7 +195,43 @@ def test_econometrics():
     assert series.unit_root_p(3.0) == 1.0 and series.unit_root_p(-20.0) == 0.0
     trace, vector = series.trace_statistics(np.column_stack([walk + rng.normal(size=400), walk + rng.normal(size=400)]))
     assert trace[0] > 15.5 and vector[1] == pytest.approx(-1, abs=0.1)
-    assert series.breaks(e) == [] and abs(series.breaks(e + (np.arange(400) >= 200) * 2)[0] - 200) < 5
+    # by force: every lag fitted on its own, by least squares
+    step = np.diff(walk)
+    top = min(int(12 * 4**0.25), 100)
+
+    def fitted(lag, start):
+        columns = np.column_stack([walk[start:-1], np.ones(len(step) - start), *[step[start - i : len(step) - i] for i in range(1, lag + 1)]])
+        beta, *_ = np.linalg.lstsq(columns, step[start:], rcond=None)
+        left = step[start:] - columns @ beta
+        cov = np.linalg.inv(columns.T @ columns) * (left @ left) / (len(left) - columns.shape[1])
+        return len(left) * np.log(left @ left / len(left)) + 2 * columns.shape[1], beta[0] / np.sqrt(cov[0, 0])
+
+    lag = min(range(top + 1), key=lambda k: fitted(k, top)[0])
+    assert series.unit_root(walk) == (pytest.approx(fitted(lag, lag)[1]), lag)
+
+
+def test_johansen_by_force():
+    """Eigenvalues of the product-moment matrices, as the textbook has them."""
+    rng = np.random.default_rng(4)
+    common = np.cumsum(rng.normal(size=300))
+    levels = np.column_stack([common + rng.normal(size=300), 0.5 * common + rng.normal(size=300), np.cumsum(rng.normal(size=300))])
+    trace, vector = series.trace_statistics(levels)
+    change = np.diff(levels, axis=0)
+    z = np.column_stack([np.ones(298), change[:-1]])
+    free = np.eye(298) - z @ np.linalg.inv(z.T @ z) @ z.T
+    r0, r1 = free @ change[1:], free @ levels[1:-1]
+    values = np.sort(np.linalg.eigvals(np.linalg.inv(r1.T @ r1) @ r1.T @ r0 @ np.linalg.inv(r0.T @ r0) @ r0.T @ r1).real)[::-1]
+    assert trace == pytest.approx([-298 * np.log(1 - values[k:]).sum() for k in range(3)])
+    assert vector[1] == pytest.approx(-2, abs=0.3)
+
+
+def test_mean_breaks(spark):
+    rng = np.random.default_rng(1)
+    e = rng.normal(size=400)
+    rows = [("still", i, float(v)) for i, v in enumerate(e)] + [("twice", i, float(v + 2 * (i >= 150) - 3 * (i >= 300))) for i, v in enumerate(e)] + [("short", i, 1.0 * (i > 20)) for i in range(40)]
+    got = {r.symbol: r.starts for r in series.mean_breaks(spark.createDataFrame(rows, "symbol string, idx long, x double"), ["symbol"], "x").collect()}
+    assert set(got) == {"still", "twice"} and got["still"] == []
+    assert len(got["twice"]) == 2 and abs(got["twice"][0] - 150) < 6 and abs(got["twice"][1] - 300) < 6
 
 
 def test_regression_by_force(spark):
