@@ -32,12 +32,12 @@ def rank_ic(panel: DataFrame, score: str, forward: str, least: int = 3, part: tu
     return rows.groupBy(*part).agg(F.count(F.lit(1)).alias("n"), correlation("rs", "rf").alias("ic")).where(F.col("n") >= least)
 
 
-def legs(panel: DataFrame, score: str, q: int) -> DataFrame:
-    """``panel`` with bucket and weight: equal weights summing to 1 in the top bucket and to -1 in the bottom one."""
+def legs(panel: DataFrame, score: str, q: int, part: tuple[str, ...] = ("bar",)) -> DataFrame:
+    """``panel`` with bucket and weight: equal weights summing to 1 in the top bucket and to -1 in the bottom one of each part."""
     rows = panel.where(F.col(score).isNotNull())
-    rows = rows.withColumn("rank", rank_average(score, ["bar"])).withColumn("of", F.count(F.lit(1)).over(W.partitionBy("bar")))
+    rows = rows.withColumn("rank", rank_average(score, list(part))).withColumn("of", F.count(F.lit(1)).over(W.partitionBy(*part)))
     rows = rows.withColumn("bucket", bucket(F.col("rank"), F.col("of"), q))
-    size = F.count(F.lit(1)).over(W.partitionBy("bar", "bucket"))
+    size = F.count(F.lit(1)).over(W.partitionBy(*part, "bucket"))
     return rows.withColumn("weight", F.when(F.col("bucket") == q - 1, 1 / size).when(F.col("bucket") == 0, -1 / size).otherwise(F.lit(0.0))).drop("rank", "of")
 
 
