@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import base, engines, features, market, research, resampling, robust, stats, trading  # noqa: F401
+from . import base, engines, features, front, market, research, resampling, robust, stats, trading  # noqa: F401
 
 QUERIES = base.QUERIES
 SQL = base.SQL
