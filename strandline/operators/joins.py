@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 
@@ -26,16 +27,32 @@ def asof(left: DataFrame, right: DataFrame, key: list[str], left_time: str, righ
     return rows.select(*cols, *[F.col(f"_last.{c}").alias(c) for c in values])
 
 
-def within(points: DataFrame, intervals: DataFrame, key: list[str], time: str, start: str, end: str) -> DataFrame:
-    """Points inside an interval [start, end] of their key; a null end is open. An equality join on the key, the range
-    is a filter on it."""
-    return points.join(intervals, key).where((F.col(time) >= F.col(start)) & (F.col(end).isNull() | (F.col(time) <= F.col(end))))
+def _place(df: DataFrame, c: str, step: int) -> Column:
+    """The bucket of a time: so many days of a date or timestamp, or units of a number."""
+    at = F.datediff(c, F.lit("1970-01-01")) if isinstance(df.schema[c].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)) else F.col(c)
+    return F.floor(at / step).cast("long")
 
 
-def outside(points: DataFrame, intervals: DataFrame, key: list[str], time: str, start: str, end: str) -> DataFrame:
+def _bucketed(points: DataFrame, intervals: DataFrame, key: list[str], time: str, start: str, end: str, step: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with _b: points have one bucket, intervals a row for each that they touch. An open end reaches the last point."""
+    last = points.agg(F.max(_place(points, time, step)).alias("_last"))  # one row
+    i = intervals.crossJoin(last).withColumns({"_from": _place(intervals, start, step), "_to": F.coalesce(_place(intervals, end, step), F.col("_last"))})
+    i = i.where("_from <= _to").withColumn("_b", F.explode(F.sequence("_from", F.greatest("_from", F.least("_to", "_last")))))
+    return points.withColumn("_b", _place(points, time, step)), i.where("_b BETWEEN _from AND _to").drop("_from", "_to", "_last")
+
+
+def within(points: DataFrame, intervals: DataFrame, key: list[str], time: str, start: str, end: str, step: int = 30) -> DataFrame:
+    """Points inside an interval [start, end] of their key, once for each; a null end is open. A join on key and time bucket (``step``
+    days, or units of a number), so a key with many intervals meets a point with those of its bucket alone."""
+    p, i = _bucketed(points, intervals, key, time, start, end, step)
+    return p.join(i, [*key, "_b"]).where((F.col(time) >= F.col(start)) & (F.col(end).isNull() | (F.col(time) <= F.col(end)))).drop("_b")
+
+
+def outside(points: DataFrame, intervals: DataFrame, key: list[str], time: str, start: str, end: str, step: int = 30) -> DataFrame:
     """Points that no interval of their key holds."""
-    i = intervals.select(*[F.col(k).alias(f"_{k}") for k in key], F.col(start).alias("_s"), F.col(end).alias("_e"))
-    on = F.lit(True)
+    p, i = _bucketed(points, intervals, key, time, start, end, step)
+    i = i.select(*[F.col(k).alias(f"_{k}") for k in key], F.col("_b").alias("_bucket"), F.col(start).alias("_s"), F.col(end).alias("_e"))
+    on = F.col("_b") == F.col("_bucket")
     for k in key:
         on = on & (F.col(k) == F.col(f"_{k}"))
-    return points.join(i, on & (F.col(time) >= F.col("_s")) & (F.col("_e").isNull() | (F.col(time) <= F.col("_e"))), "left_anti")
+    return p.join(i, on & (F.col(time) >= F.col("_s")) & (F.col("_e").isNull() | (F.col(time) <= F.col("_e"))), "left_anti").drop("_b")

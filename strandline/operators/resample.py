@@ -110,9 +110,28 @@ def random_walks(spark, n: int, bars: int, sd: float, seed: int = 1) -> DataFram
     return rows.select("symbol", "idx", (100 * F.exp(sd * path)).alias("close"))
 
 
-def stratified(rows: DataFrame, value: str, key: str, strata: int, each: int, seed: int = 1) -> DataFrame:
-    """``each`` rows of every of ``strata`` equal parts by value, those of least hash of their key."""
-    rows = rows.withColumn("stratum", F.ntile(strata).over(W.orderBy(value, key)) if not isinstance(strata, Column) else strata)
+def placed(rows: DataFrame, value: str, key: str, ranges: int = 200) -> DataFrame:
+    """``rows`` with place and of: the exact rank by value, then key, over all rows, and their number, without one task that sorts
+    them all: approximate quantiles cut the values into ranges, ranks within a range are added to the rows of the ranges before."""
+    edges = rows.agg(F.percentile_approx(value, F.array(*[F.lit(k / ranges) for k in range(1, ranges)]), F.lit(10_000))).first()[0] or []
+    cut = F.array(*[F.lit(e) for e in sorted(set(edges))]) if edges else F.array().cast("array<double>")
+    rows = rows.withColumn("_r", F.when(F.col(value).isNull(), -1).otherwise(F.size(F.filter(cut, lambda e: e < F.col(value)))))
+    counts = rows.groupBy("_r").agg(F.count(F.lit(1)).alias("_m"))
+    w = W.partitionBy()  # ``ranges`` + 1 rows at most
+    counts = counts.withColumns({"_before": F.coalesce(F.sum("_m").over(w.orderBy("_r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "of": F.sum("_m").over(w)}).drop("_m")
+    own = F.row_number().over(W.partitionBy("_r").orderBy(value, key))
+    return rows.withColumn("_own", own).join(F.broadcast(counts), "_r").withColumn("place", F.col("_before") + F.col("_own")).drop("_r", "_own", "_before")
+
+
+def stratified(rows: DataFrame, value: str, key: str, strata: int | Column, each: int, seed: int = 1) -> DataFrame:
+    """``each`` rows of every of ``strata`` equal parts by value, those of least hash of their key. A column names the parts itself."""
+    if isinstance(strata, Column):
+        rows = rows.withColumn("stratum", strata)
+    else:
+        size, more = F.floor(F.col("of") / strata), F.col("of") % strata  # the first parts have one row more
+        at, edge = F.col("place") - 1, more * (size + 1)
+        part = F.when(at < edge, F.floor(at / (size + 1))).otherwise(more + F.floor((at - edge) / F.greatest(size, F.lit(1))))
+        rows = placed(rows, value, key).withColumn("stratum", (part + 1).cast("int")).drop("place", "of")
     return rows.withColumn("_k", F.row_number().over(W.partitionBy("stratum").orderBy(hashed(seed, F.col(key)), key))).where(F.col("_k") <= each).drop("_k")
 
 

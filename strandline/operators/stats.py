@@ -243,8 +243,9 @@ def periods_per_year(bars: DataFrame, keys: list[str], seconds: str) -> DataFram
     return rows.select(*keys, F.when(F.col("_span") >= 30 * 86400, long).otherwise(F.coalesce(year / F.col("_step"), F.lit(252.0))).alias("periods"))
 
 
-def stress_replay(rets: DataFrame, windows: DataFrame, keys: list[str], time: str, x: str = "ret") -> DataFrame:
-    """keys, name, n, total: compounded return inside each named window (name, first, last). ``windows`` is a short table
-    that the caller writes out, so it is broadcast."""
-    rows = rets.where(F.col(x) > -1).join(F.broadcast(windows), (F.col(time) >= F.col("first")) & (F.col(time) <= F.col("last")))
+def stress_replay(rets: DataFrame, windows: list[tuple[str, int, int]], keys: list[str], time: str, x: str = "ret") -> DataFrame:
+    """keys, name, n, total: compounded return inside each named window (name, first, last). The windows are written out in the
+    plan: each row is given the names of those that hold it, without a join."""
+    given = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(first).alias("first"), F.lit(last).alias("last")) for name, first, last in windows])
+    rows = rets.where(F.col(x) > -1).withColumn("name", F.explode(F.transform(F.filter(given, lambda v: F.col(time).between(v["first"], v["last"])), lambda v: v["name"])))
     return rows.groupBy(*keys, "name").agg(F.count(F.lit(1)).alias("n"), (F.exp(F.sum(F.log1p(x))) - 1).alias("total"))

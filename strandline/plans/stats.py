@@ -206,7 +206,7 @@ def periods_per_year(spark, d):
 @query("stress_replay", f"""WITH {RETS}, w AS (SELECT * FROM (VALUES ('first week', 473352, 473519), ('mid', 473600, 473650), ('late', 473900, 474000)) v(name, a, z))
 SELECT symbol, name, count(*) AS n, round(exp(sum(ln(1 + ret))) - 1, 6) + 0 AS total FROM rets JOIN w ON bar BETWEEN a AND z WHERE ret > -1 GROUP BY ALL""")
 def stress_replay(spark, d):
-    windows = spark.sql("SELECT * FROM VALUES ('first week', 473352L, 473519L), ('mid', 473600L, 473650L), ('late', 473900L, 474000L) AS v(name, first, last)")
+    windows = [("first week", 473352, 473519), ("mid", 473600, 473650), ("late", 473900, 474000)]
     return _pick(stats.stress_replay(returns(spark, d), windows, ["symbol"], "bar"), ["symbol", "name", "n"], "total")
 
 
