@@ -204,11 +204,11 @@ def order_matching(spark, d):
 _FILLED = "fl AS (SELECT l_suppkey AS account, CAST(l_partkey % 5 AS VARCHAR) AS symbol, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS seq, CASE WHEN l_returnflag = 'N' THEN l_quantity ELSE -l_quantity END AS qty, l_extendedprice / l_quantity AS price, l_tax AS fee FROM lineitem)"
 
 
-def _account_fills(spark, d):
+def _account_fills(spark, d, *more):
     w = W.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
     return table(spark, d, "lineitem").select(
         F.col("l_suppkey").alias("account"), (F.col("l_partkey") % 5).cast("string").alias("symbol"), F.row_number().over(w).alias("seq"),
-        F.when(F.col("l_returnflag") == "N", F.col("l_quantity")).otherwise(-F.col("l_quantity")).alias("qty"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_tax").alias("fee"),
+        F.when(F.col("l_returnflag") == "N", F.col("l_quantity")).otherwise(-F.col("l_quantity")).alias("qty"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_tax").alias("fee"), *more,
     )
 
 
