@@ -31,11 +31,11 @@ def short_margin(spark, d):
     return _pick(accounts.short_margin(rows, "symbol", 20, 0.01), ["symbol", "episode", "entry", "liquidated", "bars"], "worst_rise", "least_ratio")
 
 
-@query("net_asset_value", f"""WITH {_FILLED.replace('SELECT l_suppkey AS account', 'SELECT CAST(l_shipdate AS DATE) AS day, l_suppkey AS account').replace('l_extendedprice / l_quantity AS price', 'round(l_extendedprice / l_quantity, 4) AS price')}, dy AS (SELECT account, symbol, day, sum(qty) AS q, sum(qty * price + fee) AS o, arg_max(price, seq) AS px FROM fl GROUP BY ALL), gr AS (SELECT * FROM (SELECT DISTINCT account, day FROM dy) JOIN (SELECT DISTINCT account, symbol FROM dy) USING (account)),
+@query("net_asset_value", f"""WITH {_FILLED.replace('SELECT l_suppkey AS account', 'SELECT CAST(l_shipdate AS DATE) AS day, l_suppkey AS account').replace('l_extendedprice / l_quantity AS price', 'floor(l_extendedprice / l_quantity * 10000) / 10000 AS price')}, dy AS (SELECT account, symbol, day, sum(qty) AS q, sum(qty * price + fee) AS o, arg_max(price, seq) AS px FROM fl GROUP BY ALL), gr AS (SELECT * FROM (SELECT DISTINCT account, day FROM dy) JOIN (SELECT DISTINCT account, symbol FROM dy) USING (account)),
 g2 AS (SELECT account, symbol, day, o, sum(coalesce(q, 0)) OVER w AS hq, last_value(px IGNORE NULLS) OVER w AS p FROM gr LEFT JOIN dy USING (account, symbol, day) WINDOW w AS (PARTITION BY account, symbol ORDER BY day ROWS UNBOUNDED PRECEDING)), g3 AS (SELECT account, day, sum(coalesce(o, 0)) AS o, sum(coalesce(hq * p, 0)) AS value FROM g2 GROUP BY ALL)
 SELECT account, CAST(day AS VARCHAR) AS day, round(-sum(o) OVER (PARTITION BY account ORDER BY day), 4) + 0 AS cash, round(value, 4) + 0 AS value FROM g3""")
 def net_asset_value(spark, d):
-    fills = _account_fills(spark, d, F.col("l_shipdate").cast("date").alias("day")).withColumn("price", F.round("price", 4))
+    fills = _account_fills(spark, d, F.col("l_shipdate").cast("date").alias("day")).withColumn("price", F.floor(F.col("price") * 10_000) / 10_000)
     return _pick(accounts.net_asset_value(fills, "account", "symbol", "day").withColumn("day", F.col("day").cast("string")), ["account", "day"], "cash", "value", digits=4)
 
 
