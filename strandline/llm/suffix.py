@@ -4,10 +4,10 @@ A byte goes if a window of ``width`` bytes that covers it also starts anywhere e
 
 1. Texts are cut into segments of windows by their least gram (:mod:`anchors`), so equal windows are at equal places of
    segments of one name. A name that occurs once has no repeated window.
-2. Segments of one name with equal bytes are counted by a digest, before any shuffle of bytes. A group of copies,
-   however large, is one row from here on.
-3. The different segments of a name are fetched once each, packed into shards of bounded size by whole names, those with
-   copies twice. The shard's suffix array is induced (classify, sort the leftmost-smaller substrings recursively, induce)
+2. Segments of one name with equal bytes are counted by a digest, before any shuffle of bytes: all windows of a
+   segment that occurs twice are repeated. A group of copies, however large, is one row from here on.
+3. The different segments of a name that has several are fetched once each and packed into shards of bounded size by whole names.
+   The shard's suffix array is induced (classify, sort the leftmost-smaller substrings recursively, induce)
    and its permuted longest common prefixes computed. A window is repeated if its suffix agrees with a neighbour's on
    ``width`` bytes.
 4. A name whose different segments exceed two shards is not sorted in one task: its windows are counted by digest, each
@@ -81,11 +81,8 @@ _FOUND = "name bigint, d1 bigint, d2 bigint, k bigint, runs array<struct<s:int,e
 _RUNS = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
 
 
-def _repeated(contents: list[bytes], times: list[int], width: int) -> list[list[dict]]:
-    """Runs of windows of each content that stand somewhere else among them too. A content that occurs several times is
-    put in twice, so that the suffix array sees its copy; runs are those of its first place."""
-    given = len(contents)
-    contents = [*contents, *[c for c, k in zip(contents, times) if k > 1]]
+def _repeated(contents: list[bytes], width: int) -> list[list[dict]]:
+    """Runs of windows of each content that stand somewhere else among them too."""
     size = np.array([len(c) for c in contents])
     starts = np.concatenate(([0], np.cumsum(size + 1)))
     t = np.ones(starts[-1] + 1, np.uint16)
@@ -99,7 +96,7 @@ def _repeated(contents: list[bytes], times: list[int], width: int) -> list[list[
     hit[long] = True
     hit[phi[long]] = True
     out = []
-    for a, n in zip(starts[:given].tolist(), size[:given].tolist()):
+    for a, n in zip(starts.tolist(), size.tolist()):
         edges = np.flatnonzero(np.diff(np.concatenate(([0], hit[a : a + n - width + 1].astype(np.int8), [0]))))
         out.append([{"s": int(s), "e": int(e)} for s, e in edges.reshape(-1, 2)])
     return out
@@ -109,7 +106,7 @@ def sort_shards(contents: DataFrame, width: int, shard_bytes: int) -> DataFrame:
     """Repeated windows of ``contents`` (name, d1, d2, k, bytes), found in shards of whole names."""
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
-        runs = _repeated([r[4] for r in rows], [r[3] for r in rows], width)
+        runs = _repeated([r[4] for r in rows], width)
         some = [(r, x) for r, x in zip(rows, runs) if x]
         return pa.RecordBatch.from_arrays(
             [*[pa.array([r[k] for r, _ in some], pa.int64()) for k in range(4)], pa.array([x for _, x in some], _RUNS)],
@@ -125,11 +122,11 @@ def sort_shards(contents: DataFrame, width: int, shard_bytes: int) -> DataFrame:
                     yield batch(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[4]) * min(row[3], 2)
+                size += len(row[4])
         if held:
             yield batch(held)
 
-    total = contents.agg(F.sum(F.octet_length("bytes") * F.least("k", F.lit(2)))).first()[0] or 0
+    total = contents.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
     parts = int(total // shard_bytes) + 1
     rows = contents.drop("n", "large").repartition(parts, "name").sortWithinPartitions("name", "d1", "d2")
     return rows.mapInArrow(task, _FOUND)
@@ -159,15 +156,19 @@ def repeats(texts: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_bytes:
     seg = util.save(cut(texts, width, gram), "segments")
     at = F.min(F.struct("key", "first")).alias("at")
     same = util.save(seg.groupBy("name", "d1", "d2").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"), at), "segments-different")
-    size = F.sum((F.col("n") + width - 1) * F.least("k", F.lit(2)))
-    names = same.groupBy("name").agg(F.sum("k").alias("places"), F.count(F.lit(1)).alias("different"), (size > 2 * shard_bytes).alias("large"))
-    names = util.save(names.where("places > 1"), "names-often")
-    wanted = util.attach(same, names, ["name"], "different", ["d1"]).where("places > 1")
+    size = F.sum(F.col("n") + width - 1)
+    names = same.groupBy("name").agg(F.count(F.lit(1)).alias("different"), (size > 2 * shard_bytes).alias("large"))
+    names = util.save(names.where("different > 1"), "names-several")
+    # a segment with copies is fetched too, once: windows of others may repeat its windows
+    wanted = util.attach(same, names, ["name"], "different", ["d1"]).where("different > 1")
     contents = util.save(fetch(texts, wanted.select("at.key", "at.first", "n", "name", "d1", "d2", "k", "large"), width), "segment-bytes")
     found = sort_shards(contents.where("NOT large"), width, shard_bytes)
     if names.where("large").limit(1).count():
         found = found.unionByName(count_windows(contents.where("large"), width))
-    found = util.save(found, "repeated-runs")
+    # a segment with copies is repeated as a whole, whatever else repeats it
+    whole = F.array(F.struct(F.lit(0).alias("s"), F.col("n").alias("e"))).alias("runs")
+    copies = same.where("k > 1").select("name", "d1", "d2", "k", whole)
+    found = util.save(found.where("k = 1").unionByName(copies), "repeated-runs")
     placed = util.attach(seg.drop("n"), found, ["name", "d1", "d2"], "k", ["key", "first"]).where("runs IS NOT NULL")
     run = F.transform("runs", lambda r: F.struct((F.col("first") + r["s"]).alias("s"), (F.col("first") + r["e"]).alias("e")))
     return placed.groupBy("key").agg(F.flatten(F.collect_list(run)).alias("runs"))
