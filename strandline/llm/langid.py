@@ -11,7 +11,7 @@ language and reach the tasks as a broadcast value.
 
 Edge cases: a null text or one without letters is ``und`` with score 0; ties of n-grams go to the lesser one by code
 points, ties of languages to the lesser name; with no training text every document is ``und``; rows that repeat are
-predicted alike; an empty table gives an empty result; extra columns are ignored.
+predicted alike; a null doc_id stays null and is never held out; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -145,9 +145,12 @@ def _ranked(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return d, (points[(code >> 2 * bits) & low] << 42) | (points[(code >> bits) & low] << 21) | points[code & low], rank
 
 
-def predict(docs: DataFrame, found: DataFrame, size: int = 300) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for each row of ``docs`` (doc_id, held_out, text)."""
-    rows = found.limit(1_000_000).collect()  # ``size`` rows for each language
+def predict(docs: DataFrame, found: DataFrame, size: int = 300, most_languages: int = 3000) -> DataFrame:
+    """doc_id, held_out, lang_pred, score for each row of ``docs`` (doc_id, held_out, text). More than ``most_languages`` profiles are
+    an error, as all of them reach every task; none is left out."""
+    if found.select("lang").distinct().limit(most_languages + 1).count() > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
+    rows = found.collect()  # ``size`` rows for each of these languages
     langs = sorted({r["lang"] for r in rows})
     grams = np.array(sorted({r["gram"] for r in rows}), dtype=np.int64)
     place = np.full((len(langs), len(grams) + 1), -1, dtype=np.int64)
