@@ -31,7 +31,33 @@ def trades(bars: DataFrame, target: str, keys: list[str], fee: float = 0.0005, s
     runs = rows.groupBy(*keys, "_run").agg(
         F.first("_t").alias("side"), F.min_by("_fill", "idx").alias("px"), F.min("_fill_idx").alias("at"), F.first("_end").alias("end"), F.first("_final").alias("final")
     )
-    o = W.partitionBy(*keys).orderBy("_run")
+    return _closed(runs, keys, "_run", fee, slippage, size)
+
+
+def sweep(bars: DataFrame, key: str, names: list[str], targets: list[tuple[tuple[int, ...], Column]], fee: float = 0.0005, slippage: float = 0.0005, size: float = 1.0) -> DataFrame:
+    """The trades of many targets of the same bars: key, ``names`` and the columns of :func:`trades`. targets: (values of names, target).
+
+    All targets are columns of one row and compared with the row before in one window; only rows where one changes are
+    exploded, so what is shuffled by target grows with its trades, not with its bars."""
+    whole = W.partitionBy(key)
+    w = whole.orderBy("idx")
+    rows = bars.withColumns({f"_t{k}": F.signum(F.coalesce(t, F.lit(0))).cast("int") for k, (_, t) in enumerate(targets)})
+    own = rows.columns
+    rows = rows.select(
+        *own, F.lead("open").over(w).alias("_fill"), F.lead("idx").over(w).alias("at"), F.max("idx").over(whole).alias("end"), F.max_by("close", "idx").over(whole).alias("final"),
+        *[F.lag(f"_t{k}").over(w).alias(f"_l{k}") for k in range(len(targets))],
+    ).where("_fill IS NOT NULL")
+    made = [
+        F.struct(*[F.lit(v).alias(n) for n, v in zip(names, values)], F.col(f"_t{k}").alias("side"), (~F.col(f"_t{k}").eqNullSafe(F.col(f"_l{k}"))).alias("_new"))
+        for k, (values, _) in enumerate(targets)
+    ]
+    runs = rows.select(key, F.col("idx").alias("_run"), F.col("_fill").alias("px"), "at", "end", "final", F.inline(F.filter(F.array(*made), lambda x: x["_new"]))).drop("_new")
+    return _closed(runs, [key, *names], "_run", fee, slippage, size)
+
+
+def _closed(runs: DataFrame, keys: list[str], order: str, fee: float, slippage: float, size: float) -> DataFrame:
+    """Runs of a target (keys, order, side, px, at, end, final) as trades: each ends where the next begins."""
+    o = W.partitionBy(*keys).orderBy(order)
     runs = runs.withColumns({"exit": F.lead("px").over(o), "exit_at": F.lead("at").over(o)})
     side = F.col("side")
     e = F.col("px") * (1 + side * slippage)

@@ -354,17 +354,23 @@ def _sweep(spark, d):
 _KEYS = "symbol, fast, slow"
 
 
+def _swept(spark, d):
+    w, c = fw.by(), F.col("close")
+    rows = hourly(spark, d).withColumns({f"a{n}": fw.sma(c, n, w) for n in sorted({n for p in _GRID for n in p})})
+    return backtest.sweep(rows, "symbol", ["fast", "slow"], [((f, s), F.when(F.col(f"a{f}") > F.col(f"a{s}"), 1).otherwise(0)) for f, s in _GRID])
+
+
 @query("sma_sweep", f"WITH {BARS}, {_SWEEP}, {trades_sql('s', _KEYS)} SELECT {_KEYS}, {_TOTAL} FROM trades GROUP BY {_KEYS}")
 def sma_sweep(spark, d):
     keys = ["symbol", "fast", "slow"]
-    return backtest.totals(backtest.trades(_sweep(spark, d), "t", keys), keys).withColumn("log_return", r("log_return")).drop("total_return")
+    return backtest.totals(_swept(spark, d), keys).withColumn("log_return", r("log_return")).drop("total_return")
 
 
 @query("sma_sweep_topk", f"""WITH {BARS}, {_SWEEP}, {trades_sql('s', _KEYS)}, z AS (SELECT {_KEYS}, {_TOTAL} FROM trades GROUP BY {_KEYS}),
 top AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY log_return DESC, fast, slow) AS place FROM z) SELECT {_KEYS}, log_return, place FROM top WHERE place <= 3""")
 def sma_sweep_topk(spark, d):
     keys = ["symbol", "fast", "slow"]
-    rows = backtest.totals(backtest.trades(_sweep(spark, d), "t", keys), keys).withColumn("log_return", r("log_return")).drop("total_return")
+    rows = backtest.totals(_swept(spark, d), keys).withColumn("log_return", r("log_return")).drop("total_return")
     return rows.withColumn("place", F.row_number().over(W.partitionBy("symbol").orderBy(F.desc("log_return"), "fast", "slow"))).where("place <= 3").select(*keys, "log_return", "place")
 
 
@@ -389,7 +395,7 @@ def walk_forward_pick(spark, d):
 SELECT a.symbol, a.fast, a.slow, a.log_return, count(b.fast) AS n, round(avg(b.log_return), 6) AS around FROM z a LEFT JOIN z b ON a.symbol = b.symbol AND abs(a.i - b.i) + abs(a.j - b.j) = 1 GROUP BY ALL""")
 def plateau_neighbours(spark, d):
     keys = ["symbol", "fast", "slow"]
-    rows = backtest.totals(backtest.trades(_sweep(spark, d), "t", keys), keys).withColumn("log_return", r("log_return")).drop("total_return")
+    rows = backtest.totals(_swept(spark, d), keys).withColumn("log_return", r("log_return")).drop("total_return")
     place = lambda c: F.array_position(F.array(*[F.lit(x) for x in sorted({p[0 if c == "fast" else 1] for p in _GRID})]), F.col(c))
     rows = rows.withColumns({"i": place("fast"), "j": place("slow")})
     # each row is sent to its four neighbours' places: an equality join
