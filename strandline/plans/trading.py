@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions import dsl, recursive
+from ..functions import dsl, normal, recursive
 from ..functions import windows as fw
 from ..operators import evidence, options, orders, probes, stats
 from ..sources import adapters
@@ -18,7 +18,7 @@ from ..streaming import bars as sb
 from .base import BARS, MONTHS, TICKS, WS, full, hourly, monthly, query, r
 from .features import _ema_sql
 from .market import OHLC
-from .resampling import RC, plain
+from .resampling import RC, h, plain
 from .stats import RETS, _pick, returns
 
 # Options: each order line as an option trade on its part
@@ -134,13 +134,22 @@ def _peek(c):
     return np.append(np.sign(np.diff(c["close"])), 0.0)
 
 
-@query("probe_truncation")
+#: What probes must find, by reasoning: a mean of the past says the same on every prefix; the sign of the next close is lost at the
+#: last bar of a prefix, and turned over where the future is mirrored, wherever it is not zero.
+_PROBED = f"""{BARS}, ps AS (SELECT 'causal' AS signal, symbol, idx, CASE WHEN {full('avg', 'close', 5)} > {full('avg', 'close', 20)} THEN 1 ELSE 0 END AS p FROM b UNION ALL SELECT 'peeking', symbol, idx, coalesce(sign(lead(close) OVER ({WS}) - close), 0) FROM b),
+sz AS (SELECT symbol, count(*) AS n, greatest(2, count(*) // 10) AS lo FROM b GROUP BY symbol HAVING count(*) - 2 > greatest(2, count(*) // 10)), ev AS (SELECT signal, symbol, CAST(floor(lo + i * (n - 2 - lo) / 7) AS BIGINT) AS place FROM sz, (SELECT unnest(range(8)) AS i), (SELECT unnest(['causal', 'peeking']) AS signal)),
+mv AS (SELECT * FROM (SELECT *, lag(p) OVER (PARTITION BY signal, symbol ORDER BY idx) AS old FROM ps) JOIN sz USING (symbol) WHERE old <> p AND idx BETWEEN lo AND n - 2), mk AS (SELECT *, row_number() OVER (PARTITION BY signal, symbol ORDER BY idx) - 1 AS k, count(*) OVER (PARTITION BY signal, symbol) AS cnt FROM mv),
+cp AS (SELECT * FROM ev UNION SELECT signal, symbol, idx FROM mk WHERE k % greatest(1, CAST(ceil(cnt / 8) AS BIGINT)) = 0), x AS (SELECT cp.*, signal = 'peeking' AND p <> 0 AS bad FROM cp JOIN ps USING (signal, symbol) WHERE ps.idx = cp.place)
+SELECT symbol, count(*) AS checkpoints, count(*) FILTER (bad) AS mismatches, min(CASE WHEN bad THEN place END) AS first_bar, CASE WHEN bool_or(bad) THEN 'fail' ELSE 'pass' END AS status, signal FROM x GROUP BY symbol, signal"""
+
+
+@query("probe_truncation", f"WITH {_PROBED}")
 def probe_truncation(spark, d):
     b = hourly(spark, d)
     return probes.truncation(b, _cross).withColumn("signal", F.lit("causal")).unionByName(probes.truncation(b, _peek).withColumn("signal", F.lit("peeking")))
 
 
-@query("probe_perturbation")
+@query("probe_perturbation", f"WITH {_PROBED}")
 def probe_perturbation(spark, d):
     b = hourly(spark, d)
     return probes.perturbation(b, _cross).withColumn("signal", F.lit("causal")).unionByName(probes.perturbation(b, _peek).withColumn("signal", F.lit("peeking")))
@@ -151,7 +160,8 @@ def probe_determinism(spark, d):
     return probes.determinism(hourly(spark, d), _cross)
 
 
-@query("probe_stored_answer")
+@query("probe_stored_answer", f"""WITH {BARS}, x AS (SELECT symbol, idx, close, ln(close / lag(close) OVER ({WS})) AS rr FROM b), y AS (SELECT *, least(coalesce(stddev_samp(rr) OVER (PARTITION BY symbol), 0.01), 0.05) * {normal.ppf_sql('((' + h("'1'", 'symbol', 'idx') + ' + 0.5) / 4294967296)')} AS l FROM x), z AS (SELECT *, 100 * exp(sum(l) OVER ({WS})) AS other FROM y),
+q AS (SELECT symbol, CASE WHEN {full('avg', 'close', 5)} > {full('avg', 'close', 20)} THEN 1 ELSE 0 END AS p, CASE WHEN {full('avg', 'other', 5)} > {full('avg', 'other', 20)} THEN 1 ELSE 0 END AS o FROM z) SELECT symbol, round(avg(CASE WHEN p = o THEN 1.0 ELSE 0 END), 6) AS same, CASE WHEN avg(CASE WHEN p = o THEN 1.0 ELSE 0 END) >= 0.999 AND count(DISTINCT p) > 1 THEN 'fail' ELSE 'pass' END AS status FROM q GROUP BY symbol""")
 def probe_stored_answer(spark, d):
     return probes.stored_answer(hourly(spark, d), _cross).withColumn("same", r("same"))
 
