@@ -225,6 +225,22 @@ def test_johansen_by_force():
     assert vector[1] == pytest.approx(-2, abs=0.3)
 
 
+def test_cointegration_and_johansen_on_spark(spark):
+    rng = np.random.default_rng(8)
+    x = np.cumsum(rng.normal(size=250))
+    y = 2.0 + 3.0 * x + rng.normal(size=250)
+    alone = np.cumsum(rng.normal(size=250))
+    df = spark.createDataFrame([(k, i, float(b), float(x[i])) for k, s in (("tied", y), ("apart", alone)) for i, b in enumerate(s)], "symbol string, idx long, y double, x double")
+    got = {r.symbol: r for r in series.cointegration(df, ["symbol"], "y", "x").collect()}
+    for k, s in (("tied", y), ("apart", alone)):
+        beta, alpha = np.polyfit(x, s, 1)
+        assert got[k].beta == pytest.approx(beta) and got[k].alpha == pytest.approx(alpha)
+        assert (got[k].stat, got[k].lag) == (pytest.approx(series.unit_root(s - alpha - beta * x)[0]), series.unit_root(s - alpha - beta * x)[1])
+    assert got["tied"].stat < series.COINTEGRATED[0.01] < got["apart"].stat
+    ranks = {r.symbol: r.trace for r in series.johansen(df, ["symbol"], ["y", "x"]).collect()}
+    assert ranks["tied"][0] > 19.9 and ranks["apart"][0] < 19.9  # the level of 1 % for two series
+
+
 def test_mean_breaks(spark):
     rng = np.random.default_rng(1)
     e = rng.normal(size=400)
