@@ -219,20 +219,25 @@ def pair_phantom_pnl(spark, d):
     return rows.select("bar", q.alias("qy"), r(booked).alias("booked"), r(tradable).alias("tradable"))
 
 
-_CARRY = """cm AS (SELECT year(l_shipdate) * 12 + month(l_shipdate) AS bar, sum(l_extendedprice) FILTER (l_returnflag = 'R') / sum(l_quantity) FILTER (l_returnflag = 'R') AS y, sum(l_extendedprice) FILTER (l_returnflag = 'A') / sum(l_quantity) FILTER (l_returnflag = 'A') AS x FROM lineitem GROUP BY 1),
+_CARRY = """mo AS (SELECT year(l_shipdate) * 12 + month(l_shipdate) AS bar, sum(l_extendedprice) FILTER (l_returnflag = 'R') AS ye, sum(l_quantity) FILTER (l_returnflag = 'R') AS yq, sum(l_extendedprice) FILTER (l_returnflag = 'A') AS xe, sum(l_quantity) FILTER (l_returnflag = 'A') AS xq FROM lineitem GROUP BY 1),
+  cm AS (SELECT bar, sum(ye) OVER w / sum(yq) OVER w AS y, sum(xe) OVER w / sum(xq) OVER w AS x FROM mo WINDOW w AS (ORDER BY bar)),
   p AS (SELECT *, row_number() OVER (ORDER BY bar) - 1 AS idx FROM cm WHERE y IS NOT NULL AND x IS NOT NULL)"""
 
 
-@query("carry_index", f"""WITH {_CARRY}, c AS (SELECT *, y / lag(y) OVER (ORDER BY idx) - x / lag(x) OVER (ORDER BY idx) AS basis, ((idx * 7) % 11 - 5) / 10000.0::DOUBLE AS funding FROM p), i AS (SELECT *, CASE WHEN idx = 0 THEN 0 ELSE basis + funding END AS ret FROM c)
+@query("carry_index", f"""WITH {_CARRY}, c AS (SELECT *, y / lag(y) OVER (ORDER BY idx) - x / lag(x) OVER (ORDER BY idx) AS basis, ((idx * 7) % 11 - 5) / 10000.0::DOUBLE AS funding FROM p), i AS (SELECT *, CASE WHEN idx = 0 THEN 0 ELSE basis / 2 + funding END AS ret FROM c)
 SELECT bar, round(ret, 8) + 0 AS ret, round(100 * exp(sum(ln(1 + ret)) OVER (ORDER BY idx)), 6) AS close FROM i""")
 def carry_index(spark, d):
-    """A hedged book of one leg against the other that collects funding, as a compounded index: monthly mean prices of two sorts of order lines, a row a month."""
-    mean = lambda flag: F.sum(F.when(F.col("l_returnflag") == flag, F.col("l_extendedprice"))) / F.sum(F.when(F.col("l_returnflag") == flag, F.col("l_quantity")))
-    months = table(spark, d, "lineitem").groupBy((F.year("l_shipdate") * 12 + F.month("l_shipdate")).cast("long").alias("bar")).agg(mean("R").alias("y"), mean("A").alias("x"))
+    """A hedged book of one leg against the other that collects funding, as a compounded index. The legs are mean prices to date of two sorts of order
+    lines, half the book in each, so no month can take all of it; a row a month."""
+    of = lambda flag, c: F.sum(F.when(F.col("l_returnflag") == flag, F.col(c)))
+    months = table(spark, d, "lineitem").groupBy((F.year("l_shipdate") * 12 + F.month("l_shipdate")).cast("long").alias("bar"))
+    months = months.agg(of("R", "l_extendedprice").alias("ye"), of("R", "l_quantity").alias("yq"), of("A", "l_extendedprice").alias("xe"), of("A", "l_quantity").alias("xq"))
+    so_far = W.orderBy("bar").rowsBetween(W.unboundedPreceding, 0)
+    months = months.select("bar", (F.sum("ye").over(so_far) / F.sum("yq").over(so_far)).alias("y"), (F.sum("xe").over(so_far) / F.sum("xq").over(so_far)).alias("x"))
     rows = bars.indexed(months.where("y IS NOT NULL AND x IS NOT NULL").withColumn("symbol", F.lit("R-A")))
     w = fw.by()
     grow = lambda c: F.col(c) / F.lag(c).over(w)
-    rows = rows.withColumn("ret", F.when(F.col("idx") == 0, 0.0).otherwise(grow("y") - grow("x") + ((F.col("idx") * 7) % 11 - 5) / 10000.0))
+    rows = rows.withColumn("ret", F.when(F.col("idx") == 0, 0.0).otherwise((grow("y") - grow("x")) / 2 + ((F.col("idx") * 7) % 11 - 5) / 10000.0))
     return rows.select("bar", r("ret", 8).alias("ret"), r(100 * F.exp(F.sum(F.log1p("ret")).over(w.rowsBetween(W.unboundedPreceding, 0)))).alias("close"))
 
 
