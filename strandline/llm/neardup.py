@@ -8,10 +8,12 @@ Classes whose minima agree in one of ``BANDS`` bands of ``ROWS`` rows share a bu
 pair differ with probability (1 - 0.8 ** 5) ** 26, about 3 in 100,000, above it less. A link is a pair of a bucket whose
 sets, compared as a whole, are at least ``LEAST`` alike; a group is what links connect, so its ends may be less alike.
 
-Skew: a bucket first gives a pair of each member and its least member, which is linear. Only buckets that these links leave
-in more than one group compare on: members outside the bucket's largest group, each with all of other groups. So every
-pair of a bucket is either compared or already in one group. That second step compares minima in one task a bucket before
-sets are compared, and passes pairs whose share of equal minima is ``LEAST`` less five standard deviations.
+Skew: a bucket's members are compared with its hub alone, which is linear. The hub is the member whose buckets are the largest, so
+in a crowd of copies the text that they were made from is the hub of nearly all buckets. Buckets that this leaves in more
+than one group take a second hub from outside their largest group. Only what is still apart compares on: members outside
+the bucket's largest group with all of other groups, in blocks, so no task holds a large bucket. So every pair of a bucket is
+either compared or already in one group. That last step compares ``SIGN`` minima before sets, and passes pairs whose share of equal
+minima is ``LEAST`` less five standard deviations, so pairs that are not alike hardly reach the comparison of sets.
 
 Edge cases: rows are known by a key of all their columns, so null and repeated ids are decided by their text; null and
 wordless texts are one class; a text of fewer than ``WIDTH`` words has one shingle, the whole sequence.
@@ -34,8 +36,10 @@ WIDTH, LEAST, BANDS, ROWS = 5, 0.8, 26, 5
 RADIUS = 3
 _RNG = np.random.Generator(np.random.PCG64(42))
 _MULTIPLIERS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Least share of equal minima that is looked at further.
-ESTIMATE = LEAST - 5 * (LEAST * (1 - LEAST) / (BANDS * ROWS)) ** 0.5
+#: Minima of the signature that pairs are looked at by before their sets are, a byte each, and their least share of equal ones.
+SIGN = 2048
+_SIGNERS = _RNG.integers(0, 1 << 63, SIGN, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+ESTIMATE = LEAST - 5 * (LEAST * (1 - LEAST) / SIGN) ** 0.5
 
 
 def row_key(docs: DataFrame) -> Column:
@@ -51,10 +55,10 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + WIDTH])) for i in range(max(1, len(words) - WIDTH + 1))], dtype=np.uint64))
 
 
-def minima(hashes: np.ndarray, block: int = 8192) -> np.ndarray:
-    out = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+def minima(hashes: np.ndarray, multipliers: np.ndarray = _MULTIPLIERS, block: int = 1024) -> np.ndarray:
+    out = np.full(len(multipliers), np.iinfo(np.uint64).max, np.uint64)
     for k in range(0, len(hashes), block):
-        out = np.minimum(out, (hashes[k : k + block, None] * _MULTIPLIERS).min(0))
+        out = np.minimum(out, (hashes[k : k + block, None] * multipliers).min(0))
     return out
 
 
@@ -89,23 +93,22 @@ def _details(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(0, whole.num_rows, 256):
             sets = [shingle_set(x.as_py()) for x in whole.column("text")[k : k + 256]]
             made = [pa.array([_class(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
-            signs = pa.array([minima(s).astype(np.uint16).tobytes() for s in sets], pa.binary())
+            signs = pa.array([minima(s, _SIGNERS).astype(np.uint8).tobytes() for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([*made, signs], ["cls", "hashes", "sign"])
 
 
 def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of runs of equal h in sorted rows, of different roots, that may be alike."""
+    """Pairs in runs of equal (h, cell) of sorted rows, one of them marked as other, of different roots, that may be alike."""
 
     def of(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        h, cls, n, root = (rows.column(c).to_numpy() for c in ("h", "cls", "n", "root"))
-        sign = np.frombuffer(b"".join(rows.column("sign").to_pylist()), np.uint16).reshape(len(h), -1)
-        ends = [*np.flatnonzero(h[1:] != h[:-1]) + 1, len(h)]
+        h, cell, cls, n, root = (rows.column(c).to_numpy() for c in ("h", "cell", "cls", "n", "root"))
+        other = rows.column("other").to_numpy(zero_copy_only=False)
+        sign = np.frombuffer(b"".join(rows.column("sign").to_pylist()), np.uint8).reshape(len(h), -1)
+        ends = [*np.flatnonzero((h[1:] != h[:-1]) | (cell[1:] != cell[:-1])) + 1, len(h)]
         for s, e in zip([0, *ends], ends):
-            _, at, size = np.unique(root[s:e], return_inverse=True, return_counts=True)
-            for i in np.flatnonzero(at != size.argmax()):
-                k = s + i
-                near = (root[s:e] != root[k]) & (np.minimum(n[s:e], n[k]) >= LEAST * np.maximum(n[s:e], n[k]))
-                js = s + np.flatnonzero(near)
+            those = s + np.flatnonzero(~other[s:e])
+            for k in s + np.flatnonzero(other[s:e]):
+                js = those[(root[those] != root[k]) & (np.minimum(n[those], n[k]) >= LEAST * np.maximum(n[those], n[k]))]
                 js = js[(sign[js] == sign[k]).mean(1) >= ESTIMATE] if len(js) else js
                 if len(js):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cls[k], cls[js])), pa.array(np.maximum(cls[k], cls[js]))], ["a", "b"])
@@ -116,8 +119,9 @@ def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.concat_tables([held, rows]).combine_chunks() if held is not None else rows
         if not rows.num_rows:
             continue
-        h = rows.column("h").to_numpy()
-        cut = int(np.searchsorted(h, h[-1]))
+        h, cell = rows.column("h").to_numpy(), rows.column("cell").to_numpy()
+        same = (h == h[-1]) & (cell == cell[-1])
+        cut = 0 if same.all() else len(same) - int(np.argmin(same[::-1]))
         held = rows.slice(cut)
         if cut:
             yield from of(rows.slice(0, cut))
@@ -125,6 +129,27 @@ def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from of(held)
 
 
+def left_pairs(apart: DataFrame, details: DataFrame, block: int = 512) -> DataFrame:
+    """(a, b) that may be alike of buckets in several groups: members outside the largest group (root is not top) with members of
+    other groups. apart: h, cls, n, root, top, size, others. Both sides are dealt into blocks, and each pair of blocks is a cell."""
+    of_all, of_others = (F.ceil(F.col(c) / block).cast("int") for c in ("size", "others"))
+    at = lambda i, j, other: F.struct((i * of_all + j).alias("cell"), F.lit(other).alias("other"))
+    mine = lambda parts: F.pmod(F.hash("cls"), parts)
+    cells = F.transform(F.sequence(F.lit(0), of_others - 1), lambda i: at(i, mine(of_all), False))
+    more = F.transform(F.sequence(F.lit(0), of_all - 1), lambda j: at(mine(of_others), j, True))
+    cells = F.when(F.col("root") == F.col("top"), cells).otherwise(F.concat(cells, more))
+    rows = apart.select("h", "cls", "n", "root", F.inline(cells)).join(details.select("cls", "sign"), "cls")
+    rows = rows.select("h", "cell", "cls", "n", "root", "other", "sign").repartition("h", "cell").sortWithinPartitions("h", "cell")
+    return rows.mapInArrow(_left, "a long, b long")
+
+
+def hub_pairs(members: DataFrame, hubs: DataFrame) -> DataFrame:
+    """(a, b): each member with its bucket's hub, if their sizes are alike and they are in different groups."""
+    met = util.attach(members, hubs, ["h"], "size", ["cls"], 200_000).where("hub IS NOT NULL")
+    alike = F.least("hub.n", "n") >= LEAST * F.greatest("hub.n", "n")
+    return met.where(alike & (F.col("hub.root") != F.col("root"))).select(F.least("hub.cls", "cls").alias("a"), F.greatest("hub.cls", "cls").alias("b"))
+
+
 def verified(pairs: DataFrame, details: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes that are alike."""
     side = lambda c: details.select(F.col("cls").alias(c), F.col("hashes").alias(f"h_{c}"))
@@ -156,25 +181,35 @@ def survivors(docs: DataFrame) -> DataFrame:
     classes = util.save(marks.groupBy("cls").agg(F.min("least").alias("least"), *[F.first(c).alias(c) for c in ("n", "bands", "fp")]), "text-classes")
     near = util.save(fingerprint_pairs(classes.where("n > 0").select("cls", "n", "fp")), "copy-pairs")
     entries = classes.select("cls", "n", F.explode("bands").alias("h"))
-    buckets = entries.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("cls", "n")).alias("first")).where("size > 1")
+    buckets = entries.groupBy("h").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     buckets = util.save(buckets, "copy-buckets")
-    members = util.save(entries.join(util.hinted(buckets, 200_000), "h"), "copy-members")
+    members = util.save(util.attach(entries, buckets, ["h"], "size", ["cls"], 200_000).where("size IS NOT NULL"), "copy-members")
+    weights = members.groupBy("cls").agg(F.sum("size").alias("weight"))
+    members = util.save(members.join(weights, "cls").select("h", "cls", "n", "size", "weight", F.col("cls").alias("root")), "copy-members")
     asked = members.select("cls").union(near.select("a")).union(near.select("b")).distinct()
     wanted = util.save(asked.join(classes.select("cls", "least.key"), "cls").select("key"), "copy-candidates")
     texts = docs.select(key.alias("key"), "text").join(util.hinted(wanted, 200_000), "key", "left_semi").select("text")
     details = util.save(texts.mapInArrow(_details, "cls long, hashes array<bigint>, sign binary").dropDuplicates(["cls"]), "copy-details")
-    sized = (F.col("first.cls") != F.col("cls")) & (F.least("first.n", "n") >= LEAST * F.greatest("first.n", "n"))
-    pairs = members.where(sized).select(F.col("first.cls").alias("a"), F.col("cls").alias("b")).union(near.select("a", "b"))
-    found = util.save(verified(pairs, details), "copy-links")
+    best = F.max(F.struct("weight", "cls", "n", "root")).alias("hub")
+    hubs = util.save(members.groupBy("h").agg(best, F.first("size").alias("size")), "copy-hubs")
+    found = util.save(verified(hub_pairs(members, hubs).union(near.select("a", "b")), details), "copy-links")
     roots = util.save(simhash.components(found), "copy-roots")
-    now = members.where("size > 2").join(roots, F.col("cls") == F.col("node"), "left").select("h", "cls", "n", F.coalesce("root", "cls").alias("root"))
-    now = util.save(now, "copy-members")
-    split = util.save(now.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("h"), "split-buckets")
-    rows = now.join(util.hinted(split, 200_000), "h", "left_semi").join(details.select("cls", "sign"), "cls").select("h", "cls", "n", "root", "sign")
-    pairs = rows.repartition("h").sortWithinPartitions("h").mapInArrow(_left, "a long, b long")
-    more = util.save(verified(pairs, details), "copy-links")
-    if more.limit(1).count():
-        roots = util.save(simhash.components(found.unionByName(more)), "copy-roots")
+    for last in (False, True):
+        now = members.drop("root").where("size > 2").join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls")).drop("node")
+        now = util.save(now, "copy-members")
+        groups = now.groupBy("h", "root").agg(F.count(F.lit(1)).alias("m"))
+        split = groups.groupBy("h").agg(F.max(F.struct("m", "root")).alias("top"), F.sum("m").alias("size"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
+        split = util.save(split.select("h", F.col("top.root").alias("top"), "size", (F.col("size") - F.col("top.m")).alias("others")), "copy-split")
+        if not split.limit(1).count():
+            break
+        apart = util.save(util.attach(now.drop("size"), split, ["h"], "size", ["cls"], 200_000).where("top IS NOT NULL"), "copy-apart")
+        if last:
+            pairs = left_pairs(apart, details)
+        else:
+            hubs = util.save(apart.where("root <> top").groupBy("h").agg(best, F.first("size").alias("size")), "copy-hubs")
+            pairs = hub_pairs(apart, hubs)
+        found = util.save(found.unionByName(verified(pairs, details)), "copy-links")
+        roots = util.save(simhash.components(found), "copy-roots")
     grouped = classes.select("cls", "least").join(roots, F.col("cls") == F.col("node"), "left").groupBy(F.coalesce("root", "cls").alias("root"))
     return grouped.agg(F.min("least").alias("least")).select("least.key")
 
