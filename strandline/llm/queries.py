@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, linededup, mixing, pii, quality, simhash, suffix, urlfilter, util, warc
+from . import decontam, langid, linededup, mixing, pii, quality, queries_vectors, simhash, suffix, urlfilter, util, warc
 
 
 def op1_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,9 +122,11 @@ QUERIES = {
     "op8_minhash_containment": op8_minhash_containment,
     "op9_simhash_groups": op9_simhash_groups,
     "op10_line_site_spread": op10_line_site_spread,
+    **queries_vectors.QUERIES,
 }
 ORACLE_SQL = {
     "op1_warc_chunks": OP1_SQL,
     "op8_minhash_containment": OP8_SQL,
     "op10_line_site_spread": OP10_SQL,
+    **queries_vectors.ORACLE_SQL,
 }
