@@ -31,7 +31,7 @@ c{n} AS MATERIALIZED (SELECT c.part, c.entry, coalesce(u.z, c.z) AS z FROM c{k}
     for k in range(rounds):
         steps += [near.format(k=k), new.format(k=k, n=k + 1)]
     steps += [near.format(k=rounds), f"""
-r AS MATERIALIZED (SELECT vec_id, string_agg(lpad(to_hex(entry), 2, '0'), '' ORDER BY part) AS code, sum(far)::BIGINT AS error FROM d{rounds} GROUP BY vec_id),
+r AS MATERIALIZED (SELECT vec_id, string_agg(lpad(lower(to_hex(entry)), 2, '0'), '' ORDER BY part) AS code, sum(far)::BIGINT AS error FROM d{rounds} GROUP BY vec_id),
 b AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM (
   SELECT part, entry, generate_subscripts(z, 1) AS pos, unnest(z) AS x FROM c{rounds}))"""]
     return "WITH " + ",".join(steps) + """
