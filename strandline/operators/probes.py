@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 
 from ..functions import recursive, draws
 from ..functions.windows import by, div
+from . import causality
 
 Signal = Callable[[dict[str, np.ndarray]], np.ndarray]
 PRICES = ("open", "high", "low", "close")
@@ -97,7 +98,6 @@ def implausible(rows: DataFrame, position: str) -> DataFrame:
     return one.withColumn("status", F.when((F.col("rate") >= 0.7) & (F.col("z") >= 3.5) & (F.col("active") >= 100), "fail").otherwise("pass"))
 
 
-def plan_looks_ahead(df: DataFrame) -> bool:
-    """Whether a DataFrame's analysed plan has a window that reads rows after its own: ``lead`` or a frame that ends in the future."""
-    plan = df._jdf.queryExecution().analyzed().toString().lower()
-    return "lead(" in plan or " following" in plan.replace("unboundedfollowing", " following").replace("unbounded following", " following")
+def plan_looks_ahead(df: DataFrame, time: tuple[str, ...] = ("idx", "bar", "ts")) -> bool:
+    """Whether the plan of ``df`` may tell a row something of later ones (see :mod:`causality` for the rules)."""
+    return causality.looks_ahead(df, time)
