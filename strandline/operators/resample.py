@@ -57,8 +57,8 @@ def block_length(n: Column) -> Column:
     return F.greatest(F.lit(2), F.round(F.pow(n, 1 / 3))).cast("long")
 
 
-def block_sums(rets: DataFrame, series: list[str], shared: list[str], values: list[str], n: int, seed: int = 1) -> DataFrame:
-    """series, rep, total (rows drawn) and the sums of ``values`` over circular blocks of about the cube root of the rows.
+def block_sums(rets: DataFrame, series: list[str], shared: list[str], values: list[str], n: int, seed: int = 1, block: int | None = None) -> DataFrame:
+    """series, rep, total (rows drawn) and the sums of ``values`` over circular blocks of ``block`` rows, else of about the cube root of the rows.
 
     Series that agree on ``shared`` (a part of ``series``) get the same starts, as comparisons between them need."""
     w = W.partitionBy(*series).orderBy("idx").rowsBetween(W.unboundedPreceding, 0)
@@ -66,7 +66,7 @@ def block_sums(rets: DataFrame, series: list[str], shared: list[str], values: li
     pre = rets.select(*series, (F.col("idx") + 1).alias("at"), *[F.sum(v).over(w).alias(v) for v in values])
     zero = rets.select(*series).distinct().select(*series, F.lit(0).cast("long").alias("at"), *[F.lit(0.0).alias(v) for v in values])
     pre = pre.unionByName(zero).withColumns({f"_all_{v}": F.max_by(v, "at").over(whole) for v in values})
-    of = rets.groupBy(*series).agg(F.count(F.lit(1)).alias("n")).withColumn("len", block_length(F.col("n")))
+    of = rets.groupBy(*series).agg(F.count(F.lit(1)).alias("n")).withColumn("len", block_length(F.col("n")) if block is None else F.least(F.lit(block), F.col("n")))
     draws = of.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / F.col("len")).cast("long") - 1)))
     draws = replicates(draws, n).withColumn("s", hashed(seed, F.col("rep"), *[F.col(k) for k in shared], F.col("_b")) % F.col("n"))
     draws = draws.withColumn("_e", F.col("s") + F.col("len")).withColumns({"_wrap": F.col("_e") > F.col("n"), "e": F.when(F.col("_e") > F.col("n"), F.col("_e") - F.col("n")).otherwise(F.col("_e"))})

@@ -57,9 +57,9 @@ def resample_permuted(spark, d):
     return out.unionByName(_marks(resample.permuted(days, ["symbol"], 3, 3, within=["day"]), "days"))
 
 
-def _draws(series: str, source: str, shared: str, reps: int, values: str) -> str:
+def _draws(series: str, source: str, shared: str, reps: int, values: str, length: str = "greatest(2, CAST(round(pow(count(*), 1.0 / 3)) AS BIGINT))") -> str:
     """CTEs up to ``sums``: block sums by drawing every row of every block."""
-    return f"""zz AS (SELECT {series}, count(*) AS n, greatest(2, CAST(round(pow(count(*), 1.0 / 3)) AS BIGINT)) AS len FROM {source} GROUP BY {series}),
+    return f"""zz AS (SELECT {series}, count(*) AS n, {length} AS len FROM {source} GROUP BY {series}),
 dr AS (SELECT {series}, n, len, rep, blk, {h("'1'", 'rep', *shared.split(', '), 'blk')} % n AS st FROM (SELECT *, unnest(range(n // len)) AS blk FROM zz), (SELECT unnest(range({reps})) AS rep)),
 ex AS (SELECT *, (st + j) % n AS idx FROM (SELECT *, unnest(range(len)) AS j FROM dr)), sums AS (SELECT {series}, rep, any_value(n) AS n, count(*) AS total, {values} FROM ex JOIN {source} USING ({series}, idx) GROUP BY {series}, rep)"""
 
