@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions import recursive
 from ..functions.draws import hashed, uniform
 
 
@@ -99,3 +101,53 @@ def partial_bars(ticks: DataFrame, size: int, fraction: float) -> DataFrame:
     return seen.groupBy("symbol", F.floor(F.col("us") / size).cast("long").alias("bar")).agg(
         F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.count(F.lit(1)).alias("n")
     )
+
+
+def margin_account(rows: DataFrame, key: str, leverage: float, maintenance: float, trigger: float | None = None, delay: int = 0, cost: float = 0.0) -> DataFrame:
+    """key, episodes, liquidated, first_liquidation, topups, topup_total, transfer_cost, late, worst_rise, least_ratio of a short's margin account.
+
+    rows: key, idx, close, high, funding, held (over the bar). A spell opens with 1 / leverage of its entry's worth. It is liquidated on the bar whose
+    high leaves no more than the maintenance margin. With a ``trigger``, an account below it at a close orders what brings it back to 1 / leverage;
+    the transfer arrives ``delay`` bars after the next, one at a time, and may come too late (``late``). Amounts are shares of the entry's worth.
+    What has been ordered and what has arrived feed on the bars before, so a key's bars are one task's work."""
+    first = 1 / leverage
+
+    def account(c: dict) -> dict:
+        n = len(c["idx"])
+        out = {k: np.zeros(n) for k in ("entered", "liquidated", "late", "moved")} | {k: np.full(n, np.nan) for k in ("ratio", "rise")}
+        spell = None  # entry price, equity put in, funding so far, (arrival, amount) on its way; an entry price alone once liquidated
+        for t in range(1, n):
+            if not c["held"][t]:
+                spell = None
+                continue
+            if spell is None:
+                spell = {"entry": c["close"][t - 1], "equity": first, "paid": 0.0, "coming": None}
+                out["entered"][t] = 1
+            up, top = c["close"][t] / spell["entry"], max(c["high"][t], c["close"][t]) / spell["entry"]
+            out["rise"][t] = top - 1
+            if "equity" not in spell:
+                continue
+            if spell["coming"] and spell["coming"][0] <= t:
+                spell["equity"] += spell["coming"][1]
+                spell["coming"] = None
+            if round(spell["equity"] + spell["paid"] - (top - 1), 12) <= round(maintenance * top, 12):
+                out["liquidated"][t], out["late"][t] = 1, float(spell["coming"] is not None)
+                spell = {"entry": spell["entry"]}
+                continue
+            spell["paid"] += c["funding"][t] * up
+            left = spell["equity"] + spell["paid"] - (up - 1)
+            out["ratio"][t] = left / up
+            if trigger is not None and round(left / up, 12) < trigger and spell["coming"] is None:
+                spell["coming"] = (t + 1 + delay, first * up - left)
+                out["moved"][t] = first * up - left
+        return out
+
+    made = {k: "double" for k in ("entered", "liquidated", "late", "moved", "ratio", "rise")}
+    own = rows.select(key, "idx", "close", "high", F.coalesce("funding", F.lit(0.0)).alias("funding"), F.coalesce("held", F.lit(False)).cast("double").alias("held"))
+    bars = recursive.per_group(own, [key], "idx", account, made)
+    count = lambda c: F.sum(c).cast("long")
+    return bars.groupBy(key).agg(
+        count("entered").alias("episodes"), count("liquidated").alias("liquidated"), F.min(F.when(F.col("liquidated") > 0, F.col("idx"))).cast("long").alias("first_liquidation"),
+        count((F.col("moved") != 0).cast("int")).alias("topups"), F.sum("moved").alias("topup_total"), (F.sum("moved") * cost).alias("transfer_cost"), count("late").alias("late"),
+        F.max("rise").alias("worst_rise"), F.min("ratio").alias("least_ratio"),
+    )

@@ -31,6 +31,30 @@ def short_margin(spark, d):
     return _pick(accounts.short_margin(rows, "symbol", 20, 0.01), ["symbol", "episode", "entry", "liquidated", "bars"], "worst_rise", "least_ratio")
 
 
+def _margin_sql(name: str, first: float, maintenance: float, trigger: float, delay: int) -> str:
+    """CTE {name} (recursive): the account of each symbol, bar by bar. mode: 0 flat, 1 held, 2 liquidated."""
+    return f"""{name} AS (SELECT symbol, idx, 0 AS mode, 0::DOUBLE AS p0, 0::DOUBLE AS eq, 0::DOUBLE AS paid, NULL::BIGINT AS due, 0::DOUBLE AS amt, 0 AS entered, 0 AS liq, 0 AS late, NULL::DOUBLE AS ratio, NULL::DOUBLE AS rise, NULL::DOUBLE AS moved FROM mg WHERE idx = 0
+UNION ALL SELECT symbol, idx, CASE WHEN NOT held THEN 0 WHEN dead OR hit THEN 2 ELSE 1 END, p0, eq, paid, CASE WHEN ordered THEN idx + 1 + {delay} ELSE due END, CASE WHEN ordered THEN {first}::DOUBLE * up - lft ELSE amt END, CASE WHEN fresh THEN 1 ELSE 0 END, CASE WHEN hit THEN 1 ELSE 0 END,
+  CASE WHEN hit AND due IS NOT NULL THEN 1 ELSE 0 END, CASE WHEN ok THEN lft / up END, CASE WHEN held THEN top - 1 END, CASE WHEN ordered THEN {first}::DOUBLE * up - lft END
+FROM (SELECT *, ok AND round(lft / up, 12) < {trigger}::DOUBLE AND due IS NULL AS ordered FROM (SELECT * REPLACE (CASE WHEN ok THEN paid + funding * up ELSE paid END AS paid), eq + CASE WHEN ok THEN paid + funding * up ELSE paid END - (up - 1) AS lft FROM
+ (SELECT *, held AND NOT dead AND NOT hit AS ok FROM (SELECT *, held AND NOT dead AND round(eq + paid - (top - 1), 12) <= round({maintenance}::DOUBLE * top, 12) AS hit FROM (SELECT *, close / p0 AS up, hi / p0 AS top FROM
+ (SELECT m.symbol, m.idx, held, close, hi, funding, held AND mode = 0 AS fresh, held AND mode = 2 AS dead, CASE WHEN held AND mode = 0 THEN pc ELSE p0 END AS p0, CASE WHEN held AND mode = 0 THEN {first}::DOUBLE WHEN due <= m.idx THEN eq + amt ELSE eq END AS eq,
+   CASE WHEN held AND mode = 0 THEN 0 ELSE paid END AS paid, CASE WHEN held AND mode = 0 OR due <= m.idx OR NOT held THEN NULL ELSE due END AS due, amt FROM {name} x JOIN mg m ON m.symbol = x.symbol AND m.idx = x.idx + 1))))))),
+"""
+
+
+@query("margin_account", f"""WITH RECURSIVE {_HELD}, mg AS (SELECT symbol, idx, close, greatest(high, close) AS hi, funding, held, lag(close) OVER ({WS}) AS pc FROM sm), {_margin_sql('ma', 1.0, 0.05, 0.6, 1)} zz AS (SELECT 1)
+SELECT symbol, sum(entered)::BIGINT AS episodes, sum(liq)::BIGINT AS liquidated, min(CASE WHEN liq = 1 THEN idx END) AS first_liquidation, count(moved) AS topups, round(coalesce(sum(moved), 0), 5) + 0 AS topup_total, round(coalesce(sum(moved), 0) * 0.001, 7) + 0 AS transfer_cost,
+  sum(late)::BIGINT AS late, round(max(rise), 6) + 0 AS worst_rise, round(min(ratio), 6) + 0 AS least_ratio FROM ma GROUP BY symbol""")
+def margin_account(spark, d):
+    """Shorts without leverage that are topped up; transfers take a bar longer than the next, and some come too late."""
+    i = F.col("idx")
+    rows = hourly(spark, d).withColumns({"funding": ((i * 7) % 11 - 4) / 10000.0, "held": (i % 40).between(5, 24)})
+    out = accounts.margin_account(rows, "symbol", 1, 0.05, 0.6, 1, 0.001)
+    ints = ["symbol", "episodes", "liquidated", "first_liquidation", "topups", "late"]
+    return out.select(*ints, r("topup_total", 5).alias("topup_total"), r("transfer_cost", 7).alias("transfer_cost"), r("worst_rise").alias("worst_rise"), r("least_ratio").alias("least_ratio"))
+
+
 @query("net_asset_value", f"""WITH {_FILLED.replace('SELECT l_suppkey AS account', 'SELECT CAST(l_shipdate AS DATE) AS day, l_suppkey AS account').replace('l_extendedprice / l_quantity AS price', 'floor(l_extendedprice / l_quantity * 10000) / 10000 AS price')}, dy AS (SELECT account, symbol, day, sum(qty) AS q, sum(qty * price + fee) AS o, arg_max(price, seq) AS px FROM fl GROUP BY ALL), gr AS (SELECT * FROM (SELECT DISTINCT account, day FROM dy) JOIN (SELECT DISTINCT account, symbol FROM dy) USING (account)),
 g2 AS (SELECT account, symbol, day, o, sum(coalesce(q, 0)) OVER w AS hq, last_value(px IGNORE NULLS) OVER w AS p FROM gr LEFT JOIN dy USING (account, symbol, day) WINDOW w AS (PARTITION BY account, symbol ORDER BY day ROWS UNBOUNDED PRECEDING)), g3 AS (SELECT account, day, sum(coalesce(o, 0)) AS o, sum(coalesce(hq * p, 0)) AS value FROM g2 GROUP BY ALL)
 SELECT account, CAST(day AS VARCHAR) AS day, round(-sum(o) OVER (PARTITION BY account ORDER BY day), 4) + 0 AS cash, round(value, 4) + 0 AS value FROM g3""")
