@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import accounts, base, causal, engines, features, front, market, moments, records, research, resampling, robust, search, stats, trading  # noqa: F401
+from . import accounts, base, causal, engines, features, front, market, moments, records, research, resampling, robust, search, stats, trading, verify  # noqa: F401
 
 QUERIES = base.QUERIES
 SQL = base.SQL
