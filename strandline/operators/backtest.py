@@ -55,6 +55,42 @@ def sweep(bars: DataFrame, key: str, names: list[str], targets: list[tuple[tuple
     return _closed(runs, [key, *names], "_run", fee, slippage, size)
 
 
+def sma_sweep(bars: DataFrame, key: str, pairs: list[tuple[int, int]], fee: float = 0.0005, slippage: float = 0.0005, size: float = 1.0, chunk: int | None = None) -> DataFrame:
+    """The trades of all ``pairs`` (fast, slow) of crossed means: key, fast, slow and the columns of :func:`trades`. bars: key, idx from 0 without holes, open, close.
+
+    A key's bars are cut into chunks, each with as many bars before it as the longest mean needs and one after it, so one long history is
+    many tasks; without ``chunk`` they are as long as the rows that a window holds in memory before it turns to its sorter (4,096). A mean is the difference of two running sums, whatever its length, and is above another from a billionth on. The signals of
+    a bar are the bits of a number; only bars at which a bit changes become rows, one for each changed bit."""
+    lengths = sorted({n for p in pairs for n in p})
+    before = lengths[-1] + 1
+    chunk = max(4094 - before if chunk is None else chunk, before)
+    home, place = F.floor(F.col("idx") / chunk), F.pmod(F.col("idx"), F.lit(chunk))
+    here = lambda k, own: F.struct(k.cast("long").alias("_k"), F.lit(own).alias("_own"))
+    copies = F.array(here(home, True), F.when(place >= chunk - before, here(home + 1, False)), F.when((place == 0) & (home > 0), here(home - 1, False)))
+    rows = bars.select(key, "idx", "open", "close", F.inline(F.filter(copies, lambda c: c.isNotNull())))
+    w = W.partitionBy(key, "_k").orderBy("idx")
+    up_to = w.rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.select(key, "idx", "_k", "_own", F.sum("close").over(up_to).alias("_s"), F.count("close").over(up_to).alias("_c"), F.lead("open").over(w).alias("px"), F.lead("idx").over(w).alias("at"))
+    back = {n: (F.coalesce(F.lag("_s", n).over(w), F.lit(0.0)), F.coalesce(F.lag("_c", n).over(w), F.lit(0))) for n in lengths}
+    rows = rows.select("*", *[F.when(F.col("_c") - c >= n, (F.col("_s") - s) / n).alias(f"a{n}") for n, (s, c) in back.items()])
+    words = [pairs[k : k + 62] for k in range(0, len(pairs), 62)]
+    bit = lambda f, s, k: F.when(F.round(F.col(f"a{f}") - F.col(f"a{s}"), 9) > 0, F.lit(1 << k)).otherwise(F.lit(0)).cast("long")
+    rows = rows.select(key, "idx", "_k", "_own", "px", "at", *[sum((bit(f, s, k) for k, (f, s) in enumerate(word)), F.lit(0).cast("long")).alias(f"_m{i}") for i, word in enumerate(words)])
+    rows = rows.select("*", *[F.coalesce(F.col(f"_m{i}").bitwiseXOR(F.lag(f"_m{i}").over(w)), F.lit((1 << len(word)) - 1)).alias(f"_x{i}") for i, word in enumerate(words)])
+    any_ = " OR ".join(f"_x{i} <> 0" for i in range(len(words)))
+    rows = rows.where(f"_own AND px IS NOT NULL AND ({any_})")
+
+    def changed(i: int, n: int) -> Column:
+        bits = F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.call_function("getbit", F.col(f"_x{i}"), k) == 1)
+        return F.transform(bits, lambda k: F.struct((k + 62 * i).alias("pair"), F.call_function("getbit", F.col(f"_m{i}"), k).cast("int").alias("side")))
+
+    runs = rows.select(key, F.col("idx").alias("_run"), "px", "at", F.inline(F.concat(*[changed(i, len(word)) for i, word in enumerate(words)])))
+    named = F.array(*[F.struct(F.lit(f).alias("fast"), F.lit(s).alias("slow")) for f, s in pairs])
+    runs = runs.select(key, F.inline(F.array(F.get(named, F.col("pair")))), "_run", "px", "at", "side")
+    ends = bars.groupBy(key).agg(F.max("idx").alias("end"), F.max_by("close", "idx").alias("final"))
+    return _closed(runs.join(ends, key), [key, "fast", "slow"], "_run", fee, slippage, size)
+
+
 def _closed(runs: DataFrame, keys: list[str], order: str, fee: float, slippage: float, size: float) -> DataFrame:
     """Runs of a target (keys, order, side, px, at, end, final) as trades: each ends where the next begins."""
     o = W.partitionBy(*keys).orderBy(order)

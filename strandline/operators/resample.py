@@ -77,6 +77,34 @@ def block_sums(rets: DataFrame, series: list[str], shared: list[str], values: li
     return rows.groupBy(*series, "rep").agg(F.sum("len").alias("total"), F.first("n").alias("n"), *parts)
 
 
+def shared_block_sums(rets: DataFrame, family: list[str], trial: str, x: str, n: int, seed: int = 1, width: int = 64) -> DataFrame:
+    """The sums of ``x`` of :func:`block_sums` for all trials of a family, whose draws are shared: family, trial, rep, total, n and ``x``.
+
+    Trials of one length stand beside each other in arrays of ``width``, so a family's blocks are drawn and looked up once for each array and not
+    for each trial; what differs by trial is added up element by element before it is shuffled."""
+    series = [*family, trial]
+    w = W.partitionBy(*series).orderBy("idx").rowsBetween(W.unboundedPreceding, 0)
+    of = rets.groupBy(*series).agg(F.count(F.lit(1)).alias("n"))
+    of = of.withColumn("_c", F.floor((F.row_number().over(W.partitionBy(*family, "n").orderBy(trial)) - 1) / width).cast("int"))  # a row a trial
+    pre = rets.select(*series, (F.col("idx") + 1).alias("at"), F.sum(x).over(w).alias("_v")).join(of, series)
+    pre = pre.unionByName(of.select(*series, "n", "_c", F.lit(0).cast("long").alias("at"), F.lit(0.0).alias("_v")))
+    group = [*family, "n", "_c"]
+    beside = pre.groupBy(*group, "at").agg(F.array_sort(F.collect_list(F.struct(trial, "_v"))).alias("_a"))  # ``width`` trials at most
+    names = beside.where("at = 0").select(*group, F.posexplode(F.transform("_a", lambda a: a[trial])).alias("_pos", trial))
+    value = F.transform("_a", lambda a: a["_v"])
+    side = lambda a, v: beside.select(*group, F.col("at").alias(a), value.alias(v))
+    whole = beside.where(F.col("at") == F.col("n")).select(*group, value.alias("_all"))
+    draws = of.select(*family, "n").distinct().withColumn("len", block_length(F.col("n")))
+    draws = draws.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / F.col("len")).cast("long") - 1)))
+    draws = replicates(draws, n).withColumn("s", hashed(seed, F.col("rep"), *[F.col(k) for k in family], F.col("_b")) % F.col("n"))
+    end = F.col("s") + F.col("len")
+    draws = draws.withColumns({"_wrap": end > F.col("n"), "e": F.when(end > F.col("n"), end - F.col("n")).otherwise(end)})
+    rows = draws.join(side("s", "_p"), [*family, "n", "s"]).join(side("e", "_q"), [*group, "e"]).join(whole, group)
+    each = F.transform("_q", lambda q, i: q - F.get("_p", i) + F.when(F.col("_wrap"), F.get("_all", i)).otherwise(0.0))
+    sums = rows.select(*group, "rep", "len", F.posexplode(each).alias("_pos", "_x")).groupBy(*group, "rep", "_pos").agg(F.sum("len").alias("total"), F.sum("_x").alias(x))
+    return sums.join(names, [*group, "_pos"]).select(*series, "rep", "total", "n", x)
+
+
 def bootstrap_interval(rets: DataFrame, keys: list[str], n: int, periods: float, x: str = "ret", seed: int = 1, level: float = 0.95) -> DataFrame:
     """keys, sharpe and total return at the level's ends and the share of draws with a positive ratio; 60 rows at least."""
     rows = rets.withColumns({"_r": F.col(x), "_rr": F.col(x) * F.col(x), "_l": F.log1p(F.greatest(F.col(x), F.lit(-0.999999)))})
@@ -113,14 +141,23 @@ def random_walks(spark, n: int, bars: int, sd: float, seed: int = 1) -> DataFram
 def placed(rows: DataFrame, value: str, key: str, ranges: int = 200) -> DataFrame:
     """``rows`` with place and of: the exact rank by value, then key, over all rows, and their number, without one task that sorts
     them all: approximate quantiles cut the values into ranges, ranks within a range are added to the rows of the ranges before."""
+    if value == key:
+        raise ValueError("ties are told apart by the key")
     edges = rows.agg(F.percentile_approx(value, F.array(*[F.lit(k / ranges) for k in range(1, ranges)]), F.lit(10_000))).first()[0] or []
     cut = F.array(*[F.lit(e) for e in sorted(set(edges))]) if edges else F.array().cast("array<double>")
     rows = rows.withColumn("_r", F.when(F.col(value).isNull(), -1).otherwise(F.size(F.filter(cut, lambda e: e < F.col(value)))))
-    counts = rows.groupBy("_r").agg(F.count(F.lit(1)).alias("_m"))
-    w = W.partitionBy()  # ``ranges`` + 1 rows at most
-    counts = counts.withColumns({"_before": F.coalesce(F.sum("_m").over(w.orderBy("_r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "of": F.sum("_m").over(w)}).drop("_m")
-    own = F.row_number().over(W.partitionBy("_r").orderBy(value, key))
-    return rows.withColumn("_own", own).join(F.broadcast(counts), "_r").withColumn("place", F.col("_before") + F.col("_own")).drop("_r", "_own", "_before")
+    # rows of one value may fill a range: its keys are cut as well
+    counts = rows.groupBy("_r").agg(F.count(F.lit(1)).alias("_m"), F.count_distinct(value).alias("_d"))
+    w = W.partitionBy()  # a few rows a range
+    full = counts.where(F.col("_m") > 4 * F.greatest(F.lit(1), F.ceil(F.lit(rows.count() / ranges)))).where("_d <= 1").select("_r")
+    tied = rows.join(F.broadcast(full), "_r", "left_semi")
+    inner = tied.groupBy("_r").agg(F.percentile_approx(key, F.array(*[F.lit(k / 64) for k in range(1, 64)]), F.lit(10_000)).alias("_keys"))
+    rows = rows.join(F.broadcast(inner), "_r", "left")
+    rows = rows.withColumn("_q", F.when(F.col("_keys").isNull() | F.col(key).isNull(), 0).otherwise(1 + F.size(F.filter(F.array_distinct("_keys"), lambda e: e < F.col(key))))).drop("_keys")
+    counts = rows.groupBy("_r", "_q").agg(F.count(F.lit(1)).alias("_m"))
+    counts = counts.withColumns({"_before": F.coalesce(F.sum("_m").over(w.orderBy("_r", "_q").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "of": F.sum("_m").over(w)}).drop("_m")
+    own = F.row_number().over(W.partitionBy("_r", "_q").orderBy(value, key))
+    return rows.withColumn("_own", own).join(F.broadcast(counts), ["_r", "_q"]).withColumn("place", F.col("_before") + F.col("_own")).drop("_r", "_q", "_own", "_before")
 
 
 def stratified(rows: DataFrame, value: str, key: str, strata: int | Column, each: int, seed: int = 1) -> DataFrame:

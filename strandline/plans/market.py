@@ -355,9 +355,7 @@ _KEYS = "symbol, fast, slow"
 
 
 def _swept(spark, d):
-    w, c = fw.by(), F.col("close")
-    rows = hourly(spark, d).withColumns({f"a{n}": fw.sma(c, n, w) for n in sorted({n for p in _GRID for n in p})})
-    return backtest.sweep(rows, "symbol", ["fast", "slow"], [((f, s), F.when(F.col(f"a{f}") > F.col(f"a{s}"), 1).otherwise(0)) for f, s in _GRID])
+    return backtest.sma_sweep(hourly(spark, d), "symbol", _GRID)
 
 
 @query("sma_sweep", f"WITH {BARS}, {_SWEEP}, {trades_sql('s', _KEYS)} SELECT {_KEYS}, {_TOTAL} FROM trades GROUP BY {_KEYS}")

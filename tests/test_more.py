@@ -16,9 +16,9 @@ def test_bucketed_intervals_by_force(spark):
     spans = [(rng.choice("ab"), s := rng.randint(-50, 400), None if k % 7 == 0 else s + rng.randint(-5, 90)) for k in range(40)]
     p, i = spark.createDataFrame(points, "id long, k string, t long"), spark.createDataFrame(spans, "k string, s long, e long")
     held = sorted((a, s, e) for a, k, t in points for q, s, e in spans if k == q and s <= t and (e is None or t <= e))
-    got = sorted(((r.id, r.s, r.e) for r in joins.within(p, i, ["k"], "t", "s", "e", 30).collect()), key=str)
+    got = sorted(((r.id, r.s, r.e) for r in joins.within(p, i, ["k"], "t", "s", "e").collect()), key=str)
     assert got == sorted(held, key=str)
-    assert {r.id for r in joins.outside(p, i, ["k"], "t", "s", "e", 30).collect()} == {x[0] for x in points} - {x[0] for x in held}
+    assert {r.id for r in joins.outside(p, i, ["k"], "t", "s", "e").collect()} == {x[0] for x in points} - {x[0] for x in held}
     assert joins.within(p, i.limit(0), ["k"], "t", "s", "e").count() == 0 and joins.outside(p, i.limit(0), ["k"], "t", "s", "e").count() == len(points)
 
 
