@@ -89,7 +89,7 @@ _ALPHA = f"""{PANEL}, vi AS (SELECT * FROM pn WHERE ret IS NOT NULL AND fwd IS N
 o AS (SELECT net, row_number() OVER (ORDER BY bar) - 1 AS i, count(*) OVER () AS n FROM net), z AS (SELECT *, n // 6 AS size, n % 6 AS more FROM o), g AS (SELECT *, CASE WHEN i < more * (size + 1) THEN i // (size + 1) ELSE more + (i - more * (size + 1)) // size END AS g FROM z),
 pt AS (SELECT *, CASE WHEN g < more THEN i - g * (size + 1) ELSE i - more * (size + 1) - (g - more) * size END AS pos, CASE WHEN g < more THEN size + 1 ELSE size END AS len FROM g), pr AS (SELECT a, b FROM (SELECT unnest(range(6)) AS a), (SELECT unnest(range(6)) AS b) WHERE a < b),
 ps AS (SELECT a, b, {_SHARPE.format('net')} AS s FROM pt JOIN pr ON g = a OR g = b WHERE pos >= 1 AND pos < len - 1 GROUP BY a, b), pa AS (SELECT avg(CASE WHEN round(s, 9) > 0 THEN 1.0::DOUBLE ELSE 0 END) AS paths FROM ps),
-sy AS (SELECT DISTINCT symbol FROM pn), sk AS (SELECT rep, symbol, row_number() OVER (PARTITION BY rep ORDER BY {h("'1'", 'rep', 'symbol')}, symbol) AS k, count(*) OVER (PARTITION BY rep) AS n FROM sy, (SELECT unnest(range(20)) AS rep)), sub AS (SELECT pn.*, rep FROM pn JOIN sk USING (symbol) WHERE k <= round(0.7 * n)), {_net('sub', 'rep', name='sn')},
+sy AS (SELECT DISTINCT symbol FROM pn), sk AS (SELECT rep, symbol, row_number() OVER (PARTITION BY rep ORDER BY {h("'1'", 'rep', 'symbol')}, symbol) AS k, count(*) OVER (PARTITION BY rep) AS n FROM sy, (SELECT unnest(range(100)) AS rep)), sub AS (SELECT pn.*, rep FROM pn JOIN sk USING (symbol) WHERE k <= round(0.7 * n)), {_net('sub', 'rep', name='sn')},
 sm AS (SELECT rep, avg(net) AS m FROM sn GROUP BY rep), su AS (SELECT avg(CASE WHEN round(m, 12) > 0 THEN 1.0::DOUBLE ELSE 0 END) AS subsets FROM sm), al AS (SELECT round(ic, 6) AS ic, round(ic_t, 6) AS ic_t, round(sharpe, 6) AS sharpe, round(paths, 6) AS paths, round(subsets, 6) AS subsets FROM im, ws, pa, su),
 ck AS (SELECT 'ret' AS score, unnest(['mean_ic', 'ic_significance', 'net_sharpe', 'purged_paths', 'subsets']) AS id, unnest(['statistics', 'statistics', 'economics', 'statistics', 'statistics']) AS category, unnest([CASE WHEN abs(ic) < 0.01 THEN 'warn' ELSE 'pass' END, CASE WHEN abs(ic_t) < 1 THEN 'fail' WHEN abs(ic_t) < 2 THEN 'warn' ELSE 'pass' END,
   CASE WHEN sharpe < -1 THEN 'fail' WHEN sharpe <= 0 THEN 'warn' ELSE 'pass' END, CASE WHEN paths < 0.6 THEN 'warn' ELSE 'pass' END, CASE WHEN subsets < 0.5 THEN 'fail' WHEN subsets < 0.8 THEN 'warn' ELSE 'pass' END]) AS status, unnest([ic, ic_t, sharpe, paths, subsets]) AS v FROM al)"""
@@ -117,14 +117,14 @@ def portfolio_risk(spark, d):
     return out.select("symbol", r("share").alias("share"), r("bets", 5).alias("bets"))
 
 
-@query("drawdown_plausibility", f"""WITH {RETS}, mo AS (SELECT symbol, count(*) AS n, avg(ret) AS mean, stddev_samp(ret) AS sd FROM rets WHERE ret IS NOT NULL GROUP BY symbol), pa AS (SELECT mo.*, rep, unnest(range(n)) AS idx FROM mo, (SELECT unnest(range(200)) AS rep)),
+@query("drawdown_plausibility", f"""WITH {RETS}, mo AS (SELECT symbol, count(*) AS n, avg(ret) AS mean, stddev_samp(ret) AS sd FROM rets WHERE ret IS NOT NULL GROUP BY symbol), pa AS (SELECT mo.*, rep, unnest(range(n)) AS idx FROM mo, (SELECT unnest(range(500)) AS rep)),
 z AS (SELECT symbol, rep, idx, ln(1 + mean + sd * {normal.ppf_sql('((' + h("'1'", 'rep', 'symbol', 'idx') + ' + 0.5) / 4294967296)')}) AS l FROM pa), e AS (SELECT *, sum(l) OVER (PARTITION BY symbol, rep ORDER BY idx) AS e FROM z), dd AS (SELECT symbol, rep, 1 - exp(e - greatest(0, max(e) OVER (PARTITION BY symbol, rep ORDER BY idx))) AS d FROM e),
 m AS (SELECT symbol, rep, max(d) AS d FROM dd GROUP BY ALL), q AS (SELECT symbol, quantile_cont(d, 0.05) AS p5, quantile_cont(d, 0.99) AS p99 FROM m GROUP BY symbol), oe AS (SELECT symbol, idx, sum(ln(1 + ret)) OVER ({WS}) AS e FROM rets WHERE ret IS NOT NULL), ob AS (SELECT symbol, 1 - exp(e - greatest(0, max(e) OVER ({WS}))) AS d FROM oe), om AS (SELECT symbol, max(d) AS seen FROM ob GROUP BY symbol)
 SELECT symbol, round(seen, 6) AS seen, round(p5, 6) AS p5, round(p99, 6) AS p99, CASE WHEN round(seen, 9) < round(p5, 9) OR round(seen, 9) > round(p99, 9) THEN 'warn' ELSE 'pass' END AS status FROM q JOIN om USING (symbol)""")
 def drawdown_plausibility(spark, d):
     """The greatest drawdown against those of normal returns of the same mean, deviation and length."""
     rets = returns(spark, d)
-    draws = front.drawdown_draws(stats.moments(rets, ["symbol"]), ["symbol"], 200).groupBy("symbol").agg(F.percentile("dd", F.array(F.lit(0.05), F.lit(0.99))).alias("q"))
+    draws = front.drawdown_draws(stats.moments(rets, ["symbol"]), ["symbol"], 500).groupBy("symbol").agg(F.percentile("dd", F.array(F.lit(0.05), F.lit(0.99))).alias("q"))
     w = fw.by().rowsBetween(W.unboundedPreceding, 0)
     seen = rets.where("ret IS NOT NULL").withColumn("e", F.sum(F.log1p("ret")).over(w)).withColumn("d", 1 - F.exp(F.col("e") - F.greatest(F.lit(0.0), F.max("e").over(w)))).groupBy("symbol").agg(F.max("d").alias("seen"))
     out = draws.join(seen, "symbol")

@@ -42,7 +42,7 @@ def resample_bootstrap(spark, d):
     return out.unionByName(_marks(resample.bootstrap(rows, ["symbol"], 1000, 3, 8, circular=False), "block"))
 
 
-@query("resample_permuted", f"""WITH {RC}, rr AS (SELECT rc.*, rep, bar // 24 AS day FROM rc, (SELECT unnest(range(3)) AS rep)),
+@query("resample_permuted", f"""WITH {RC}, rr AS (SELECT rc.*, rep, bar // 24 AS day FROM rc, (SELECT unnest(range(100)) AS rep)),
 p1 AS (SELECT symbol, rep, mkt, row_number() OVER (PARTITION BY symbol, rep ORDER BY {h("'1'", 'rep', 'symbol', 'idx')}, idx) - 1 AS pos FROM rr),
 bb0 AS (SELECT DISTINCT symbol, rep, idx // 8 AS blk FROM rr JOIN nn USING (symbol) WHERE idx // 8 < n // 8), bb1 AS (SELECT *, row_number() OVER (PARTITION BY symbol, rep ORDER BY {h("'2'", 'rep', 'symbol', 'blk')}, blk) - 1 AS nb FROM bb0),
 p2 AS (SELECT rr.symbol, rr.rep, mkt, coalesce(nb * 8 + idx % 8, idx) AS pos FROM rr LEFT JOIN bb1 ON bb1.symbol = rr.symbol AND bb1.rep = rr.rep AND bb1.blk = rr.idx // 8),
@@ -52,9 +52,9 @@ u AS (SELECT 'rows' AS method, * FROM p1 UNION ALL SELECT 'blocks', * FROM p2 UN
 SELECT method, symbol, rep, count(*) AS n, round(sum(mkt), 6) + 0 AS total, round(sum(pos * mkt), 4) + 0 AS moment FROM u GROUP BY ALL""")
 def resample_permuted(spark, d):
     rows = plain(spark, d)
-    out = _marks(resample.permuted(rows, ["symbol"], 3, 1), "rows").unionByName(_marks(resample.permuted(rows, ["symbol"], 3, 2, 8), "blocks"))
+    out = _marks(resample.permuted(rows, ["symbol"], 100, 1), "rows").unionByName(_marks(resample.permuted(rows, ["symbol"], 100, 2, 8), "blocks"))
     days = rows.withColumn("day", F.floor(F.col("bar") / 24))
-    return out.unionByName(_marks(resample.permuted(days, ["symbol"], 3, 3, within=["day"]), "days"))
+    return out.unionByName(_marks(resample.permuted(days, ["symbol"], 100, 3, within=["day"]), "days"))
 
 
 def _draws(series: str, source: str, shared: str, reps: int, values: str, length: str = "greatest(2, CAST(round(pow(count(*), 1.0 / 3)) AS BIGINT))") -> str:

@@ -34,12 +34,12 @@ def net_spread(spark, d):
     return _pick(robust.net_spread(panel(spark, d), "ret", 5, COST), ["bar"], "net")
 
 
-@query("universe_subsampling", f"""WITH {PANEL}, sy AS (SELECT DISTINCT symbol FROM pn), sk AS (SELECT rep, symbol, row_number() OVER (PARTITION BY rep ORDER BY {h("'1'", 'rep', 'symbol')}, symbol) AS k, count(*) OVER (PARTITION BY rep) AS n FROM sy, (SELECT unnest(range(50)) AS rep)),
+@query("universe_subsampling", f"""WITH {PANEL}, sy AS (SELECT DISTINCT symbol FROM pn), sk AS (SELECT rep, symbol, row_number() OVER (PARTITION BY rep ORDER BY {h("'1'", 'rep', 'symbol')}, symbol) AS k, count(*) OVER (PARTITION BY rep) AS n FROM sy, (SELECT unnest(range(100)) AS rep)),
 sub AS (SELECT pn.*, rep FROM pn JOIN sk USING (symbol) WHERE k <= round(0.7 * n)), {_net('sub', 'rep')}, one AS (SELECT rep, avg(net) AS m, {_SHARPE.format('net')} AS s FROM net GROUP BY rep)
 SELECT count(*) AS subsets, round(avg(CASE WHEN m > 0 THEN 1.0 ELSE 0 END), 6) AS positive, round(median(s), 5) AS sharpe FROM one""")
 def universe_subsampling(spark, d):
     """Does the edge survive subsets of seven tenths of the names?"""
-    net = robust.net_spread(robust.subsets(panel(spark, d), 0.7, 50), "ret", 5, COST, ("rep",))
+    net = robust.net_spread(robust.subsets(panel(spark, d), 0.7, 100), "ret", 5, COST, ("rep",))
     one = net.groupBy("rep").agg(F.avg("net").alias("m"), robust.ratio("net", 12).alias("s"))
     return one.agg(F.count(F.lit(1)).alias("subsets"), r(F.avg((F.col("m") > 0).cast("double"))).alias("positive"), r(F.median("s"), 5).alias("sharpe"))
 
@@ -135,23 +135,23 @@ def _labelled(spark, d):
     return rows.select("symbol", (F.col("idx") - 24).alias("idx"), "mkt", "label")
 
 
-@query("regime_swap_null", f"""WITH {_UP}, un AS (SELECT symbol, count(*) AS n, avg(mkt) FILTER (label) - avg(mkt) FILTER (NOT label) AS gap FROM up GROUP BY symbol), dk AS (SELECT symbol, n, rep, greatest(10, n // 10) + {h("'1'", 'rep', 'symbol')} % (n - 2 * greatest(10, n // 10)) AS k FROM un, (SELECT unnest(range(200)) AS rep)),
+@query("regime_swap_null", f"""WITH {_UP}, un AS (SELECT symbol, count(*) AS n, avg(mkt) FILTER (label) - avg(mkt) FILTER (NOT label) AS gap FROM up GROUP BY symbol), dk AS (SELECT symbol, n, rep, greatest(10, n // 10) + {h("'1'", 'rep', 'symbol')} % (n - 2 * greatest(10, n // 10)) AS k FROM un, (SELECT unnest(range(500)) AS rep)),
 nl AS (SELECT up.symbol, rep, avg(up.mkt) FILTER (o.label) - avg(up.mkt) FILTER (NOT o.label) AS nul FROM up JOIN dk USING (symbol) JOIN up o ON o.symbol = up.symbol AND o.idx = (up.idx - k + n) % n GROUP BY ALL)
 SELECT symbol, round(gap, 8) + 0 AS gap, round((1 + count(*) FILTER (round(abs(nul), 12) >= round(abs(gap), 12))) / (count(*) + 1), 6) AS p FROM nl JOIN un USING (symbol) GROUP BY symbol, gap""")
 def regime_swap_null(spark, d):
-    out = robust.regime_swap(_labelled(spark, d), ["symbol"], "label", 200, "mkt")
+    out = robust.regime_swap(_labelled(spark, d), ["symbol"], "label", 500, "mkt")
     return out.select("symbol", r("gap", 8).alias("gap"), r("p").alias("p"))
 
 
 @query("regime_mix_bootstrap", f"""WITH {_UP}, lr AS (SELECT symbol, label, mkt, row_number() OVER (PARTITION BY symbol, label ORDER BY idx) - 1 AS j, count(*) OVER (PARTITION BY symbol, label) AS m, count(*) OVER (PARTITION BY symbol) // 2 AS half FROM up), sd AS (SELECT DISTINCT symbol, label, m, half FROM lr),
-dw AS (SELECT sd.*, rep, i, {h("'1'", 'rep', 'symbol', 'CASE WHEN label THEN 1 ELSE 0 END', 'i')} % m AS j FROM (SELECT *, unnest(range(half)) AS i FROM sd) sd, (SELECT unnest(range(100)) AS rep)), sm AS (SELECT dw.symbol, rep, coalesce(avg(mkt) / nullif(stddev_samp(mkt), 0), 0) AS s FROM dw JOIN lr USING (symbol, label, j) GROUP BY ALL)
+dw AS (SELECT sd.*, rep, i, {h("'1'", 'rep', 'symbol', 'CASE WHEN label THEN 1 ELSE 0 END', 'i')} % m AS j FROM (SELECT *, unnest(range(half)) AS i FROM sd) sd, (SELECT unnest(range(500)) AS rep)), sm AS (SELECT dw.symbol, rep, coalesce(avg(mkt) / nullif(stddev_samp(mkt), 0), 0) AS s FROM dw JOIN lr USING (symbol, label, j) GROUP BY ALL)
 SELECT symbol, round(quantile_cont(s, 0.05), 6) AS p5, round(median(s), 6) AS p50, round(quantile_cont(s, 0.95), 6) AS p95 FROM sm GROUP BY symbol""")
 def regime_mix_bootstrap(spark, d):
     """Histories of half one regime and half the other, whatever the share of each was."""
     whole, own = fw.W.partitionBy("symbol"), fw.W.partitionBy("symbol", "label")
     rows = _labelled(spark, d).withColumns({"j": (F.row_number().over(own.orderBy("idx")) - 1).cast("long"), "m": F.count(F.lit(1)).over(own), "half": F.floor(F.count(F.lit(1)).over(whole) / 2)})
     sides = rows.select("symbol", "label", "m", "half").distinct().withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("half") - 1)))
-    drawn = resample.replicates(sides, 100).withColumn("j", hashed(1, F.col("rep"), F.col("symbol"), F.col("label").cast("int"), F.col("i")) % F.col("m"))
+    drawn = resample.replicates(sides, 500).withColumn("j", hashed(1, F.col("rep"), F.col("symbol"), F.col("label").cast("int"), F.col("i")) % F.col("m"))
     one = drawn.select("symbol", "label", "rep", "j").join(rows.select("symbol", "label", "j", "mkt"), ["symbol", "label", "j"]).groupBy("symbol", "rep").agg(F.coalesce(fw.div(F.avg("mkt"), F.stddev_samp("mkt")), F.lit(0.0)).alias("s"))
     out = one.groupBy("symbol").agg(F.percentile("s", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("p"))
     return out.select("symbol", *[r(F.col("p")[k]).alias(f"p{n}") for k, n in enumerate((5, 50, 95))])
