@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions import xsection
 from ..functions.windows import div
-from . import backtest, evidence, front, probes, repaint, resample, search, stats
+from . import alpha, backtest, evidence, front, gram, probes, repaint, resample, search, stats
 
 #: Fills that come later (bars), costs (basis points a fill) that a strategy should live with.
 DELAYS, COSTS = (1, 2, 3, 5), (0, 20)
@@ -94,6 +95,31 @@ def strategy(bars: DataFrame, signal: probes.Signal, rets: DataFrame, trials: Da
     return _union(parts + ([] if trials is None else [searched(trials, n)]))
 
 
+def score(panel: DataFrame, name: str, forward: str, book: DataFrame, ret: str, factors: list[str], q: int = 5, cost: float = 0.001, periods: float = 12.0, draws: int = 200) -> DataFrame:
+    """score, id, category, status, value: a score verified with all that applies to one, beside :func:`front.alpha_checks`: a placebo, its buckets and
+    legs, and what its book's returns owe to known factors and to falling markets.
+
+    panel: symbol, bar, the score and its forward return; book: bar, the book's return ``ret``, market and the ``factors``."""
+    check = evidence.check
+    parts = [front.alpha_checks(panel, xsection.rank_ic(panel, name, forward), name, q, cost, periods)]
+    subject = lambda df: df.withColumn("score", F.lit(name))
+
+    def rows(one: DataFrame, *checks: Column) -> None:
+        parts.append(evidence.rows(subject(one), ["score"], list(checks)))
+
+    r6 = lambda c: F.round(c, 6)
+    rows(alpha.placebo(panel, name, forward, draws), check("placebo", "statistics", r6("p"), r6("p") > 0.5, r6("p") > 0.1))
+    rows(alpha.monotonicity(alpha.bucket_means(panel, name, forward, q)), check("rising_buckets", "statistics", r6("rising"), warn=r6("rising") < 0.75))
+    rows(alpha.leg_shares(panel, name, forward, q), check("short_leg", "economics", r6("short_share"), warn=r6("short_share") > 0.8))
+    span = gram.spanning(book, [], ret, factors, periods).withColumn("_g", F.round("gain", 4))
+    rows(span, check("spanned_by_factors", "statistics", F.col("_g"), warn=F.col("_g") < gram.LEAST_GAIN))
+    const = alpha.ols(book, ret, factors).where("term = 'const'")
+    rows(const, check("residual_return", "statistics", r6("t"), r6("t") < 0, r6("t") < front.SINGLE))
+    gap = F.round(r6("down") - r6("up"), 5)
+    rows(alpha.up_down_beta(book, ret, "market"), check("falls_with_the_market", "statistics", gap, warn=gap > 0.5))
+    return _union(parts)
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:

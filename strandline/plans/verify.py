@@ -5,7 +5,10 @@ from __future__ import annotations
 from ..operators import evidence, verify
 from .base import BARS, SQL, WS, query, r
 from .market import _SIGNAL, _signals, trades_sql
+from .moments import _TERMS
+from .research import _strategy, panel
 from .resampling import _draws, trials
+from .robust import COST
 from .stats import RETS, returns
 from .trading import _cross
 
@@ -61,3 +64,25 @@ def strategy_verdicts(spark, d):
     checks = _evidence(spark, d)
     one = evidence.verdicts(checks, ["symbol"]).select("symbol", "checks", "failed")
     return one.join(evidence.certificates(checks, ["symbol"]), "symbol").select("symbol", "checks", "failed", "verdict", "certificate")
+
+
+def _score_part(name: str, category: str, value: str, source: str, fail: str = "false", warn: str = "false") -> str:
+    return _part(name, category, value, source, fail, warn).replace("SELECT symbol,", "SELECT", 1)
+
+
+_SCORE = " UNION ALL ".join([
+    f"SELECT id, category, status, value FROM ({SQL['validate_alpha']})",
+    _score_part("placebo", "statistics", "p", SQL["signal_placebo"], "p > 0.5", "p > 0.1"),
+    _score_part("rising_buckets", "statistics", "rising", SQL["bucket_monotonicity"], "false", "rising < 0.75"),
+    _score_part("short_leg", "economics", "short_share", SQL["leg_shares"], "false", "short_share > 0.8"),
+    _score_part("spanned_by_factors", "statistics", "gain", SQL["factor_spanning"], "false", "gain < 0.05"),
+    _score_part("residual_return", "statistics", "t", f"SELECT * FROM ({SQL['factor_exposure']}) WHERE term = 'const'", "t < 0", "t < 2"),
+    _score_part("falls_with_the_market", "statistics", "round(down - up, 5)", SQL["up_down_beta"], "false", "round(down - up, 5) > 0.5"),
+])
+
+
+@query("score_evidence", f"SELECT id, category, status, round(value, 5) + 0 AS value FROM ({_SCORE})")
+def score_evidence(spark, d):
+    """Every check of a score and of the book that it makes."""
+    out = verify.score(panel(spark, d), "ret", "fwd", _strategy(spark, d), "r", _TERMS, 5, COST)
+    return out.select("id", "category", "status", r("value", 5).alias("value"))
