@@ -43,8 +43,8 @@ ESTIMATE = LEAST - 5 * (LEAST * (1 - LEAST) / SIGN) ** 0.5
 
 
 def row_key(docs: DataFrame) -> Column:
-    """Of all columns and of which are null, as hashes pass nulls over."""
-    return util.row_key(*docs.columns, *[F.col(c).isNull() for c in docs.columns])
+    """Of all columns."""
+    return util.row_key(*docs.columns)
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -111,7 +111,7 @@ def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 js = those[(root[those] != root[k]) & (np.minimum(n[those], n[k]) >= LEAST * np.maximum(n[those], n[k]))]
                 js = js[(sign[js] == sign[k]).mean(1) >= ESTIMATE] if len(js) else js
                 if len(js):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cls[k], cls[js])), pa.array(np.maximum(cls[k], cls[js]))], ["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(js), cls[k])), pa.array(cls[js])], ["hub", "member"])
 
     held: pa.Table | None = None
     for b in batches:
@@ -130,7 +130,7 @@ def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def left_pairs(apart: DataFrame, details: DataFrame, block: int = 512) -> DataFrame:
-    """(a, b) that may be alike of buckets in several groups: members outside the largest group (root is not top) with members of
+    """(hub, member) that may be alike of buckets in several groups: members outside the largest group (root is not top) with members of
     other groups. apart: h, cls, n, root, top, size, others. Both sides are dealt into blocks, and each pair of blocks is a cell."""
     of_all, of_others = (F.ceil(F.col(c) / block).cast("int") for c in ("size", "others"))
     at = lambda i, j, other: F.struct((i * of_all + j).alias("cell"), F.lit(other).alias("other"))
@@ -140,27 +140,36 @@ def left_pairs(apart: DataFrame, details: DataFrame, block: int = 512) -> DataFr
     cells = F.when(F.col("root") == F.col("top"), cells).otherwise(F.concat(cells, more))
     rows = apart.select("h", "cls", "n", "root", F.inline(cells)).join(details.select("cls", "sign"), "cls")
     rows = rows.select("h", "cell", "cls", "n", "root", "other", "sign").repartition("h", "cell").sortWithinPartitions("h", "cell")
-    return rows.mapInArrow(_left, "a long, b long")
+    return rows.mapInArrow(_left, "hub long, member long")
 
 
 def hub_pairs(members: DataFrame, hubs: DataFrame) -> DataFrame:
-    """(a, b): each member with its bucket's hub, if their sizes are alike and they are in different groups."""
+    """(hub, member): each member with its bucket's hub, if their sizes are alike and they are in different groups."""
     met = util.attach(members, hubs, ["h"], "size", ["cls"], 200_000).where("hub IS NOT NULL")
     alike = F.least("hub.n", "n") >= LEAST * F.greatest("hub.n", "n")
-    return met.where(alike & (F.col("hub.root") != F.col("root"))).select(F.least("hub.cls", "cls").alias("a"), F.greatest("hub.cls", "cls").alias("b"))
-
-
-def verified(pairs: DataFrame, details: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that are alike."""
-    side = lambda c: details.select(F.col("cls").alias(c), F.col("hashes").alias(f"h_{c}"))
-    both = pairs.distinct().join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
+    return met.where(alike & (F.col("hub.root") != F.col("root"))).select(F.col("hub.cls").alias("hub"), F.col("cls").alias("member"))
+
+
+def verified(pairs: DataFrame, details: DataFrame, cell: int = 256) -> DataFrame:
+    """(a, b): the pairs (hub, member) of classes that are alike.
+
+    A member brings its own set, a hub's is there once for each ``cell`` of its members: a hub that a third of all texts
+    resemble is many keys, and its set is not copied for each of them."""
+    pairs = util.save(pairs.distinct(), "copy-asked")
+    hubs = util.save(pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n")), "copy-asked-hubs")
+    cells = F.ceil(F.col("n") / cell).cast("int")
+    own = details.select("cls", "hashes")
+    there = hubs.join(own.hint("merge"), F.col("hub") == F.col("cls")).select("hub", F.explode(F.sequence(F.lit(0), cells - 1)).alias("cell"), F.col("hashes").alias("h_a"))
+    dealt = util.attach(pairs, hubs, ["hub"], "n", ["member"], 200_000).select("hub", F.pmod(F.hash("member"), cells).alias("cell"), "member")
+    asked = dealt.join(own.hint("merge"), F.col("member") == F.col("cls")).select("hub", "cell", "member", F.col("hashes").alias("h_b"))
+    both = asked.join(there.hint("merge"), ["hub", "cell"])
     shared = F.size(F.array_intersect("h_a", "h_b"))
     union = F.size("h_a") + F.size("h_b") - shared
-    return both.where(shared >= F.ceil(F.round(LEAST * union, 6))).select("a", "b")
+    return both.where(shared >= F.ceil(F.round(LEAST * union, 6))).select(F.least("hub", "member").alias("a"), F.greatest("hub", "member").alias("b"))
 
 
 def fingerprint_pairs(classes: DataFrame) -> DataFrame:
-    """(a, b) of classes (cls, n, fp) of like size whose fingerprints are within ``RADIUS`` bits: the least class of each fingerprint with the
+    """(hub, member) of classes (cls, n, fp) of like size whose fingerprints are within ``RADIUS`` bits: the least class of each fingerprint with the
     others of it, and the least classes of linked fingerprints."""
     first = util.save(classes.groupBy("fp").agg(F.min(F.struct("cls", "n")).alias("first")), "copy-fingerprints")
     links = simhash.links(first.select("fp"), RADIUS)
@@ -168,7 +177,7 @@ def fingerprint_pairs(classes: DataFrame) -> DataFrame:
     apart = links.join(side("a"), "a").join(side("b"), "b").select(F.col("first_a").alias("x"), F.col("first_b").alias("y"))
     same = classes.join(first, "fp").select(F.col("first").alias("x"), F.struct("cls", "n").alias("y")).where("x.cls <> y.cls")
     alike = F.least("x.n", "y.n") >= LEAST * F.greatest("x.n", "y.n")
-    return apart.union(same).where(alike).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
+    return apart.union(same).where(alike).select(F.col("x.cls").alias("hub"), F.col("y.cls").alias("member"))
 
 
 def survivors(docs: DataFrame) -> DataFrame:
@@ -186,13 +195,13 @@ def survivors(docs: DataFrame) -> DataFrame:
     members = util.save(util.attach(entries, buckets, ["h"], "size", ["cls"], 200_000).where("size IS NOT NULL"), "copy-members")
     weights = members.groupBy("cls").agg(F.sum("size").alias("weight"))
     members = util.save(members.join(weights, "cls").select("h", "cls", "n", "size", "weight", F.col("cls").alias("root")), "copy-members")
-    asked = members.select("cls").union(near.select("a")).union(near.select("b")).distinct()
+    asked = members.select("cls").union(near.select("hub")).union(near.select("member")).distinct()
     wanted = util.save(asked.join(classes.select("cls", "least.key"), "cls").select("key"), "copy-candidates")
     texts = docs.select(key.alias("key"), "text").join(util.hinted(wanted, 200_000), "key", "left_semi").select("text")
     details = util.save(texts.mapInArrow(_details, "cls long, hashes array<bigint>, sign binary").dropDuplicates(["cls"]), "copy-details")
     best = F.max(F.struct("weight", "cls", "n", "root")).alias("hub")
     hubs = util.save(members.groupBy("h").agg(best, F.first("size").alias("size")), "copy-hubs")
-    found = util.save(verified(hub_pairs(members, hubs).union(near.select("a", "b")), details), "copy-links")
+    found = util.save(verified(hub_pairs(members, hubs).unionByName(near), details), "copy-links")
     roots = util.save(simhash.components(found), "copy-roots")
     for last in (False, True):
         now = members.drop("root").where("size > 2").join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls")).drop("node")
