@@ -23,7 +23,10 @@ count once, the least quality and the greatest toxicity win; an empty table give
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -97,16 +100,30 @@ def fit(scored: DataFrame, targets: dict[str, float] = TARGETS, most_steps: int
     n, p, k = F.col("m_n"), F.col("m_p"), len(DOMAINS)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
 
-    def sums(r: Column) -> list[Column]:
-        """Expected tokens by domain, and the Gram matrix of the documents whose rate is not zero."""
-        free = F.when(r > 0, n).otherwise(0)
-        return [*[F.sum(r * n * p[i]) for i in range(k)], *[F.sum(free * p[i] * p[j]) for i, j in pairs]]
-
     def tried(steps: list[list[float]], moves: list[np.ndarray]) -> list[np.ndarray]:
-        given = F.array(*[F.array(*[F.lit(float(x)) for x in m]) for m in moves])
-        moved = F.transform(given, lambda m: F.greatest(F.lit(0.0), rate(steps, p) - sum(m[i] * p[i] for i in range(k))))
-        rows = alike.select("m_n", "m_p", F.posexplode(moved).alias("move", "r")).groupBy("move").agg(F.array(*sums(F.col("r"))).alias("s"))
-        return [np.array(x["s"]) for x in rows.orderBy("move").collect()]  # a row a move
+        """For each move: expected tokens by domain, and the Gram matrix of the documents whose rate is not zero.
+
+        Steps go to the tasks as numbers, so all rounds have one plan, whatever has been done before."""
+
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros((len(moves), k + len(pairs)))
+            for b in batches:
+                m = b.column("m_n").to_numpy().astype(float)
+                q = b.column("m_p").flatten().to_numpy().reshape(-1, k)
+                r = np.ones(len(m))
+                for s in steps:
+                    r = np.maximum(0.0, r - q @ np.array(s))
+                both = np.stack([q[:, i] * q[:, j] for i, j in pairs], 1)
+                for c, move in enumerate(moves):
+                    now = np.maximum(0.0, r - q @ move)
+                    sums[c] += np.append((now * m) @ q, np.where(now > 0, m, 0.0) @ both)
+            at = np.indices(sums.shape).reshape(2, -1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(at[0]), pa.array(at[1]), pa.array(sums.ravel())], ["move", "cell", "v"])
+
+        out = np.zeros((len(moves), k + len(pairs)))
+        for c, cell, v in alike.mapInArrow(task, "move int, cell int, v double").groupBy("move", "cell").agg(F.sum("v")).collect():  # nine cells a move
+            out[c, cell] = v
+        return list(out)
 
     mass = np.array(alike.agg(*[F.sum(n * p[i]) for i in range(k)]).first()[:])
     if mass[0] is None:
