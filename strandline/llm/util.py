@@ -74,5 +74,7 @@ def ascii_lower(text: Column) -> Column:
 
 
 def row_key(*cols: str) -> Column:
-    """A 96-bit key of a row's columns: repeated rows share it, so whatever is decided for one holds for all."""
-    return F.struct(F.xxhash64(*cols).alias("a"), F.hash(*cols).alias("b"))
+    """A 96-bit key of a row's columns and of which are null, as hashes pass nulls over: repeated rows share it, so whatever
+    is decided for one holds for all."""
+    each = [*cols, *[F.col(c).isNull() for c in cols]]
+    return F.struct(F.xxhash64(*each).alias("a"), F.hash(*each).alias("b"))
