@@ -63,3 +63,24 @@ def test_null_and_repeated_ids_are_decided_by_their_text(spark, tmp_path):
     rows = [(None, a, "en", "s", 1), (None, b + " " + item, "en", "s", 1), (7, c, "en", "s", 1), (7, d + " " + item, "en", "s", 1)]
     left = corpus_pipeline.decontaminate(spark, spark.createDataFrame(rows, DOC), str(tmp_path))
     assert sorted(left.select("doc_id", "text").collect(), key=str) == sorted([(None, a), (7, c)], key=str)
+
+
+def test_empty_tables_give_an_empty_corpus(spark, tmp_path):
+    for name, schema in (("documents", DOC), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and {"doc_id", "rate", "n_tokens"} <= set(out.columns)
+
+
+def test_a_hub_of_many_near_copies_is_dealt(spark):
+    """Pairs of one hub go into several cells and give the links that brute force gives."""
+    from strandline.llm import neardup
+
+    base = prose(200, 77).split(" ")
+    texts = [" ".join(base)] + [" ".join([*base[:k], f"x{k}", *base[k + 1 :]]) for k in range(5, 185, 6)] + [" ".join([*base[:60], *[f"y{k}w{j}" for j in range(120)]]) for k in range(3)]
+    sets = [set(neardup.shingle_set(t).tolist()) for t in texts]
+    details = spark.createDataFrame([(k, [x - (1 << 64) if x >> 63 else x for x in sorted(s)]) for k, s in enumerate(sets)], "cls long, hashes array<long>")
+    pairs = spark.createDataFrame([(0, k) for k in range(1, len(sets))] * 2, "hub long, member long")
+    got = sorted(tuple(r) for r in neardup.verified(pairs, details, cell=4).select("a", "b").collect())
+    assert got == [(0, k) for k in range(1, len(sets)) if len(sets[0] & sets[k]) >= 0.8 * len(sets[0] | sets[k])]
+    assert 20 < len(got) < len(sets) - 1
