@@ -7,8 +7,9 @@ partition's bound ``u`` sets k to ``floor((1 - least) * u) + 1``: whoever holds
 shingles at least, so unlike banded signatures the search loses nothing.
 
 A document's sketch is the set of its shingles whose hash is no greater than the greatest in any item's sketch, a MinHash sketch by
-threshold: it keeps its share of a short passage however long the document is, which a sketch of fixed size would not.
-Sketches meet on equal hashes; candidates are verified by counting the shared shingles themselves, as text.
+threshold: it keeps its share of a short passage however long the document is, which a sketch of fixed size would not. A short item's
+greatest is high, so one threshold would let half of all shingles through; a map of ``2 ** MAP_BITS`` bits, one for each leading part of a
+hash that some sketch has, stops nearly all of them before they are joined (and none that a sketch has). Sketches meet on equal hashes; candidates are verified by counting the shared shingles themselves, as text.
 
 All is DataFrame expressions. Words are hashed once and shingles by their words' hashes. Documents are exploded to their sketches inside the probing join and never grouped as a whole;
 the sketch table is broadcast only below a counted size. A shingle that a third of the documents share gives one
@@ -22,6 +23,8 @@ shingles; items without an item_id are left out; extra columns are ignored; empt
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +33,8 @@ from . import util
 WIDTH = 5
 #: Ratio of the size bounds of neighbouring partitions.
 GROWTH = 1.25
+#: Bits of a hash that the map of sketches goes by: the map is a literal of 64 kB, whatever the number of items.
+MAP_BITS = 18
 
 
 def _words(text: Column) -> Column:
@@ -66,12 +71,24 @@ def sketches(benchmark: DataFrame, least: float) -> DataFrame:
     return sized.select("item_id", F.explode(F.slice("hs", F.lit(1), depth)).alias("h"))
 
 
+def mapped(sketch: DataFrame) -> Callable[[Column], Column]:
+    """A test of hashes: whether their leading bits are those of some hash of a sketch. What is collected is a row for each 32 places."""
+    place = lambda h: F.shiftrightunsigned(h, 64 - MAP_BITS)
+    at = sketch.select(F.shiftright(place(F.col("h")), 5).alias("cell"), F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(h, {64 - MAP_BITS}) & 31 AS INT))").alias("bit"))
+    bits = [0] * (1 << MAP_BITS - 5)
+    for cell, bit in at.groupBy("cell").agg(F.bit_or("bit")).collect():
+        bits[cell] = bit
+    known = F.expr(f"array({','.join(f'{b}L' for b in bits)})")
+    return lambda h: F.getbit(F.get(known, F.shiftright(place(h), 5).cast("int")), place(h).bitwiseAND(F.lit(31)).cast("int")) == 1
+
+
 def search(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame:
     """doc_id, item_id, n_item_shingles, n_shared, containment, for each item that a document holds."""
     items = util.save(shingles(benchmark, ["item_id"], "text").distinct(), "item-shingles")
     sketch = util.save(sketches(benchmark, least), "item-sketches")
     limit = sketch.agg(F.max("h")).first()[0]
-    own = F.filter(hashes(F.col("text")), lambda h: h <= F.lit(limit).cast("long"))
+    known = mapped(sketch)
+    own = F.filter(hashes(F.col("text")), lambda h: (h <= F.lit(limit).cast("long")) & known(h))
     probe = docs.select("doc_id", F.explode(own).alias("h"))
     candidates = util.save(probe.join(util.hinted(sketch, 500_000), "h").select("doc_id", "item_id").distinct(), "leak-candidates")
     suspects = candidates.select("doc_id").distinct()
