@@ -282,6 +282,10 @@ def fit(counted: DataFrame, ridge: float = 0.1, rounds: int = 50) -> Model:
     return Model(w[: MARKS * k].reshape(k, MARKS), w[MARKS * k : -2].reshape(k, k), np.diag([*[w[-2]] * NONE, w[-1]]))
 
 
+#: A message that changes by less is still.
+STILL = 1e-5
+
+
 def beliefs(own: list[tuple], known: list[int | None], model: Model) -> np.ndarray:
     """Loopy belief propagation until messages no longer change: a row of label probabilities for each variable."""
     n, labels = len(own), NONE + 1
@@ -304,19 +308,25 @@ def beliefs(own: list[tuple], known: list[int | None], model: Model) -> np.ndarr
     pots = np.stack([model.chain, model.chain.T, model.skip])
     which = np.concatenate((np.repeat([0, 2], [len(chain), len(links)]), np.repeat([1, 2], [len(chain), len(links)])))
     back = np.concatenate((np.arange(len(a)) + len(a), np.arange(len(a))))
-    msg = np.zeros((len(src), labels))
-    for _ in range(max(50, len(a))):  # news travels a link a round
-        total = unary.copy()
-        np.add.at(total, dst, msg)
-        out = (total[src] - msg[back])[:, :, None] + pots[which]
+    # messages by their source, so that what leaves a variable is found at once
+    order = np.argsort(src, kind="stable")
+    first = np.searchsorted(src[order], np.arange(n + 1))
+    msg, total, now = np.zeros((len(src), labels)), unary.copy(), np.arange(len(src))
+    for _ in range(max(50, len(a))):  # news travels a link a round, and only where there is news is anything computed
+        out = (total[src[now]] - msg[back[now]])[:, :, None] + pots[which[now]]
         top = out.max(1)
         new = top + np.log(np.exp(out - top[:, None, :]).sum(1))
-        new = 0.5 * msg + 0.5 * (new - new.max(1, keepdims=True))
-        moved, msg = np.abs(new - msg).max(), new
-        if moved < 1e-4:
+        new = 0.5 * msg[now] + 0.5 * (new - new.max(1, keepdims=True))
+        step = new - msg[now]
+        msg[now] = new
+        np.add.at(total, dst[now], step)
+        moved = now[np.abs(step).max(1) >= STILL]
+        if not len(moved):
             break
-    total = unary.copy()
-    np.add.at(total, dst, msg)
+        heard = np.unique(dst[moved])
+        size = first[heard + 1] - first[heard]
+        leaving = order[np.repeat(first[heard] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())]
+        now = np.union1d(moved, leaving)
     p = np.exp(total - total.max(1, keepdims=True))
     return p / p.sum(1, keepdims=True)
 

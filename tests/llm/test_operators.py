@@ -485,3 +485,87 @@ def test_mixing_reaches_the_least_squares_optimum(spark, targets):
     for _ in range(50_000):
         r = np.maximum(0, r - p @ (((r * n) @ p - goal) / mass))
     assert got.min() >= 0 and error(got) <= 1.1 * error(r) + 1e-6 * mass.sum()
+
+
+def test_rows_with_nulls_in_different_places_keep_their_own_lines(spark):
+    """The keys of (1, L, null) and (1, null, L) differ, though hashes pass nulls over."""
+    line = "the same four words everywhere"
+    rows = [(i, f"{line}\nown text number {i} here", "en", f"s{i}", 1) for i in range(12)] + [(1, line, "en", None, 1), (1, None, "en", line, 1), (None, line, "en", "1", 1)]
+    got = {(r["doc_id"], r["source"]): (r["text"], r["n_lines"], r["n_removed_lines"]) for r in linededup.dedup(spark.createDataFrame(rows, DOC)).collect()}
+    assert got[(1, None)] == ("", 1, 1) and got[(1, line)] == (None, 0, 0) and got[(None, "1")] == ("", 1, 1)
+    assert all(got[(i, f"s{i}")] == (f"own text number {i} here", 2, 1) for i in range(12))
+
+
+def test_few_shingles_of_documents_are_probed(spark):
+    """A short item's threshold lets half of all shingles through; the map stops those that no sketch has, and none that one has."""
+    items = spark.createDataFrame([(k, prose(6 + 40 * (k % 3), 400 + k)) for k in range(30)], "item_id long, text string")
+    sketch = util.save(decontam.sketches(items, 0.8), "sketch")
+    known = decontam.mapped(sketch)
+    assert sketch.where(~known(F.col("h"))).count() == 0
+    limit = sketch.agg(F.max("h")).first()[0]
+    seen = frame(spark).select(F.explode(decontam.hashes(F.col("text"))).alias("h"))
+    passed = seen.agg(F.avg((F.col("h") <= limit).cast("int")).alias("a"), F.avg(((F.col("h") <= limit) & known(F.col("h"))).cast("int")).alias("b")).first()
+    assert passed["a"] > 0.2 and passed["b"] < 0.02
+
+
+def test_planted_urls_are_told_apart_and_few_examples_block_nothing_likely(spark):
+    rng = random.Random(12)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(8))
+    url = lambda host, letters: f"http://{host}/{word(letters)}/{word(letters)}"
+    good, bad = "abcdefgh", "qrstuvwxyz"
+    rules = [("allow", "good.net", "/"), ("block", "bad.org", "/")]
+    pages = [(k, url("good.net", good)) for k in range(400)] + [(1000 + k, url("bad.org", bad)) for k in range(400)]
+    pages += [(5000 + k, url("some.io", good)) for k in range(60)] + [(6000 + k, url("some.io", bad)) for k in range(60)]
+    got = {r["page_id"]: r for r in urlfilter.judge(spark.createDataFrame(pages, "page_id long, url string"), rules).collect()}
+    assert sum(got[5000 + k]["verdict"] == "block" for k in range(60)) <= 1 and sum(got[6000 + k]["verdict"] == "block" for k in range(60)) >= 58
+    few = [p for p in pages if p[0] < 20 or 1000 <= p[0] < 1020 or p[0] >= 5000]
+    open_ = [r for r in urlfilter.judge(spark.createDataFrame(few, "page_id long, url string"), rules).collect() if r["rule"] is None]
+    assert all(r["ratio"] < 0 for r in open_ if r["verdict"] == "block")
+
+
+def test_distances_and_scores_of_languages(spark):
+    """Against counting strings one by one."""
+    size = 40
+
+    def ranked(text):
+        words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+        n = Counter()
+        for w in words:
+            w = f" {w} "
+            n.update(g for k in (1, 2, 3) for g in (w[i : i + k] for i in range(len(w) - k + 1)) if g.strip() and g != " ")
+        return [g for g, _ in sorted(n.items(), key=lambda x: (-x[1], [ord(c) for c in x[0]] + [0] * (3 - len(x[0]))))][:size]
+
+    rng = random.Random(8)
+    letters = {"aa": "abcdeé", "bb": "abcxyz", "cc": "деабвж"}
+    text = lambda of, n: " ".join("".join(rng.choice(of) for _ in range(rng.randint(1, 6))) for _ in range(n))
+    train = [(text(of, 200), lang) for lang, of in letters.items() for _ in range(2)]
+    docs = [(k, False, text(rng.choice(list(letters.values())), rng.randint(1, 40)) + rng.choice(["", " 12!", "\nÀB"])) for k in range(60)] + [(100, True, "a"), (101, False, "1 2 3"), (102, False, None), (None, False, "abc abc")]
+    found = langid.profiles(spark.createDataFrame(train, "text string, lang string"), size)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(spark.createDataFrame(docs, "doc_id long, held_out boolean, text string"), found, size).collect()}
+    profile = {lang: {g: k for k, g in enumerate(ranked(" ".join(t for t, x in train if x == lang)))} for lang in letters}
+    for doc_id, _, t in docs:
+        own = ranked(t or "")
+        if not own:
+            assert got[doc_id] == ("und", 0.0)
+            continue
+        far = {lang: sum(abs(p[g] - k) if g in p else size for k, g in enumerate(own)) for lang, p in profile.items()}
+        best = min(sorted(far), key=far.get)
+        assert got[doc_id][0] == best and math.isclose(got[doc_id][1], 1 - far[best] / (len(own) * size), abs_tol=1e-12)
+
+
+def test_a_text_of_fifty_thousand_numbers_is_searched_in_one_go():
+    """Only messages that still move are computed, so a long text full of numbers is no quadratic work; planted mentions are still found."""
+    import time
+
+    k = pii.NONE + 1
+    rng = random.Random(4)
+    node = np.zeros((k, pii.MARKS))
+    model = pii.Model(node, np.zeros((k, k)), np.diag([6.0] * pii.NONE + [0.5]))
+    phone = "+49 (30) 1234-5678"
+    text = " w ".join([phone] + [str(rng.randrange(10**6, 10**7)) for _ in range(50_000)] + ["493012345678", "end"])
+    base = pii.base_spans(text)
+    own, known = pii.variables(text, base)
+    assert len(own) > 50_000 and any(y is not None for y in known)
+    began = time.time()
+    p = pii.beliefs(own, known, model)
+    assert time.time() - began < 60 and np.isfinite(p).all() and np.allclose(p.sum(1), 1)
