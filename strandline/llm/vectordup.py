@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import simhash, util
 
-LEAST, PROBES, MISS, BLOCK = 0.98, 3, 1e-6, 256
+LEAST, PROBES, MISS, BLOCK = 0.98, 1, 1e-6, 256
 #: Vectors of other hashes that a bucket's home holds by chance, at most.
 STRAY = 1 / 32
 
@@ -115,11 +115,20 @@ def meet(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, :1] == b).any(2) | (b[:, :, :1] == a).any(2)
 
 
+def packed(v: list[float], single: bool) -> bytes:
+    """A vector's components as they came, singles in half the room: a mark of the kind, then they."""
+    return b"4" + np.array(v, "<f4").tobytes() if single else b"8" + np.array(v, "<f8").tobytes()
+
+
+def length(body: bytes) -> int:
+    return (len(body) - 1) // (4 if body[:1] == b"4" else 8)
+
+
 def unit(bodies: list[bytes], width: int) -> np.ndarray:
     """Unit vectors of doubles, filled up with zeros."""
     out = np.zeros((len(bodies), width))
     for k, b in enumerate(bodies):
-        v = np.frombuffer(b, "<f8")
+        v = np.frombuffer(b, "<f4" if b[:1] == b"4" else "<f8", offset=1)
         out[k, : len(v)] = v
     out /= np.abs(out).max(1, keepdims=True)
     return out / np.linalg.norm(out, axis=1, keepdims=True)
@@ -127,7 +136,7 @@ def unit(bodies: list[bytes], width: int) -> np.ndarray:
 
 def prepared(vectors: DataFrame) -> DataFrame:
     """vec_id, and of vectors that may link g (their label and length), a, b (a key of label and vector) and v; else null."""
-    v = F.col("embedding").cast("array<double>")
+    v = F.col("embedding")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     fine = F.coalesce(fine & F.col("label").isNotNull(), F.lit(False))
     made = {"g": F.xxhash64("label", F.size(v)), "a": F.xxhash64("label", v), "b": F.xxhash64(v, "label", F.lit(1)), "v": v}
@@ -136,15 +145,16 @@ def prepared(vectors: DataFrame) -> DataFrame:
 
 def listed(classes: DataFrame, hashes: dict[int, tuple[int, int]]) -> DataFrame:
     """cid, g, size, body, sig: the hashes of all tables, the home of each first."""
+    single = "float" in classes.schema["v"].dataType.simpleString()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, Hashes] = {}
         for whole in batches:
             for s in range(0, whole.num_rows, 512):
                 b = whole.slice(s, 512)
-                bodies, g = [np.array(x, "<f8").tobytes() for x in b.column("v").to_pylist()], b.column("g").to_numpy().view(np.uint64)
+                bodies, g = [packed(x, single) for x in b.column("v").to_pylist()], b.column("g").to_numpy().view(np.uint64)
                 sigs: list = [None] * len(bodies)
-                sizes = np.array([len(x) // 8 for x in bodies])
+                sizes = np.array([length(x) for x in bodies])
                 for dims in np.unique(sizes):
                     own = np.flatnonzero(sizes == dims)
                     h = made.setdefault(int(dims), Hashes(int(dims), *hashes[int(dims)]))
@@ -170,7 +180,7 @@ def centres(large: DataFrame) -> DataFrame:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             bodies = b.column("body").to_pylist()
-            u = unit(bodies, max(len(x) // 8 for x in bodies)) if bodies else []
+            u = unit(bodies, max(map(length, bodies))) if bodies else []
             for h, x in zip(b.column("h").to_pylist(), u):
                 old = sums.get(h)
                 if old is None or len(old) < len(x):
@@ -199,7 +209,7 @@ def crowds(large: DataFrame) -> DataFrame:
             bodies, centre = b.column("body").to_pylist(), b.column("centre").to_pylist()
             if not bodies:
                 continue
-            width = max(*[len(x) // 8 for x in bodies], *[len(x) for x in centre])
+            width = max(*map(length, bodies), *map(len, centre))
             c = np.zeros((len(bodies), width))
             for k, x in enumerate(centre):
                 c[k, : len(x)] = x
@@ -248,7 +258,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         side, cid, g, size, crowd = (t.column(c).to_numpy() for c in ("side", "cid", "g", "size", "crowd"))
         home, other = (t.column(c).to_numpy(zero_copy_only=False) for c in ("home", "other"))
         bodies = t.column("body").to_pylist()
-        u = unit(bodies, max(len(x) // 8 for x in bodies))
+        u = unit(bodies, max(map(length, bodies)))
         mine, those = (np.arange(len(u)),) * 2 if side[0] == 0 else (np.flatnonzero(side == 2), np.flatnonzero(side == 1))
         if not len(mine) or not len(those):
             return None
