@@ -205,8 +205,8 @@ def corwin_schultz(spark, d):
     w = fw.by()
     h, l, h1, l1 = F.col("high"), F.col("low"), F.lag("high").over(w), F.lag("low").over(w)
     k = 3 - 2 * 2**0.5
-    beta = F.pow(F.log(h / l), 2) + F.pow(F.log(h1 / l1), 2)
-    gamma = F.pow(F.log(F.greatest(h, h1) / F.least(l, l1)), 2)
+    span = lambda a, b: F.pow(fw.ln(fw.quotient(a, b)), 2)
+    beta, gamma = span(h, l) + span(h1, l1), span(F.greatest(h, h1), F.least(l, l1))
     rows = hourly(spark, d).withColumn("a", (F.sqrt(2 * beta) - F.sqrt(beta)) / k - F.sqrt(gamma / k))
     return rows.select("symbol", "bar", r(F.when(F.col("idx") > 0, F.greatest(F.lit(0.0), 2 * (F.exp("a") - 1) / (1 + F.exp("a"))))).alias("spread"))
 
