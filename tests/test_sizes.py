@@ -26,3 +26,9 @@ def test_spread_where_a_bar_touches_zero(spark, tmp_path):
     events.write.parquet(str(tmp_path / "events.parquet"))
     got = [r["spread"] for r in __spark_entry__.queries()["corwin_schultz"](spark, str(tmp_path)).orderBy("bar").collect()]
     assert got[0] is None and math.isnan(got[1]) and math.isnan(got[2]) and got[3] == got[3]
+
+
+def test_a_price_of_zero_turned_over(spark):
+    rows = [("a", k, p, p, p, p) for k, p in enumerate([2.0, 4.0, 0.0, 8.0])]
+    got = front.mirrored(spark.createDataFrame(rows, "symbol string, idx long, open double, high double, low double, close double"), 1).orderBy("idx").collect()
+    assert [r["close"] for r in got] == [2.0, 4.0, math.inf, 2.0]
