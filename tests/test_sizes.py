@@ -48,3 +48,9 @@ def test_log_return_of_a_run_that_loses_nearly_all(spark):
     book = rows.select("symbol", F.lit("x").alias("run"), F.col("idx").alias("bar"), "open", "close", F.col("t").alias("weight"))
     again = engine.run_weights(book, ["run"], engine.Model(fee_bps=5.0, slip_bps=0.0)).first()
     assert again["fills"] == 400 and math.isclose(again["log_return"], want, rel_tol=1e-9)
+
+
+def test_journal_of_a_run_that_loses_nearly_all():
+    price, target = losing(200)
+    _, trades = engine.simulate(price, price, price, price, target, engine.Model())
+    assert [t["entry_idx"] for t in trades] == list(range(1, 600, 3))
