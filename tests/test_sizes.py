@@ -54,3 +54,17 @@ def test_journal_of_a_run_that_loses_nearly_all():
     price, target = losing(200)
     _, trades = engine.simulate(price, price, price, price, target, engine.Model())
     assert [t["entry_idx"] for t in trades] == list(range(1, 600, 3))
+
+
+def test_a_log_of_any_length_is_chained_in_one_pass(spark):
+    n = 30_000
+    rows = spark.range(2 * n).select((F.col("id") % 2).alias("log"), (F.floor(F.col("id") / 2) + 1).cast("int").alias("seq"), F.when(F.col("id") % 5 > 0, F.concat(F.lit("b"), F.col("id") % 7)).alias("body"))
+    made = evidence.chain(rows.repartition(5), "log", "seq", ["seq", "body"])
+    last = {}
+    for i in range(6):
+        body = f"b{i % 7}" if i % 5 else None
+        last[i % 2] = hashlib.sha256("|".join([last.get(i % 2, ""), str(i // 2 + 1), *([body] if body else [])]).encode()).hexdigest()
+    assert {r["log"]: r["hash"] for r in made.where("seq = 3").collect()} == last
+    forged = made.withColumn("body", F.when((F.col("log") == 1) & (F.col("seq") == 20_000), "x").otherwise(F.col("body")))
+    got = {r["log"]: (r["entries"], r["broken"]) for r in evidence.chained(forged, "log", "seq", ["seq", "body"]).collect()}
+    assert got == {0: (n, None), 1: (n, 20_000)}
