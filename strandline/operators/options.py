@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions import normal
 
@@ -68,11 +67,21 @@ def future_volatility(trades: DataFrame) -> DataFrame:
 
 
 def snapshots(trades: DataFrame) -> DataFrame:
-    """The open trades at each entry date of the book, as now. A trade is spread over the days it is open, and days without
-    an entry are dropped by an equality join: no range join over the whole book."""
-    days = trades.select(F.col("date").alias("now")).distinct()
-    open_ = trades.where("expiry > date").withColumn("now", F.explode(F.sequence(F.col("date"), F.date_sub("expiry", 1))))
-    return open_.join(days, "now", "left_semi")
+    """The open trades at each entry date of the book, as now, with s0: the latest underlying price that the book's open trades of the
+    symbol know at the time.
+
+    What is open is told by symbol, date and expiry alone, so the days and their prices are found on a row for each of these. Each symbol
+    and entry date then has one array of the days to come; a trade meets it once and is spread over its days afterwards, so the days of a
+    trade are never shuffled."""
+    terms = trades.groupBy("symbol", "date", "expiry").agg(F.max("trade_id").alias("_id"), F.max_by("underlying_price", "trade_id").alias("_px"))
+    days = terms.select(F.col("date").alias("now")).distinct()
+    terms = terms.where("expiry > date")
+    ahead = lambda rows: rows.withColumn("now", F.explode(F.sequence(F.col("date"), F.date_sub("expiry", 1))))
+    known = ahead(terms).join(days, "now", "left_semi").groupBy("symbol", "now").agg(F.max_by("_px", F.struct("date", "_id")).alias("s0"))
+    spans = ahead(terms.groupBy("symbol", "date").agg(F.max("expiry").alias("expiry")))
+    path = spans.join(known, ["symbol", "now"]).groupBy("symbol", "date").agg(F.collect_list(F.struct("now", "s0")).alias("_path"))
+    rows = trades.where("expiry > date").join(path, ["symbol", "date"])
+    return rows.withColumn("_path", F.filter("_path", lambda p: p["now"] < F.col("expiry"))).select(*trades.columns, F.inline("_path"))
 
 
 def stress(trades: DataFrame) -> DataFrame:
@@ -80,8 +89,7 @@ def stress(trades: DataFrame) -> DataFrame:
 
     The underlying is the latest price that the book's trades of the symbol know at the time."""
     snap = snapshots(trades.where("underlying_price IS NOT NULL AND iv_used IS NOT NULL"))
-    known = snap.groupBy("now", "symbol").agg(F.max_by("underlying_price", F.struct("date", "trade_id")).alias("s0"))
-    rows = snap.join(known, ["now", "symbol"]).withColumn("t", F.datediff("expiry", "now") / 365.0)
+    rows = snap.withColumn("t", F.datediff("expiry", "now") / 365.0)
     cases = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(move).alias("move"), F.lit(vol).alias("vol")) for j, (move, vol) in enumerate([(0.0, 1.0), *SCENARIOS])])
     rows = rows.select("*", F.inline(cases)).withColumns({"_s": F.col("s0") * (1 + F.col("move")), "_v": F.col("iv_used") * F.col("vol")})
     rows = priced(rows, s="_s", vol="_v").withColumn("_size", F.col("qty") * F.col("multiplier"))
@@ -93,9 +101,7 @@ def stress(trades: DataFrame) -> DataFrame:
 def margin(trades: DataFrame) -> DataFrame:
     """now, margin of the short options open at each entry date: a fifth of the underlying less what it is out of the money,
     a tenth of underlying or strike at least, and the premium."""
-    snap = snapshots(trades.where("underlying_price IS NOT NULL AND qty < 0"))
-    s0 = F.max_by("underlying_price", F.struct("date", "trade_id")).over(W.partitionBy("now", "symbol"))
-    rows = snap.withColumn("s0", s0)
+    rows = snapshots(trades.where("underlying_price IS NOT NULL AND qty < 0"))
     call = F.col("right") == "C"
     out = F.greatest(F.lit(0.0), F.when(call, F.col("strike") - F.col("s0")).otherwise(F.col("s0") - F.col("strike")))
     floor = 0.10 * F.when(call, F.col("s0")).otherwise(F.col("strike"))

@@ -68,3 +68,23 @@ def test_a_log_of_any_length_is_chained_in_one_pass(spark):
     forged = made.withColumn("body", F.when((F.col("log") == 1) & (F.col("seq") == 20_000), "x").otherwise(F.col("body")))
     got = {r["log"]: (r["entries"], r["broken"]) for r in evidence.chained(forged, "log", "seq", ["seq", "body"]).collect()}
     assert got == {0: (n, None), 1: (n, 20_000)}
+
+
+def test_open_days_are_not_shuffled(spark):
+    rng = random.Random(4)
+    rows = [(k, rng.choice("AB"), (d := rng.randrange(0, 300)), d + rng.randrange(-1, 60), float(rng.randrange(80, 120))) for k in range(4000)]
+    book = spark.createDataFrame(rows, "trade_id long, symbol string, d int, e int, underlying_price double")
+    day = lambda c: F.date_add(F.lit("2024-01-01").cast("date"), F.col(c))
+    book = book.withColumns({"date": day("d"), "expiry": day("e")}).localCheckpoint()
+    snap = options.snapshots(book)
+    since = lambda c: F.datediff(c, F.lit("2024-01-01"))
+    got = sorted(tuple(r) for r in snap.select("trade_id", since("now"), "s0").collect())
+    days, want = {r[2] for r in rows}, []
+    for now in sorted(days):
+        open_ = [r for r in rows if r[2] <= now < r[3]]
+        s0 = {s: max((r[2], r[0], r[4]) for r in open_ if r[1] == s)[2] for s in {r[1] for r in open_}}
+        want += [(r[0], now, s0[r[1]]) for r in open_]
+    assert got == sorted(want)
+    # spreading a trade over its days comes after the last exchange
+    plan = snap._jdf.queryExecution().sparkPlan().toString()
+    assert "inline" in plan[: plan.index("Join")]
