@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from strandline.functions import windows as fw
-from strandline.operators import alpha, engine, evidence, front, options
+from strandline.operators import alpha, engine, evidence, front, options, resample
 
 
 def test_prices_of_zero_divide_as_in_sql(spark):
@@ -106,3 +106,13 @@ def test_scores_are_dealt_without_a_row_a_draw(spark):
             order = sorted(one, key=lambda r: (int(hashlib.md5(f"1|{rep}|{b}|{r[0]}".encode()).hexdigest()[:8], 16), r[0]))  # noqa: B023
             want[rep, b] = float(np.corrcoef(ranks([r[2] for r in order]), ranks([r[3] for r in one]))[0, 1])
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-9) for k in want)
+
+
+def test_slots_of_a_bootstrap_are_never_broadcast(spark, monkeypatch):
+    rets = spark.range(40).select((F.col("id") % 2).alias("symbol"), F.floor(F.col("id") / 2).cast("long").alias("idx"), F.rand(1).alias("ret")).localCheckpoint()
+    of = lambda: sorted(tuple(r) for r in resample.bootstrap(rets, ["symbol"], 5, 2, 8).select("symbol", "rep", "idx", "ret").collect())
+    plan = lambda: resample.bootstrap(rets, ["symbol"], 5, 2, 8)._jdf.queryExecution().sparkPlan().toString()
+    got = of()
+    assert len(got) == 200 and "BroadcastHashJoin" in plan() and "BuildRight" in plan()
+    monkeypatch.setattr(resample, "MOST_BROADCAST", 3)
+    assert of() == got and "SortMergeJoin" in plan()
