@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from strandline.functions import windows as fw
-from strandline.operators import alpha, engine, evidence, front, options, resample
+from strandline.operators import alpha, engine, evidence, front, options, resample, stats
 
 
 def test_prices_of_zero_divide_as_in_sql(spark):
@@ -116,3 +116,26 @@ def test_slots_of_a_bootstrap_are_never_broadcast(spark, monkeypatch):
     assert len(got) == 200 and "BroadcastHashJoin" in plan() and "BuildRight" in plan()
     monkeypatch.setattr(resample, "MOST_BROADCAST", 3)
     assert of() == got and "SortMergeJoin" in plan()
+
+
+
+def test_correlations_by_tiles(spark):
+    rng = random.Random(6)
+    rows = [(f"k{k:02d}", t, rng.gauss(0, 1) if k % 9 else 1.0) for k in range(25) for t in range(300) if rng.random() < (0.7 if k % 5 else 0.01)]
+    rets = spark.createDataFrame(rows, "symbol string, bar long, ret double")
+    by = {}
+    for k, t, x in rows:
+        by.setdefault(k, {})[t] = x
+    want = {}
+    for a in by:
+        for b in by:
+            both = sorted(by[a].keys() & by[b].keys())
+            if a < b and len(both) >= 3:
+                x, y = np.array([by[a][t] for t in both]), np.array([by[b][t] for t in both])
+                want[a, b] = (len(both), float(np.corrcoef(x, y)[0, 1]) if x.std() > 1e-7 and y.std() > 1e-7 else None)
+    for block in (4, 1024):
+        got = {(r["a"], r["b"]): (r["n"], r["corr"]) for r in stats.correlations(rets, "symbol", "bar", block=block).collect()}
+        assert got.keys() == want.keys() and all(got[p][0] == n and (got[p][1] is None if c is None else math.isclose(got[p][1], c, abs_tol=1e-9)) for p, (n, c) in want.items())
+    strong = stats.correlations(rets, "symbol", "bar", strong=0.1, block=4).collect()
+    assert {(r["a"], r["b"]) for r in strong} == {p for p, (_, c) in want.items() if c is not None and abs(c) >= 0.1} != set()
+    assert "Join" not in str(stats.correlations(rets, "symbol", "bar")._jdf.queryExecution().optimizedPlan()).replace("Join Cross", "")
