@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import dsl
-from ..functions.windows import by, div
+from ..functions.windows import by, div, ln
 from . import backtest, resample
 
 #: Lengths of the mean that a candidate is held against, by turns.
@@ -24,10 +24,10 @@ RULES = (5, 10, 20)
 def markets(bars: DataFrame, n: int, seed: int = 1) -> DataFrame:
     """symbol, market, idx, open, high, low, close: the bars as market 0, and ``n`` markets of their moves dealt anew.
 
-    A bar's move, and how far it reached beyond open and close, stay together."""
+    A bar's move, and how far it reached beyond open and close, stay together; a low of zero stays one."""
     own = bars.select("symbol", F.col("idx").cast("long").alias("idx"), *[F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close")])
     moves = own.withColumns({
-        "r": F.log(div(F.col("close"), F.lag("close").over(by()))), "u": F.log(div(F.col("high"), F.greatest("open", "close"))), "d": F.log(div(F.col("low"), F.least("open", "close"))),
+        "r": ln(div(F.col("close"), F.lag("close").over(by()))), "u": ln(div(F.col("high"), F.greatest("open", "close"))), "d": ln(div(F.col("low"), F.least("open", "close"))),
         "_c": F.first("close").over(W.partitionBy("symbol").orderBy("idx").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)),
     }).where("idx > 0")
     dealt = resample.permuted(moves.select("symbol", (F.col("idx") - 1).alias("idx"), "r", "u", "d", "_c"), ["symbol"], n, seed)

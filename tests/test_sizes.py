@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from strandline.functions import windows as fw
-from strandline.operators import alpha, backtest, engine, evidence, front, options, resample, stats
+from strandline.operators import alpha, backtest, discover, engine, evidence, front, options, resample, stats
 
 
 def test_prices_of_zero_divide_as_in_sql(spark):
@@ -145,3 +145,10 @@ def test_fills_at_a_price_of_zero(spark):
     rows = spark.createDataFrame([(1, 0.0, 2.0), (1, 2.0, 0.0), (0, 0.0, 2.0), (1, 2.0, 4.0)], "side int, entry double, x double")
     got = [r["f"] for r in rows.select(backtest.factor(F.col("side"), F.col("entry"), F.col("x"), 0.0, 1.0).alias("f")).collect()]
     assert math.isnan(got[0]) and got[1] == 0.0 and math.isnan(got[2]) and got[3] == 2.0
+
+
+def test_null_markets_keep_lows_of_zero(spark):
+    rows = [("a", k, 5.0 + k % 3, 9.0, 0.0 if k == 4 else 1.0, 5.0 + (k + 1) % 3) for k in range(8)]
+    made = discover.markets(spark.createDataFrame(rows, "symbol string, idx long, open double, high double, low double, close double"), 3)
+    got = {r["market"]: r["n"] for r in made.groupBy("market").agg(F.sum((F.col("low") == 0).cast("long")).alias("n")).collect()}
+    assert got == {0: 1, 1: 1, 2: 1, 3: 1}
