@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from strandline.functions import windows as fw
-from strandline.operators import alpha, backtest, discover, engine, evidence, front, options, resample, stats
+from strandline.operators import alpha, backtest, discover, engine, evidence, front, options, resample, robust, stats
 
 
 def test_prices_of_zero_divide_as_in_sql(spark):
@@ -152,3 +152,13 @@ def test_null_markets_keep_lows_of_zero(spark):
     made = discover.markets(spark.createDataFrame(rows, "symbol string, idx long, open double, high double, low double, close double"), 3)
     got = {r["market"]: r["n"] for r in made.groupBy("market").agg(F.sum((F.col("low") == 0).cast("long")).alias("n")).collect()}
     assert got == {0: 1, 1: 1, 2: 1, 3: 1}
+
+
+def test_subsets_ranked_within_a_date(spark):
+    rng = random.Random(7)
+    rows = [(k, t, rng.choice([None, math.nan, round(rng.gauss(0, 1), 1)]) if k % 4 == 0 else rng.gauss(0, 1), rng.gauss(0, 0.1) if rng.random() < 0.9 else None) for k in range(23) for t in range(9) if rng.random() < 0.8 and not (k > 2 and t == 5)]
+    panel = spark.createDataFrame(rows, "symbol long, bar long, s double, ret double")
+    of = lambda df: {(r["rep"], r["bar"]): r["net"] for r in df.collect()}
+    want = of(robust.net_spread(robust.subsets(panel, 0.5, 70), "s", 4, 0.01, ("rep",)))
+    got = of(robust.subset_spreads(panel, "s", 4, 0.01, 0.5, 70))
+    assert got.keys() == want.keys() and all((got[k] is None) == (x is None) and (x is None or math.isclose(got[k], x, abs_tol=1e-12)) for k, x in want.items())
