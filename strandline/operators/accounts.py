@@ -34,14 +34,14 @@ def short_margin(rows: DataFrame, key: str, leverage: float, maintenance: float)
 def net_asset_value(fills: DataFrame, book: str, symbol: str, time: str) -> DataFrame:
     """book, time, cash, value: after each time's fills (qty signed, price, fee), positions at the last price that the book has seen of each symbol."""
     day = fills.groupBy(book, symbol, time).agg(F.sum("qty").alias("_q"), F.sum(F.col("qty") * F.col("price") + F.col("fee")).alias("_out"), F.max_by("price", "seq").alias("_px"))
-    times = day.select(book, time).distinct()
-    grid = times.join(day.select(book, symbol).distinct(), book)  # a book's days by its symbols
-    w = W.partitionBy(book, symbol).orderBy(time).rowsBetween(W.unboundedPreceding, 0)
-    grid = grid.join(day, [book, symbol, time], "left")
-    grid = grid.withColumns({"_h": F.sum(F.coalesce("_q", F.lit(0.0))).over(w), "_p": F.last("_px", True).over(w)})
-    one = grid.groupBy(book, time).agg(F.sum(F.coalesce("_out", F.lit(0.0))).alias("_out"), F.sum(F.coalesce(F.col("_h") * F.col("_p"), F.lit(0.0))).alias("value"))
-    cash = -F.sum("_out").over(W.partitionBy(book).orderBy(time).rowsBetween(W.unboundedPreceding, 0))
-    return one.withColumn("cash", cash).select(book, time, "cash", "value")
+    w = W.partitionBy(book, symbol).orderBy(time)
+    so_far = w.rowsBetween(W.unboundedPreceding, 0)
+    worth = F.coalesce(F.sum(F.coalesce("_q", F.lit(0.0))).over(so_far) * F.last("_px", True).over(so_far), F.lit(0.0))
+    # a position's worth changes at its own fills alone: changes are added up, days without a fill of a symbol make no row of it
+    day = day.withColumn("_w", worth).withColumn("_d", F.col("_w") - F.lag("_w", 1, 0.0).over(w))
+    one = day.groupBy(book, time).agg(F.sum(F.coalesce("_out", F.lit(0.0))).alias("_out"), F.sum("_d").alias("_d"))
+    past = W.partitionBy(book).orderBy(time).rowsBetween(W.unboundedPreceding, 0)
+    return one.select(book, time, (-F.sum("_out").over(past)).alias("cash"), F.sum("_d").over(past).alias("value"))
 
 
 def laplace(scale: float, *parts: Column | str | int) -> Column:

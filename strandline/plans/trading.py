@@ -215,9 +215,9 @@ _FILLED = "fl AS (SELECT l_suppkey AS account, CAST(l_partkey % 5 AS VARCHAR) AS
 
 
 def _account_fills(spark, d, *more):
-    w = W.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
-    return table(spark, d, "lineitem").select(
-        F.col("l_suppkey").alias("account"), (F.col("l_partkey") % 5).cast("string").alias("symbol"), F.row_number().over(w).alias("seq"),
+    w = W.partitionBy("account").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")  # by its new name, so that what follows finds accounts together
+    return table(spark, d, "lineitem").withColumn("account", F.col("l_suppkey")).select(
+        "account", (F.col("l_partkey") % 5).cast("string").alias("symbol"), F.row_number().over(w).alias("seq"),
         F.when(F.col("l_returnflag") == "N", F.col("l_quantity")).otherwise(-F.col("l_quantity")).alias("qty"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_tax").alias("fee"), *more,
     )
 

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from strandline.functions import windows as fw
-from strandline.operators import alpha, backtest, discover, engine, evidence, front, options, resample, robust, stats
+from strandline.operators import accounts, alpha, backtest, discover, engine, evidence, front, options, resample, robust, stats
 
 
 def test_prices_of_zero_divide_as_in_sql(spark):
@@ -162,3 +162,16 @@ def test_subsets_ranked_within_a_date(spark):
     want = of(robust.net_spread(robust.subsets(panel, 0.5, 70), "s", 4, 0.01, ("rep",)))
     got = of(robust.subset_spreads(panel, "s", 4, 0.01, 0.5, 70))
     assert got.keys() == want.keys() and all((got[k] is None) == (x is None) and (x is None or math.isclose(got[k], x, abs_tol=1e-12)) for k, x in want.items())
+
+
+def test_values_of_books_without_a_grid(spark):
+    rng = random.Random(8)
+    rows = [(b, s, t, k, float(rng.randint(-5, 5)), rng.randint(1, 40) / 4, 0.25) for k, (b, s, t) in enumerate((b, s, t) for b in range(3) for s in "xyz" for t in range(20) for _ in range(rng.randrange(3)))]
+    plan = accounts.net_asset_value(spark.createDataFrame(rows, "book long, symbol string, day long, seq long, qty double, price double, fee double"), "book", "symbol", "day")
+    want = {}
+    for b, t in {(r[0], r[2]) for r in rows}:
+        past = [r for r in rows if r[0] == b and r[2] <= t]
+        worth = sum(sum(r[4] for r in past if r[1] == s) * max((r[2], r[3], r[5]) for r in past if r[1] == s)[2] for s in {r[1] for r in past})
+        want[b, t] = (-sum(r[4] * r[5] + r[6] for r in past), worth)
+    assert {(r["book"], r["day"]): (r["cash"], r["value"]) for r in plan.collect()} == want
+    assert "Join" not in plan._jdf.queryExecution().optimizedPlan().toString()
