@@ -175,3 +175,15 @@ def test_values_of_books_without_a_grid(spark):
         want[b, t] = (-sum(r[4] * r[5] + r[6] for r in past), worth)
     assert {(r["book"], r["day"]): (r["cash"], r["value"]) for r in plan.collect()} == want
     assert "Join" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_latencies_drawn_without_a_row_a_draw(spark):
+    rng, hour = random.Random(9), 3_600_000_000
+    rows = [(s, rng.randrange(30 * hour), k, rng.uniform(1, 9), rng.choice([0, 5, 900_000, 10**7])) for k, s in enumerate("a" * 400 + "b" * 7)]
+    ticks = spark.createDataFrame(rows, "symbol string, us long, event_id long, price double, latency_ms long")
+    bars = spark.createDataFrame([(s, t, rng.gauss(0, 1)) for s in "ab" for t in range(34)], "symbol string, bar long, mkt double")
+    of = lambda df: {(r["rep"], r["symbol"]): r["total"] for r in df.collect()}
+    want = of(robust.arrival_returns(robust.redrawn(ticks, 6), 1000 * F.col("latency_ms"), bars, ("rep", "symbol"), hour))
+    for stretches in (1, 11):
+        got = of(robust.redrawn_returns(ticks, 6, 1000, bars, hour, stretches=stretches))
+        assert len(want) == 12 and got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-9) for k in want)
