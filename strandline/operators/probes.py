@@ -29,6 +29,12 @@ def positions(bars: DataFrame, signal: Signal, keys: list[str], name: str = "pos
     return made.select(*keys, "idx", F.coalesce(name, F.lit(0.0)).alias(name))
 
 
+def dealt(views: DataFrame, *keys: str) -> DataFrame:
+    """``views`` with each on its own among the tasks: a copy of a symbol's bars for each checkpoint is otherwise sorted where the symbol is, all
+    of them in one task, as rows by symbol are by symbol and checkpoint too. The number is given: small copies must not be merged again."""
+    return views.repartition(int(views.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def checkpoints(bars: DataFrame, full: DataFrame, checks: int) -> DataFrame:
     """symbol, at: even places from a tenth of the bars on, and as many of the bars where the position changes."""
     size = bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).withColumn("lo", F.greatest(F.lit(2), F.floor(F.col("n") / 10))).where("n - 2 > lo")
@@ -53,14 +59,14 @@ def truncation(bars: DataFrame, signal: Signal, checks: int = 8) -> DataFrame:
     """symbol, checkpoints, mismatches, first_bar, status: signals on prefixes against the whole."""
     full = positions(bars, signal, ["symbol"])
     points = checkpoints(bars, full, checks)
-    return _compare(bars.join(points, "symbol").where("idx <= at"), full, signal, points)
+    return _compare(dealt(bars.join(points, "symbol").where("idx <= at"), "symbol", "at"), full, signal, points)
 
 
 def perturbation(bars: DataFrame, signal: Signal, checks: int = 8) -> DataFrame:
     """The same with the future mirrored: prices after a checkpoint are scaled by the square of its close over theirs."""
     full = positions(bars, signal, ["symbol"])
     points = checkpoints(bars, full, checks)
-    at = bars.join(points, "symbol").withColumn("_c", F.max(F.when(F.col("idx") == F.col("at"), F.col("close"))).over(W.partitionBy("symbol", "at")))
+    at = dealt(bars.join(points, "symbol"), "symbol", "at").withColumn("_c", F.max(F.when(F.col("idx") == F.col("at"), F.col("close"))).over(W.partitionBy("symbol", "at")))
     ratio = div(F.col("_c"), F.col("close"))
     factor = F.when(F.col("idx") > F.col("at"), ratio * ratio).otherwise(1.0)
     views = at.withColumn("_f", factor).withColumns({c: F.col(c) * F.col("_f") for c in PRICES if c in bars.columns}).drop("_f", "_c")

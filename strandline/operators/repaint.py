@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 
 from ..functions.draws import gaussian
 from ..functions.windows import by, div
-from .probes import PRICES, Signal, checkpoints, positions
+from .probes import PRICES, Signal, checkpoints, dealt, positions
 
 #: Bars that a vendor restates at the end, by how much, and the rows that an invented future's volatility is taken from.
 REVISED, REVISION, RECENT = 3, 1.001, 256
@@ -59,7 +59,7 @@ def history(bars: DataFrame, signal: Signal, checks: int = 12, seed: int = 1) ->
     prefixes = bars.join(points, "symbol").where("idx <= at").withColumn("view", F.lit("prefix"))
     last = lambda df, name: df.join(ends, "symbol").select(*own, F.col("_last").alias("at"), F.lit(name).alias("view"))
     views = prefixes.unionByName(last(extended(bars, seed), "extended")).unionByName(last(revised(bars), "revised"))
-    return positions(views, signal, ["symbol", "view", "at"], "value").withColumnRenamed("at", "known_at")
+    return positions(dealt(views, "symbol", "view", "at"), signal, ["symbol", "view", "at"], "value").withColumnRenamed("at", "known_at")
 
 
 def changes(known: DataFrame) -> DataFrame:

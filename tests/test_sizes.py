@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import draws
 from strandline.functions import windows as fw
-from strandline.operators import accounts, alpha, backtest, discover, engine, evidence, front, options, resample, robust, stats
+from strandline.operators import accounts, alpha, backtest, discover, engine, evidence, front, options, probes, repaint, resample, robust, stats
 
 
 def test_prices_of_zero_divide_as_in_sql(spark):
@@ -215,3 +215,15 @@ def test_latencies_drawn_without_a_row_a_draw(spark):
     for stretches in (1, 11):
         got = of(robust.redrawn_returns(ticks, 6, 1000, bars, hour, stretches=stretches))
         assert len(want) == 12 and got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-9) for k in want)
+
+
+def test_views_of_a_symbol_are_dealt_among_tasks(spark):
+    rows = [("a", k, *[float(5 + k % 7)] * 4) for k in range(60)]
+    bars = spark.createDataFrame(rows, "symbol string, idx long, open double, high double, low double, close double")
+    signal = lambda c: (c["close"] > 8).astype(float)
+    for made, keys in ((repaint.history(bars, signal), 3), (probes.truncation(bars, signal), 2), (probes.perturbation(bars, signal), 2)):
+        plan = made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+        asked = [line for line in plan.split("\n") if "REPARTITION_BY_NUM" in line]
+        assert any(line.split("hashpartitioning(")[1].split(")")[0].count("#") == keys for line in asked), plan
+    one = probes.truncation(bars, signal).first()
+    assert one["mismatches"] == 0 and one["checkpoints"] > 8
