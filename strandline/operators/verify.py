@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 
 from ..functions import xsection
 from ..functions.windows import div
+from ..sources.scratch import saved
 from . import alpha, backtest, evidence, front, gram, probes, repaint, resample, search, stats
 
 #: Fills that come later (bars), costs (basis points a fill) that a strategy should live with.
@@ -99,16 +100,17 @@ def score(panel: DataFrame, name: str, forward: str, book: DataFrame, ret: str,
     """score, id, category, status, value: a score verified with all that applies to one, beside :func:`front.alpha_checks`: a placebo, its buckets and
     legs, and what its book's returns owe to known factors and to falling markets.
 
-    panel: symbol, bar, the score and its forward return; book: bar, the book's return ``ret``, market and the ``factors``."""
+    panel: symbol, bar, the score and its forward return, better written than planned, as every check reads it; book: bar, the book's return ``ret``, market and the ``factors``."""
     check = evidence.check
-    parts = [front.alpha_checks(panel, xsection.rank_ic(panel, name, forward), name, q, cost, periods)]
+    ics = saved(xsection.rank_ic(panel, name, forward), "ics")  # a row a date
+    parts = [front.alpha_checks(panel, ics, name, q, cost, periods)]
     subject = lambda df: df.withColumn("score", F.lit(name))
 
     def rows(one: DataFrame, *checks: Column) -> None:
         parts.append(evidence.rows(subject(one), ["score"], list(checks)))
 
     r6 = lambda c: F.round(c, 6)
-    rows(alpha.placebo(panel, name, forward, draws), check("placebo", "statistics", r6("p"), r6("p") > 0.5, r6("p") > 0.1))
+    rows(alpha.placebo(panel, name, forward, draws, ics=ics), check("placebo", "statistics", r6("p"), r6("p") > 0.5, r6("p") > 0.1))
     rows(alpha.monotonicity(alpha.bucket_means(panel, name, forward, q)), check("rising_buckets", "statistics", r6("rising"), warn=r6("rising") < 0.75))
     rows(alpha.leg_shares(panel, name, forward, q), check("short_leg", "economics", r6("short_share"), warn=r6("short_share") > 0.8))
     span = gram.spanning(book, [], ret, factors, periods).withColumn("_g", F.round("gain", 4))

@@ -11,7 +11,7 @@ from ..operators import accounts, engine, resample, robust, stats
 from ..sources.tables import HOUR, table, ticks
 from .base import BARS, TICKS, WS, full, hourly, query, r
 from .engines import _SD
-from .research import PANEL, _ic, panel
+from .research import PANEL, _ic, kept_panel
 from .resampling import RC, _draws, h, plain
 from .robust import COST, _net
 from .stats import RETS, _pick, returns
@@ -138,7 +138,7 @@ def repaint_live(spark, d):
 @query("breadth_consistency", f"WITH {PANEL}, vi AS (SELECT * FROM pn WHERE ret IS NOT NULL AND fwd IS NOT NULL), {_ic('ret', 'fwd', 'vi', 'bar')}, i AS (SELECT avg(ic) AS ic FROM ic), n AS (SELECT avg(n) AS names FROM (SELECT bar, count(ret) AS n FROM pn GROUP BY bar)) SELECT round(names, 6) AS names, round(ic * sqrt(names * 12), 6) + 0 AS implied, CASE WHEN round(ic, 9) <= 0 OR 1.5 > 2 * ic * sqrt(names * 12) THEN 'warn' ELSE 'pass' END AS status FROM i, n")
 def breadth_consistency(spark, d):
     """A claimed ratio of 1.5 against what skill and breadth imply."""
-    p = panel(spark, d)
+    p = kept_panel(spark, d)
     one = xsection.rank_ic(p, "ret", "fwd").agg(F.avg("ic").alias("ic")).crossJoin(p.groupBy("bar").agg(F.count("ret").alias("n")).agg(F.avg("n").alias("names")))  # one row each
     implied = F.col("ic") * F.sqrt(F.col("names") * 12)
     return one.select(r("names").alias("names"), r(implied).alias("implied"), F.when((F.round("ic", 9) <= 0) | (F.lit(1.5) > 2 * implied), "warn").otherwise("pass").alias("status"))
@@ -147,7 +147,7 @@ def breadth_consistency(spark, d):
 @query("known_anomalies", f"WITH {PANEL}, {_net('pn', name='n0')}, {_net('pn', name='n1', score='vol')}, {_net('pn', name='n2', score='close')}, k AS (SELECT 'size' AS name, bar, net FROM n1 UNION ALL SELECT 'price', bar, net FROM n2) SELECT name, round(corr(n0.net, k.net), 6) + 0 AS corr, CASE WHEN abs(corr(n0.net, k.net)) > 0.7 THEN 'warn' ELSE 'pass' END AS status FROM n0 JOIN k USING (bar) GROUP BY name")
 def known_anomalies(spark, d):
     """A score's net returns against those of plain scores that everyone knows."""
-    p = panel(spark, d)
+    p = kept_panel(spark, d)
     own = robust.net_spread(p, "ret", 5, COST).select("bar", F.col("net").alias("own"))
     known = robust.net_spread(p, "vol", 5, COST).withColumn("name", F.lit("size")).unionByName(robust.net_spread(p, "close", 5, COST).withColumn("name", F.lit("price")))
     c = known.join(own, "bar").groupBy("name").agg(F.corr("own", "net").alias("c"))

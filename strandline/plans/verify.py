@@ -6,7 +6,7 @@ from ..operators import evidence, verify
 from .base import BARS, SQL, WS, query, r
 from .market import _SIGNAL, _signals, trades_sql
 from .moments import _TERMS
-from .research import _strategy, panel
+from .research import _book, kept_panel
 from .resampling import _draws, trials
 from .robust import COST
 from .stats import RETS, returns
@@ -84,5 +84,6 @@ _SCORE = " UNION ALL ".join([
 @query("score_evidence", f"SELECT id, category, status, round(value, 5) + 0 AS value FROM ({_SCORE})")
 def score_evidence(spark, d):
     """Every check of a score and of the book that it makes."""
-    out = verify.score(panel(spark, d), "ret", "fwd", _strategy(spark, d), "r", _TERMS, 5, COST)
+    panel = kept_panel(spark, d)
+    out = verify.score(panel, "ret", "fwd", _book(panel), "r", _TERMS, 5, COST)
     return out.select("id", "category", "status", r("value", 5).alias("value"))

@@ -227,3 +227,15 @@ def test_views_of_a_symbol_are_dealt_among_tasks(spark):
         assert any(line.split("hashpartitioning(")[1].split(")")[0].count("#") == keys for line in asked), plan
     one = probes.truncation(bars, signal).first()
     assert one["mismatches"] == 0 and one["checkpoints"] > 8
+
+
+def test_checks_of_a_score_add_up_trades_once(spark, monkeypatch):
+    from strandline.plans import base, registry
+    from tests.test_queries import DIR
+
+    planned, monthly = [], base.monthly
+    monkeypatch.setattr("strandline.plans.research.monthly", lambda *a: planned.append(1) or monthly(*a))
+    for name in ("score_evidence", "validate_alpha", "universe_subsampling", "signal_placebo", "factor_spanning", "known_anomalies"):
+        planned.clear()
+        read = registry.QUERIES[name](spark, DIR).inputFiles()
+        assert len(planned) == 1 and read and not any("lineitem" in f for f in read), name
