@@ -6,6 +6,7 @@ Both texts come from one recipe: a rational approximation of the distribution fu
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,6 +37,22 @@ def cdf(x: str) -> Column:
     return F.expr(cdf_sql(x))
 
 
+def cdf_array(x: np.ndarray) -> np.ndarray:
+    """:func:`cdf_sql` of an array of doubles; NaN for NaN."""
+    a = np.minimum(np.abs(x), 37.0)
+    num, den = (np.full_like(a, c[0]) for c in (_NUM, _DEN))
+    for total, coefficients in ((num, _NUM), (den, _DEN)):
+        for c in coefficients[1:]:
+            total *= a
+            total += c
+    num /= den
+    if len(far := np.flatnonzero(a >= _TAIL)):
+        b = a[far]
+        num[far] = 1.0 / ((b + 1.0 / (b + 2.0 / (b + 3.0 / (b + 4.0 / (b + 0.65))))) * _ROOT_2PI)
+    num *= np.exp(-a * a / 2.0)
+    return np.where(x > 0, 1.0 - num, num)
+
+
 #: The inverse's central and tail coefficients, from the highest power down.
 _A = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
 _B = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0)

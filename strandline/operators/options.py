@@ -6,6 +6,11 @@ them, bid, ask, exit_price, iv_used, iv_asof, underlying_price, ex_div_date, div
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +43,24 @@ def priced(trades: DataFrame, t: str = "t", s: str = "underlying_price", vol: st
     return rows.withColumns({"price": F.expr(price_sql(s, "strike", t, vol, "right = 'C'", "d1")), "gamma": F.expr(gamma_sql(s, t, vol, "d1"))})
 
 
+def priced_arrays(s: np.ndarray, k: np.ndarray, t: np.ndarray, vol: np.ndarray, call: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Price and d1 by the formulas of :func:`price_sql` and :func:`d1_sql`, without rates."""
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        spread = vol * np.sqrt(t)
+        d1 = (np.log(s / k) + vol * vol / 2.0 * t) / spread
+        price = s * normal.cdf_array(d1) - k * normal.cdf_array(d1 - spread)
+        price = np.where(call, price, price - s + k)
+        if not (live := (t > 0) & (vol > 0)).all():
+            price = np.where(live, price, np.maximum(np.where(call, s - k, k - s), 0.0))
+    return price, d1
+
+
+def gamma_arrays(s: np.ndarray, t: np.ndarray, vol: np.ndarray, d1: np.ndarray) -> np.ndarray:
+    """:func:`gamma_sql` of arrays, without rates."""
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        return np.where((t > 0) & (vol > 0), np.exp(-d1 * d1 / 2.0) / 2.5066282746310002 / (s * vol * np.sqrt(t)), 0.0)
+
+
 def fills(trades: DataFrame) -> DataFrame:
     """With reported and touch: dollar result as filled, and with buys at the ask and sells at the bid (an exit without a
     quote pays half the entry's spread); with better (than the mid) and at_mid (within a twentieth of half the spread)."""
@@ -66,36 +89,80 @@ def future_volatility(trades: DataFrame) -> DataFrame:
     return trades.where("iv_used IS NOT NULL AND iv_asof > date").withColumn("days", F.datediff("iv_asof", "date"))
 
 
-def snapshots(trades: DataFrame) -> DataFrame:
-    """The open trades at each entry date of the book, as now, with s0: the latest underlying price that the book's open trades of the
-    symbol know at the time.
+def paths(trades: DataFrame) -> DataFrame:
+    """symbol, date, _path: the days (now) on which a trade of that symbol and entry date may be open, with s0, the latest underlying price
+    that the book's open trades of the symbol know at the time.
 
-    What is open is told by symbol, date and expiry alone, so the days and their prices are found on a row for each of these. Each symbol
-    and entry date then has one array of the days to come; a trade meets it once and is spread over its days afterwards, so the days of a
-    trade are never shuffled."""
+    What is open is told by symbol, date and expiry alone, so the days and their prices are found on a row for each of these."""
     terms = trades.groupBy("symbol", "date", "expiry").agg(F.max("trade_id").alias("_id"), F.max_by("underlying_price", "trade_id").alias("_px"))
     days = terms.select(F.col("date").alias("now")).distinct()
     terms = terms.where("expiry > date")
     ahead = lambda rows: rows.withColumn("now", F.explode(F.sequence(F.col("date"), F.date_sub("expiry", 1))))
     known = ahead(terms).join(days, "now", "left_semi").groupBy("symbol", "now").agg(F.max_by("_px", F.struct("date", "_id")).alias("s0"))
     spans = ahead(terms.groupBy("symbol", "date").agg(F.max("expiry").alias("expiry")))
-    path = spans.join(known, ["symbol", "now"]).groupBy("symbol", "date").agg(F.collect_list(F.struct("now", "s0")).alias("_path"))
-    rows = trades.where("expiry > date").join(path, ["symbol", "date"])
+    return spans.join(known, ["symbol", "now"]).groupBy("symbol", "date").agg(F.collect_list(F.struct("now", "s0")).alias("_path"))
+
+
+def snapshots(trades: DataFrame) -> DataFrame:
+    """The open trades at each entry date of the book, as now, with s0 of :func:`paths`. A trade meets the array of its symbol and entry date
+    once and is spread over its days afterwards, so the days of a trade are never shuffled."""
+    rows = trades.where("expiry > date").join(paths(trades), ["symbol", "date"])
     return rows.withColumn("_path", F.filter("_path", lambda p: p["now"] < F.col("expiry"))).select(*trades.columns, F.inline("_path"))
 
 
 def stress(trades: DataFrame) -> DataFrame:
     """now, gamma (dollars for one percent) and worst: the loss of the open book in the worse of two tail scenarios.
 
-    The underlying is the latest price that the book's trades of the symbol know at the time."""
-    snap = snapshots(trades.where("underlying_price IS NOT NULL AND iv_used IS NOT NULL"))
-    rows = snap.withColumn("t", F.datediff("expiry", "now") / 365.0)
-    cases = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(move).alias("move"), F.lit(vol).alias("vol")) for j, (move, vol) in enumerate([(0.0, 1.0), *SCENARIOS])])
-    rows = rows.select("*", F.inline(cases)).withColumns({"_s": F.col("s0") * (1 + F.col("move")), "_v": F.col("iv_used") * F.col("vol")})
-    rows = priced(rows, s="_s", vol="_v").withColumn("_size", F.col("qty") * F.col("multiplier"))
-    value = [F.sum(F.when(F.col("j") == j, F.col("_size") * F.col("price"))) for j in range(len(SCENARIOS) + 1)]
-    gamma = F.sum(F.when(F.col("j") == 0, F.col("_size") * F.col("gamma") * F.col("s0") * F.col("s0") * 0.01))
-    return rows.groupBy("now").agg(gamma.alias("gamma"), F.least(F.lit(0.0), *[v - value[0] for v in value[1:]]).alias("worst"))
+    The underlying is the latest price that the book's trades of the symbol know at the time. A task spreads its trades over their days, prices
+    them and adds up by day, so a trade is one row outside; the tasks are as many as asked for, as few bytes make much work."""
+    trades = trades.where("underlying_price IS NOT NULL AND iv_used IS NOT NULL")
+    ahead = paths(trades).select("symbol", "date", F.transform("_path", lambda p: F.unix_date(p["now"])).alias("_now"), F.col("_path.s0").alias("_s0"))
+    rows = trades.where("expiry > date").select(
+        "symbol", "date", F.unix_date("expiry").alias("_end"), (F.col("qty") * F.col("multiplier")).cast("double").alias("_size"), F.col("strike").cast("double").alias("_k"),
+        F.col("iv_used").cast("double").alias("_v"), F.coalesce(F.col("right") == "C", F.lit(False)).alias("_call"),
+    )
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "symbol", "date")
+    rows = rows.join(ahead, ["symbol", "date"]).select("_end", "_size", "_k", "_v", "_call", "_now", F.col("_s0").cast("array<double>").alias("_s0"))
+    sums = [f"v{j}" for j in range(len(SCENARIOS) + 1)]
+    parts = rows.mapInArrow(_stressed, f"now int, gamma double, {', '.join(f'{c} double' for c in sums)}")
+    total = parts.groupBy("now").agg(F.sum("gamma").alias("gamma"), *[F.sum(c).alias(c) for c in sums])
+    return total.select(F.date_from_unix_date("now").alias("now"), "gamma", F.least(F.lit(0.0), *[F.col(c) - F.col(sums[0]) for c in sums[1:]]).alias("worst"))
+
+
+def _stressed(batches: Iterator[pa.RecordBatch], step: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+    """now, gamma and the value of trades as it is and in each scenario, added up by day for a batch; null where no trade has a value."""
+    cases = [(0.0, 1.0), *SCENARIOS]
+    for b in batches:
+        if not len(b):
+            continue
+        end, size, k, v = (pc.fill_null(b.column(c).cast(pa.float64()), np.nan).to_numpy() for c in ("_end", "_size", "_k", "_v"))
+        call = b.column("_call").to_numpy(zero_copy_only=False)
+        day, s0 = pc.list_flatten(b.column("_now")).to_numpy(), pc.fill_null(pc.list_flatten(b.column("_s0")), np.nan).to_numpy()
+        own = np.repeat(np.arange(len(b)), pc.list_value_length(b.column("_now")).to_numpy())
+        open_ = np.flatnonzero(day < end[own])
+        if not len(open_):
+            continue
+        first = int(day[open_].min())
+        span = int(day[open_].max()) - first + 1
+        met, known = np.zeros(span, bool), np.zeros(span, np.int64)
+        sums = np.zeros((1 + len(cases), span))
+        for p in range(0, len(open_), step):  # what a processor's cache holds
+            at = open_[p : p + step]
+            i, s, now = own[at], s0[at], day[at] - first
+            held, strike, vol, kind, t = size[i], k[i], v[i], call[i], (end[i] - day[at]) / 365.0
+            there = ~(np.isnan(held) | np.isnan(strike))
+            met[now] = True
+            known += np.bincount(now, there, span).astype(np.int64)
+            for j, (move, factor) in enumerate(cases):
+                moved, wide = s * (1 + move), vol * factor
+                price, d1 = priced_arrays(moved, strike, t, wide, kind)
+                sums[1 + j] += np.bincount(now, np.where(there, held * price, 0.0), span)
+                if not j:
+                    sums[0] += np.bincount(now, np.where(there, held * gamma_arrays(moved, t, wide, d1) * s * s * 0.01, 0.0), span)
+        days = np.flatnonzero(met)
+        none = known[days] == 0
+        names = ["now", "gamma", *[f"v{j}" for j in range(len(cases))]]
+        yield pa.RecordBatch.from_arrays([pa.array((days + first).astype(np.int32)), *[pa.array(x[days], mask=none) for x in sums]], names)
 
 
 def margin(trades: DataFrame) -> DataFrame:

@@ -132,6 +132,44 @@ def test_open_days_are_not_shuffled(spark):
     assert "inline" in plan[: plan.index("Join")]
 
 
+def test_stress_is_added_up_where_days_are_spread(spark):
+    rng = random.Random(7)
+    rows = []
+    for k in range(600):
+        d, size, strike = rng.randrange(0, 90), rng.choice([-3.0, 2.0, 5.0]), rng.choice([60.0, 95.0, 130.0])
+        rows.append((k, rng.choice("AB"), d, d + rng.randrange(-1, 60), rng.choice("CP"), None if k % 50 == 7 else strike, None if k % 60 == 9 else size, 100, rng.choice([0.0, 0.2, 0.5]), float(rng.randrange(80, 120))))
+    rows.append((600, "C", 200, 203, "C", None, 1.0, 100, 0.2, 100.0))  # a day whose only trade has no value
+    book = spark.createDataFrame(rows, "trade_id long, symbol string, d int, e int, right string, strike double, qty double, multiplier int, iv_used double, underlying_price double")
+    day = lambda c: F.date_add(F.lit("2024-01-01").cast("date"), F.col(c))
+    book = book.withColumns({"date": day("d"), "expiry": day("e")}).localCheckpoint()
+    out = options.stress(book)
+    got = {r["now"]: (r["gamma"], r["worst"]) for r in out.collect()}
+    each = options.snapshots(book).withColumn("t", F.datediff("expiry", "now") / 365.0)
+    size = F.col("qty") * F.col("multiplier")
+    cases = []
+    for j, (move, vol) in enumerate([(0.0, 1.0), *options.SCENARIOS]):
+        one = options.priced(each.withColumns({"_s": F.col("s0") * (1 + move), "_v": F.col("iv_used") * vol}), s="_s", vol="_v").groupBy("now")
+        cases.append({r["now"]: (r["v"], r["g"]) for r in one.agg(F.sum(size * F.col("price")).alias("v"), F.sum(F.when(F.col("strike").isNotNull(), size * F.col("gamma") * F.col("s0") * F.col("s0") * 0.01)).alias("g")).collect()})
+    assert set(got) == set(cases[0]) and len(got) > 80
+    for now, (gamma, worst) in got.items():
+        v, g = zip(*(c[now] for c in cases))
+        if v[0] is None:
+            assert gamma is None and worst == 0.0
+        else:
+            assert math.isclose(gamma, g[0], rel_tol=1e-9) and math.isclose(worst, min(0.0, v[1] - v[0], v[2] - v[0]), rel_tol=1e-9, abs_tol=1e-6)
+    # a trade leaves its task as sums by day, and no scenario is a row
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "MapInArrow" in plan and "inline" not in plan[: plan.index("MapInArrow")]
+
+
+def test_normal_distribution_of_arrays(spark):
+    from strandline.functions import normal
+
+    x = [-60.0, -20.0, -7.5, -3.0, -0.1, 0.0, 0.1, 3.0, 7.2, 20.0, 60.0, math.inf, -math.inf]
+    want = [r["p"] for r in spark.createDataFrame([(v,) for v in x], "x double").select(normal.cdf("x").alias("p")).collect()]
+    assert np.allclose(normal.cdf_array(np.array(x)), want, rtol=1e-13, atol=0) and np.isnan(normal.cdf_array(np.array([np.nan]))).all()
+
+
 def test_hashes_of_many_texts_are_those_of_each():
     rng = random.Random(7)
     texts = [bytes(rng.randrange(256) for _ in range(rng.randrange(45))) for _ in range(20_000)] + [b"", b"a\0"]
