@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import draws
 from strandline.functions import windows as fw
-from strandline.operators import accounts, alpha, backtest, discover, engine, evidence, front, options, probes, repaint, resample, robust, stats
+from strandline.operators import accounts, alpha, backtest, discover, engine, evidence, front, options, probes, repaint, resample, robust, search, stats
 
 
 def test_prices_of_zero_divide_as_in_sql(spark):
@@ -213,6 +213,30 @@ def test_slots_of_a_bootstrap_are_never_broadcast(spark, monkeypatch):
 
 
 
+def test_clusters_that_leave_out_pairs_within_the_largest(spark):
+    rng = np.random.default_rng(3)
+    common = rng.normal(size=12)
+    rows = []
+    for k in range(60):
+        x = 0.1 * rng.normal(size=12) + (common if k % 3 else 0)  # two thirds are one cluster
+        for t in range(12 if k % 7 else 6):
+            rows.append((k, t, float(x[t])))
+    rows += [(100 + k, t, v) for k in range(5) for j, t, v in rows if j == 3]  # copies
+    rows += [(k, t, 1.0) for k in (200, 201) for t in range(12)]  # copies without variance: no link
+    rows += [(k, t, float(t)) for k in (300, 301) for t in range(2)]  # copies of too few times
+    rets = spark.createDataFrame(rows, "symbol long, bar long, ret double").localCheckpoint()
+    for strong, block in ((0.4, 1024), (0.4, 6), (0.9, 6), (0.75, 10), (0.999, 8)):  # at the last only copies are linked, so every pair is compared
+        want = {r["symbol"]: r["cluster"] for r in search.clusters(stats.correlations(rets, "symbol", "bar", strong=strong), rets.select("symbol"), strong).collect()}
+        got = {r["symbol"]: r["cluster"] for r in search.correlation_clusters(rets, "symbol", "bar", strong, block=block).collect()}
+        assert got == want, (strong, block)
+
+
+def test_least_labels_of_a_long_chain():
+    order = np.random.default_rng(1).permutation(500)
+    label = search._least_labels(502, order[:-1], order[1:])
+    assert (label[:500] == 0).all() and list(label[500:]) == [500, 501]
+
+
 def test_correlations_by_tiles(spark):
     rng = random.Random(6)
     rows = [(f"k{k:02d}", t, rng.gauss(0, 1) if k % 9 else 1.0) for k in range(25) for t in range(300) if rng.random() < (0.7 if k % 5 else 0.01)]
